@@ -81,11 +81,16 @@ def _signed(text: Column) -> Column:
     return F.concat(F.lit('"'), text.try_cast("bigint").cast("string"), F.lit('"'))
 
 
-def _raw_list(items: Column, quote: bool) -> Column:
-    mark = '"' if quote else ""
+def _counts_list(items: Column) -> Column:
+    zero = F.lit(0).cast("decimal(20,0)")
+    digits = F.transform(items, lambda item: F.coalesce(item.try_cast("decimal(20,0)"), zero).cast("string"))
+    return F.when(F.size(items) > 0, F.concat(F.lit('["'), F.array_join(digits, '","'), F.lit('"]')))
+
+
+def _numbers_list(items: Column) -> Column:
     return F.when(
         F.size(items) > 0,
-        F.concat(F.lit("[" + mark), F.array_join(items, mark + "," + mark), F.lit(mark + "]")),
+        F.concat(F.lit("["), F.array_join(F.transform(items, _double), ",", "0"), F.lit("]")),
     )
 
 
@@ -194,8 +199,10 @@ def _bytes_length(text: Column) -> Column:
 
 
 def _bad_number(value: Column) -> Column:
-    return (value["intValue"].isNotNull() & value["intValue"].try_cast("bigint").isNull()) | (
-        value["doubleValue"].isNotNull() & value["doubleValue"].try_cast("double").isNull()
+    return (
+        (value["intValue"].isNotNull() & value["intValue"].try_cast("bigint").isNull())
+        | (value["doubleValue"].isNotNull() & value["doubleValue"].try_cast("double").isNull())
+        | F.coalesce(~value["boolValue"].isin("true", "false"), F.lit(False))
     )
 
 
@@ -415,7 +422,7 @@ def _metric_points(metric: Column, kind: str) -> Column:
 
     def buckets_text(side: Column) -> Column:
         text = _object(
-            [("bucketCounts", _raw_list(side["bucketCounts"], True)), ("offset", _nonzero(side["offset"]))]
+            [("bucketCounts", _counts_list(side["bucketCounts"])), ("offset", _nonzero(side["offset"]))]
         )
         return F.when(side.isNotNull() & (text != "{}"), text)
 
@@ -438,7 +445,7 @@ def _metric_points(metric: Column, kind: str) -> Column:
         bucket_counts = bounds = positive = negative = zero_count = none("string")
         scale, zero_threshold, quantiles = none("int"), none("double"), none("string")
         if kind == "histogram":
-            bucket_counts, bounds = _raw_list(p["bucketCounts"], True), _raw_list(p["explicitBounds"], False)
+            bucket_counts, bounds = _counts_list(p["bucketCounts"]), _numbers_list(p["explicitBounds"])
             fields += [("bucketCounts", bucket_counts), ("explicitBounds", bounds)]
         if kind == "exponential_histogram":
             positive, negative = buckets_text(p["positive"]), buckets_text(p["negative"])
@@ -702,13 +709,13 @@ def build_requests(requests: DataFrame, signal: str, keys: ContextKeys = Context
         _first_error(errors),
         F.when(payload > MAX_PAYLOAD_BYTES, f"persisted {what} payload exceeds 64 MiB"),
     )
-    return grouped.select("request_key", "received_at_unix_nano", "value", "groups", error.alias("error"))
+    return grouped.select("request_key", "received_at_unix_nano", "groups", error.alias("error"))
 
 
 def rejected(built: DataFrame) -> DataFrame:
-    """Refused requests with the reason, for a quarantine table."""
+    """Refused requests with the reason. Their text may hold credentials and is left out."""
     return built.where(F.col("error").isNotNull()).select(
-        "request_key", "received_at_unix_nano", F.col("error").alias("reason"), "value"
+        "request_key", "received_at_unix_nano", F.col("error").alias("reason")
     )
 
 
@@ -717,15 +724,22 @@ def records(built: DataFrame, signal: str) -> DataFrame:
 
     ``request_key`` and ``position`` tell where in its request a record stood.
     """
+    return outcome(built, signal).where(F.col("reason").isNull()).drop("reason")
+
+
+def outcome(built: DataFrame, signal: str) -> DataFrame:
+    """Records of valid requests and one row with ``reason`` per refused one, in one pass."""
     resources, scopes, name, _ = LAYOUT[signal]
-    opened = (
-        built.where(F.col("error").isNull())
-        .select("request_key", "received_at_unix_nano", F.posexplode("groups").alias("_g", "_group"))
-        .select("*", F.posexplode("_group.records").alias("_r", "_record"))
-    )
+    refused = F.col("error").isNotNull()
+    opened = built.select(
+        "request_key",
+        "received_at_unix_nano",
+        F.col("error").alias("reason"),
+        F.posexplode_outer(F.when(~refused, F.col("groups"))).alias("_g", "_group"),
+    ).select("*", F.posexplode_outer("_group.records").alias("_r", "_record"))
     position = [F.col("_g").cast("bigint"), F.col("_r").cast("bigint")]
     if signal == METRICS:
-        opened = opened.select("*", F.posexplode("_record.points").alias("_p", "_point"))
+        opened = opened.select("*", F.posexplode_outer("_record.points").alias("_p", "_point"))
         position.append(F.col("_p").cast("bigint"))
         data_field = F.when(
             F.col("_record.metric_type") == "exponential_histogram", "exponentialHistogram"
@@ -767,10 +781,12 @@ def records(built: DataFrame, signal: str) -> DataFrame:
         for field in TABLE_SCHEMAS[signal]
         if field.name in sources
     ]
-    enveloped = opened.select(
+    present = F.col("_point" if signal == METRICS else "_record").isNotNull() | F.col("reason").isNotNull()
+    enveloped = opened.where(present).select(
         "request_key",
         F.array(*position).alias("position"),
         "received_at_unix_nano",
+        "reason",
         *columns,
         payload.alias("payload_json"),
     )
@@ -782,9 +798,9 @@ def records(built: DataFrame, signal: str) -> DataFrame:
     )
 
 
-def storable(rows: DataFrame, signal: str) -> Column:
+def storable(signal: str) -> Column:
     """Last check before a row may be stored."""
-    valid = F.get_json_object("payload_json", "$").isNotNull()
+    valid = F.col("payload_json").isNotNull() & F.col("fingerprint").isNotNull()
     if signal == METRICS:
         valid = (
             valid

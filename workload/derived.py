@@ -223,7 +223,7 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         ns.alias("time_unix_nano"),
         start.cast("bigint").alias("start_time_unix_nano"),
         F.when(kindof == "histogram", _text('["', F.col("k"), '","0"]')).otherwise("[]").alias("bucket_counts"),
-        F.when(kindof == "histogram", F.lit("[100]")).otherwise("[]").alias("explicit_bounds"),
+        F.when(kindof == "histogram", F.lit("[100.0]")).otherwise("[]").alias("explicit_bounds"),
         F.when(kindof == "exponential_histogram", F.lit(2)).cast("int").alias("scale"),
         F.when(kindof == "exponential_histogram", F.col("k")).alias("zero_count"),
         F.lit(None).cast("double").alias("zero_threshold"),
