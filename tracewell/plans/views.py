@@ -216,3 +216,39 @@ def rates(selected: DataFrame, payload: bool = False, ordered: bool = True, **sk
         rated, "metrics rate", payload, {"time": F.col("time_unix_nano"), "resource_id": _resource()}
     )
     return view.orderBy(F.desc("time"), F.desc("id")) if ordered else view
+
+
+_EXEMPLARS = "array<struct<traceId: string, spanId: string, timeUnixNano: string, asInt: string, asDouble: double>>"
+
+
+def exemplars(points: DataFrame) -> DataFrame:
+    """One row per exemplar of the metric points, with the trace it was recorded in."""
+    one = F.col("_exemplar")
+    listed = points.where(F.col("exemplars") != "[]").select(
+        "id", "metric_name", F.explode(F.from_json("exemplars", _EXEMPLARS)).alias("_exemplar")
+    )
+    number = F.coalesce(one["asInt"].try_cast("double"), one["asDouble"])
+    return listed.select(
+        "id",
+        "metric_name",
+        F.lower(one["traceId"]).alias("trace_id"),
+        F.lower(one["spanId"]).alias("span_id"),
+        one["timeUnixNano"].try_cast("bigint").alias("exemplar_time"),
+        number.alias("exemplar_value"),
+    )
+
+
+def exemplar_traces(points: DataFrame, log_table: DataFrame, span_table: DataFrame) -> DataFrame:
+    """Exemplars with the extent of their trace: spans, logs, first and last event time.
+
+    Traces are reduced to one row each before the join; the timeline of a chosen trace
+    comes from :func:`trace`.
+    """
+    timeline = traces(log_table, span_table)
+    extent = timeline.groupBy("trace_id").agg(
+        F.count_if(F.col("kind") == "span").alias("spans"),
+        F.count_if(F.col("kind") == "log").alias("logs"),
+        F.min("time").alias("trace_begin"),
+        F.max("time").alias("trace_end"),
+    )
+    return exemplars(points).join(extent, "trace_id", "left")

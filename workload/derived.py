@@ -232,3 +232,209 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kindof == "summary", F.lit('[{"quantile":0.5,"value":1.5}]')).otherwise("[]").alias("quantile_values"),
         F.when((event % 10 == 0) & (kindof != "summary"), exemplar).otherwise("[]").alias("exemplars"),
     )
+
+
+# --- Export requests ------------------------------------------------------------------
+
+PER_REQUEST = 50  # events per request; bounds every request group
+
+
+def _field(name: str, text: Column) -> Column:
+    return F.concat(F.lit(f'"{name}":'), text)
+
+
+def _json_object(*fields: Column) -> Column:
+    """JSON object from field texts; null fields are left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def _quoted(column: Column) -> Column:
+    return _text('"', column.cast("string"), '"')
+
+
+def _requests(elements: DataFrame, root: str) -> DataFrame:
+    """Groups of up to 50 elements (event_id, received, text) as one request each."""
+    chunk = F.call_function("div", F.col("event_id"), F.lit(PER_REQUEST))
+    return (
+        elements.groupBy(chunk.alias("chunk"))
+        .agg(
+            F.min("received").alias("received_at_unix_nano"),
+            F.sort_array(F.collect_list(F.struct("event_id", "part", "text"))).alias("items"),
+        )
+        .select(
+            F.lpad(F.col("chunk").cast("string"), 12, "0").alias("request_key"),
+            "received_at_unix_nano",
+            _text('{"' + root + '":[', F.array_join(F.col("items.text"), ","), "]}").alias("value"),
+        )
+    )
+
+
+def log_requests(spark: SparkSession, sf_dir: str, reverse_attributes: bool = False) -> DataFrame:
+    """The logs as OTLP-JSON requests with credentials, nested bodies and invalid times."""
+    event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    source = events(spark, sf_dir).join(
+        logs(spark, sf_dir).select(
+            F.col("id").alias("event_id"), "time_unix_nano", "severity_number", "trace_id", "span_id",
+            "event_name", "resource_schema_url", "scope_version",
+        ), "event_id",
+    )
+    said = _text(kind, " by user ", user.cast("string"))
+    body = F.when(
+        event % 10 == 0,
+        _text(
+            '{"kvlistValue":{"values":[{"key":"password","value":{"stringValue":"p', event.cast("string"),
+            '"}},{"key":"message","value":{"stringValue":"', said, '"}}]}}',
+        ),
+    ).otherwise(_text('{"stringValue":"', said, '"}'))
+    chunk = F.call_function("div", event, F.lit(PER_REQUEST))
+    time = F.when(
+        (event % PER_REQUEST == 0) & (chunk % 17 == 3), F.lit('"9223372036854775808"')
+    ).otherwise(_quoted(F.col("time_unix_nano")))
+    attributes = [
+        int_attribute("k", F.col("k")),
+        string_attribute("event.type", kind),
+        string_attribute("api_key", _text("secret-", event.cast("string"))),
+    ]
+    record = _json_object(
+        _field("timeUnixNano", time),
+        _field("observedTimeUnixNano", _quoted(F.col("received_at_unix_nano"))),
+        _field("severityNumber", F.col("severity_number").cast("string")),
+        _field("severityText", _quoted(kind)),
+        _field("body", body),
+        _field("attributes", attribute_list(*(reversed(attributes) if reverse_attributes else attributes))),
+        _field("traceId", _quoted(F.coalesce("trace_id", F.lit("")))),
+        _field("spanId", _quoted(F.coalesce("span_id", F.lit("")))),
+        _field("eventName", _quoted(F.col("event_name"))),
+        _field("flags", (event % 2).cast("string")),
+    )
+    name = F.when(F.col("service_name") != "unknown_service", string_attribute("service.name", F.col("service_name")))
+    element = _text(
+        '{"resource":', _json_object(_field("attributes", attribute_list(name, int_attribute("host.slot", user % 3)))),
+        ',"schemaUrl":', _quoted(F.col("resource_schema_url")),
+        ',"scopeLogs":[{"scope":{"name":"shop","version":', _quoted(F.col("scope_version")),
+        '},"logRecords":[', record, "]}]}",
+    )
+    return _requests(
+        source.select(
+            "event_id", F.col("received_at_unix_nano").alias("received"), F.lit(0).alias("part"), element.alias("text")
+        ),
+        "resourceLogs",
+    )
+
+
+def span_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span as a request of its own; some carry an event with a credential."""
+    event = _text(
+        '[{"name":"packed","timeUnixNano":', _quoted(F.col("end_time_unix_nano")),
+        ',"attributes":', attribute_list(string_attribute("session_token", F.col("span_id"))), "}]",
+    )
+    span = _json_object(
+        _field("traceId", _quoted(F.col("trace_id"))),
+        _field("spanId", _quoted(F.upper("span_id"))),
+        _field("parentSpanId", _quoted(F.coalesce("parent_span_id", F.lit("")))),
+        _field("name", _quoted(F.col("name"))),
+        _field("kind", F.col("kind").cast("string")),
+        _field("startTimeUnixNano", _quoted(F.col("start_time_unix_nano"))),
+        _field("endTimeUnixNano", F.col("end_time_unix_nano").cast("string")),
+        _field("attributes", F.col("attributes")),
+        _field("events", F.when(F.col("kind") == 1, event)),
+        _field("status", _json_object(
+            _field("code", F.col("status_code").cast("string")), _field("message", _quoted(F.col("status_message"))),
+        )),
+    )
+    value = _text(
+        '{"resourceSpans":[{"resource":', _json_object(_field("attributes", F.col("resource_attributes"))),
+        ',"scopeSpans":[{"scope":{"name":"shipping","version":"2.0"},"spans":[', span, "]}]}]}",
+    )
+    return spans(spark, sf_dir).select(
+        F.lpad(F.col("id").cast("string"), 20, "0").alias("request_key"), "received_at_unix_nano", value.alias("value")
+    )
+
+
+def metric_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric points as OTLP-JSON requests with all five types."""
+    kind = F.col("metric_type")
+    number, histogram = kind.isin("gauge", "sum"), kind.isin("histogram", "exponential_histogram")
+    number_text = F.when(
+        F.col("number_kind") == "int", _field("asInt", _quoted(F.col("number_int")))
+    ).when(F.col("number_kind") == "double", _field("asDouble", F.col("number_double").cast("string")))
+    point = _json_object(
+        _field("attributes", F.col("attributes")),
+        _field("startTimeUnixNano", _quoted(F.col("start_time_unix_nano"))),
+        _field("timeUnixNano", _quoted(F.col("time_unix_nano"))),
+        _field("flags", F.col("flags").cast("string")),
+        F.when(kind != "summary", _field("exemplars", F.col("exemplars"))),
+        F.when(number, number_text),
+        F.when(~number, _field("count", _quoted(F.col("aggregate_count")))),
+        F.when(~number, _field("sum", F.col("aggregate_sum").cast("string"))),
+        F.when(histogram, _field("min", F.col("aggregate_min").cast("string"))),
+        F.when(histogram, _field("max", F.col("aggregate_max").cast("string"))),
+        F.when(kind == "histogram", _field("bucketCounts", F.col("bucket_counts"))),
+        F.when(kind == "histogram", _field("explicitBounds", F.col("explicit_bounds"))),
+        F.when(kind == "exponential_histogram", _field("scale", F.col("scale").cast("string"))),
+        F.when(kind == "exponential_histogram", _field("zeroCount", _quoted(F.col("zero_count")))),
+        F.when(kind == "summary", _field("quantileValues", F.col("quantile_values"))),
+    )
+    code = F.when(F.col("temporality") == "delta", "1").when(F.col("temporality") == "cumulative", "2").otherwise("0")
+    data = _json_object(
+        _text('"dataPoints":[', point, "]"),
+        F.when(~kind.isin("gauge", "summary"), _field("aggregationTemporality", code)),
+        F.when(kind == "sum", _field("isMonotonic", F.when(F.col("monotonic") == 1, "true").otherwise("false"))),
+    )
+    field = F.when(kind == "exponential_histogram", "exponentialHistogram").otherwise(kind)
+    element = _text(
+        '{"resource":', _json_object(_field("attributes", F.col("resource_attributes"))),
+        ',"schemaUrl":', _quoted(F.col("resource_schema_url")),
+        ',"scopeMetrics":[{"scope":{"name":"shop","version":', _quoted(F.col("scope_version")),
+        '},"metrics":[{"name":', _quoted(F.col("metric_name")), ',"unit":', _quoted(F.col("unit")),
+        ',"description":', _quoted(F.col("description")), ',"', field, '":', data, "}]}]}",
+    )
+    copies = F.lit(100_000_000_000)
+    return _requests(
+        metric_points(spark, sf_dir).select(
+            (F.col("id") % copies).alias("event_id"),
+            F.col("received_at_unix_nano").alias("received"),
+            F.call_function("div", F.col("id"), copies).alias("part"),
+            element.alias("text"),
+        ),
+        "resourceMetrics",
+    )
+
+
+def status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of the lifetime counters of many processes, one per event."""
+    event, user = F.col("event_id"), F.col("user_id")
+    since = F.call_function("div", F.col("ns") % TEN_DAYS, F.lit(SECOND))
+    return events(spark, sf_dir).select(
+        _text("process-", (user % 20).cast("string")).alias("process"),
+        F.col("ns").alias("time_unix_nano"),
+        event.alias("id"),
+        since.alias("committed_logs"),
+        F.call_function("div", since, F.lit(60)).alias("committed_spans"),
+        F.call_function("div", since, F.lit(3600)).alias("committed_metric_points"),
+        F.call_function("div", since, F.lit(86400)).alias("deleted_logs"),
+        F.lit(0).cast("bigint").alias("deleted_spans"),
+        F.lit(0).cast("bigint").alias("deleted_metric_points"),
+        F.call_function("div", since, F.lit(40000)).alias("rejected"),
+        (event % 97 != 0).alias("store_ready"),
+        F.when(event % 97 == 0, "disk full").otherwise("").alias("last_error"),
+        (event % 89 != 0).alias("pipeline_ready"),
+    )
+
+
+def attribute_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute keys in many spellings, harmless and sensitive."""
+    prefixes = ["", "http.request.header.", "db/", "app:", "X-", "my_", " "]
+    names = [
+        "Authorization", "set-cookie", "input_tokens", "api_key", "clientSecret", "PASSWORD", "tokens",
+        "access-token", "secret", "cookie", "csrf_token.value", "proxy-authorization", "idToken", "session.token",
+    ]
+    pick = lambda values, index: F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    event = F.col("event_id")
+    return events(spark, sf_dir).select(
+        "event_id",
+        F.concat(
+            pick(prefixes, event % len(prefixes)),
+            pick(names, F.call_function("div", event, F.lit(len(prefixes))) % len(names)),
+        ).alias("key"),
+    )

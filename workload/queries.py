@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.plans import views
+from tracewell.functions import attributes
+from tracewell.functions.times import parse_timestamp, rfc3339_nano
+from tracewell.model import LOGS, METRICS, SPAN_KINDS, SPAN_STATUSES, SPANS
+from tracewell.operators import dedup, ingest, retention, status
+from tracewell.plans import page, present, views
 from tracewell.plans.filters import Filters
-from tracewell.session import configure
+from tracewell.session import configure, work_folder
+from tracewell.sources.otlp import stream_requests
+from tracewell.sources.store import Store
+from tracewell.streaming.ingest import deduplicate, ingest_stream
+from tracewell.streaming.rate import streaming_rate
 from workload import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +167,288 @@ def trace_timeline(spark, sf_dir):
 @query
 def trace_single(spark, sf_dir):
     return views.trace(derived.logs(spark, sf_dir), derived.spans(spark, sf_dir), TRACE)
+
+
+@query
+def exemplar_traces(spark, sf_dir):
+    return views.exemplar_traces(
+        derived.metric_points(spark, sf_dir), derived.logs(spark, sf_dir), derived.spans(spark, sf_dir)
+    )
+
+
+# --- Ingest ---------------------------------------------------------------------------
+
+
+def _ingested(requests: DataFrame, signal: str) -> DataFrame:
+    return ingest.records(ingest.build_requests(requests, signal), signal).drop("request_key", "position")
+
+
+@query
+def otlp_logs_ingest(spark, sf_dir):
+    return _ingested(derived.log_requests(spark, sf_dir), LOGS)
+
+
+@query
+def otlp_logs_rejected(spark, sf_dir):
+    return ingest.rejected(ingest.build_requests(derived.log_requests(spark, sf_dir), LOGS))
+
+
+@query
+def otlp_traces_ingest(spark, sf_dir):
+    return _ingested(derived.span_requests(spark, sf_dir), SPANS).drop("payload_json", "payload_bytes", "fingerprint")
+
+
+@query
+def otlp_metrics_ingest(spark, sf_dir):
+    rows = _ingested(derived.metric_requests(spark, sf_dir), METRICS)
+    return rows.drop("payload_json", "payload_bytes", "fingerprint")
+
+
+@query
+def canonical_order(spark, sf_dir):
+    """The order of attributes does not change the identity of a record."""
+    both = derived.log_requests(spark, sf_dir).unionByName(derived.log_requests(spark, sf_dir, True))
+    return (
+        _ingested(both, LOGS)
+        .groupBy("fingerprint")
+        .agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("payload_json").alias("payloads"))
+    )
+
+
+@query
+def sensitive_keys(spark, sf_dir):
+    return derived.attribute_keys(spark, sf_dir).select(
+        "event_id", "key", attributes.is_sensitive(F.col("key")).alias("sensitive")
+    )
+
+
+@query
+def resource_ids(spark, sf_dir):
+    points = derived.metric_points(spark, sf_dir)
+    resources = points.select("resource_attributes", "resource_schema_url").distinct()
+    identifier = attributes.resource_id(F.col("resource_attributes"), F.col("resource_schema_url"))
+    return resources.withColumn("resource_id", identifier)
+
+
+# --- Deduplication and conflicts ------------------------------------------------------
+
+
+def _fingerprinted_logs(spark, sf_dir) -> DataFrame:
+    identity = F.concat_ws("|", "service_name", "body_json", "severity_text")
+    return derived.logs(spark, sf_dir).withColumn("fingerprint", F.sha2(identity, 256))
+
+
+@query
+def log_dedup(spark, sf_dir):
+    rows = _fingerprinted_logs(spark, sf_dir).select(
+        "fingerprint", "id", "received_at_unix_nano", "service_name", "body_json"
+    )
+    return dedup.first_copies(rows, ["fingerprint"], ["received_at_unix_nano", "id"])
+
+
+@query
+def logs_unseen(spark, sf_dir):
+    """Logs of the later part of the month whose content was not stored before."""
+    rows = _fingerprinted_logs(spark, sf_dir).select("fingerprint", "id", "received_at_unix_nano")
+    border = parse_timestamp("2024-01-10T00:00:00Z")
+    stored = rows.where(F.col("received_at_unix_nano") < border)
+    batch = rows.where(F.col("received_at_unix_nano") >= border)
+    return dedup.unseen(batch, stored, ["fingerprint"], batch.count())
+
+
+@query
+def span_conflicts(spark, sf_dir):
+    return dedup.conflicting_identities(derived.spans(spark, sf_dir))
+
+
+@query
+def span_accepted(spark, sf_dir):
+    """Accepted spans where every span is a request of its own and nothing is stored yet."""
+    rows = derived.spans(spark, sf_dir).select(
+        F.lpad(F.col("id").cast("string"), 20, "0").alias("request_key"),
+        F.array(F.lit(0).cast("bigint")).alias("position"),
+        "received_at_unix_nano", "trace_id", "span_id", "fingerprint", "id", "name",
+    )
+    new, _ = dedup.accepted_spans(rows, rows.limit(0), rows.count())
+    return new.drop("position")
+
+
+# --- Retention and status -------------------------------------------------------------
+
+
+def _sized_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    size = F.octet_length("attributes") + F.octet_length("resource_attributes")
+    return {
+        LOGS: derived.logs(spark, sf_dir).withColumn("payload_bytes", size.cast("bigint")),
+        SPANS: derived.spans(spark, sf_dir).withColumn("payload_bytes", size.cast("bigint")),
+        METRICS: derived.metric_points(spark, sf_dir).withColumn("payload_bytes", size.cast("bigint")),
+    }
+
+
+def _kept(tables: dict[str, DataFrame], mark: retention.Mark) -> DataFrame:
+    return retention.keys({name: retention.kept(table, name, mark) for name, table in tables.items()})
+
+
+@query
+def retention_age(spark, sf_dir):
+    now = parse_timestamp("2024-01-20T00:00:00Z")
+    return _kept(_sized_tables(spark, sf_dir), retention.age_mark(now, hours=240))
+
+
+@query
+def retention_size(spark, sf_dir):
+    tables = _sized_tables(spark, sf_dir)
+    keys = retention.keys(tables)
+    half = keys.agg(F.sum("bytes")).first()[0] // 2
+    return _kept(tables, retention.size_mark(keys, half, batch=1))
+
+
+@query
+def retention_size_batched(spark, sf_dir):
+    tables = _sized_tables(spark, sf_dir)
+    keys = retention.keys(tables)
+    tenth = keys.agg(F.sum("bytes")).first()[0] // 10
+    return _kept(tables, retention.size_mark(keys, tenth))
+
+
+@query
+def store_status(spark, sf_dir):
+    return retention.keys(_sized_tables(spark, sf_dir)).groupBy("signal").agg(
+        F.count(F.lit(1)).alias("stored"),
+        F.sum("bytes").alias("bytes"),
+        F.coalesce(F.min("received"), F.lit(0)).alias("oldest_received_at"),
+    )
+
+
+@query
+def counter_deltas(spark, sf_dir):
+    compared = status.snapshots_with_previous(derived.status_history(spark, sf_dir))
+    current, before = F.col("committed_logs"), F.col("previous_committed_logs")
+    return compared.select(
+        "process", "id", status.counter_delta(before, current).alias("logs_written"),
+        (F.col("previous_time_unix_nano").isNotNull() & status.changed()).alias("changed"),
+    )
+
+
+@query
+def activity(spark, sf_dir):
+    return status.activity(derived.status_history(spark, sf_dir))
+
+
+# --- Presentation, paging and ad-hoc SQL ----------------------------------------------
+
+
+@query
+def rfc3339_nanos(spark, sf_dir):
+    rows = derived.logs(spark, sf_dir)
+    return rows.select(
+        "id",
+        rfc3339_nano(F.col("time_unix_nano")).alias("time"),
+        rfc3339_nano(F.col("received_at_unix_nano") + F.col("id") % 1000).alias("received_at"),
+    )
+
+
+@query
+def log_summary(spark, sf_dir):
+    rows = derived.logs(spark, sf_dir)
+    summary = present.summary(views.logs(rows, _all(), ordered=False), "logs")
+    return summary.groupBy(*summary.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def span_labels(spark, sf_dir):
+    rows = derived.spans(spark, sf_dir)
+    return rows.groupBy(
+        present.label(F.col("kind"), SPAN_KINDS).alias("kind"),
+        present.label(F.col("status_code"), SPAN_STATUSES).alias("status"),
+    ).agg(F.count(F.lit(1)).alias("spans"), F.count(views.duration_ms()).alias("timed"))
+
+
+@query
+def attribute_texts(spark, sf_dir):
+    rows = derived.spans(spark, sf_dir)
+    return rows.select("id", present.attribute_text(F.col("attributes")).alias("attributes"))
+
+
+@query
+def document_cells(spark, sf_dir):
+    texts = derived.table(spark, sf_dir, "documents")
+    cell = present.safe_cell(F.col("text"))
+    return texts.select("doc_id", cell.alias("cell"), present.shortened(cell).alias("short"))
+
+
+@query
+def logs_page(spark, sf_dir):
+    view = views.logs(derived.logs(spark, sf_dir), _all(level="warn"))
+    return page.window(view, page.Options(limit=100, offset=50)).select("id", "received_at", "service_name")
+
+
+@query
+def logs_nonempty_fields(spark, sf_dir):
+    fields = page.drop_empty(views.logs(derived.logs(spark, sf_dir), _all(), ordered=False))
+    return fields.select(F.explode(F.map_keys("fields")).alias("field")).groupBy("field").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
+@query
+def adhoc_sql(spark, sf_dir):
+    derived.logs(spark, sf_dir).createOrReplaceTempView(LOGS)
+    derived.spans(spark, sf_dir).createOrReplaceTempView(SPANS)
+    text = """
+      WITH errors AS (SELECT trace_id, count(*) AS errors FROM otel_logs
+                      WHERE severity_number >= :level AND trace_id IS NOT NULL GROUP BY trace_id)
+      SELECT s.trace_id, e.errors, count(DISTINCT s.service_name) AS services,
+             max(s.end_time_unix_nano) AS last_end
+      FROM otel_spans s JOIN errors e ON s.trace_id = e.trace_id
+      WHERE s.attributes LIKE '%"line.open"%' GROUP BY s.trace_id, e.errors"""
+    return page.sql(spark, text, {"level": 17})
+
+
+# --- Streaming ------------------------------------------------------------------------
+
+
+def _written_stream(spark, frame: DataFrame, files: int, order: str, folder: str) -> DataFrame:
+    frame.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", max(files // 2, 1)).parquet(folder)
+
+
+def _run(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over all its input and read back what it wrote."""
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out")
+    started = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    folder = work_folder(spark, "stream-dedup")
+    rows = _fingerprinted_logs(spark, sf_dir).select("fingerprint", "id", "received_at_unix_nano")
+    stream = _written_stream(spark, rows, 4, "received_at_unix_nano", f"{folder}/in")
+    copies = deduplicate(stream, LOGS, retention_hours=24 * 60)
+    return _run(copies, folder).select("fingerprint")
+
+
+@query
+def stream_rate(spark, sf_dir):
+    folder = work_folder(spark, "stream-rate")
+    points = derived.metric_points(spark, sf_dir)
+    stream = _written_stream(spark, points, 4, "time_unix_nano", f"{folder}/in")
+    rated = _run(streaming_rate(stream, "1 hour"), folder)
+    return rated.select("id", "value", "delta_value", "rate_per_second", "rate_reason", "gap_seconds")
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """Requests arrive twice, in several micro-batches; the store holds each record once."""
+    folder = work_folder(spark, "stream-ingest")
+    requests = derived.log_requests(spark, sf_dir).select("value")
+    requests.repartition(2).write.text(f"{folder}/in")
+    requests.repartition(1).write.mode("append").text(f"{folder}/in")
+    store = Store.create(spark, f"{folder}/store")
+    received = F.lit(parse_timestamp("2024-02-01T00:00:00Z"))
+    arriving = stream_requests(spark, f"{folder}/in", received, max_files_per_trigger=2)
+    ingest_stream(arriving, store, LOGS, f"{folder}/checkpoint", "logs", available_now=True).awaitTermination()
+    return views.logs(store.refresh().table(LOGS), _all()).drop("id")
