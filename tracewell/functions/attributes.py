@@ -107,27 +107,24 @@ def check_filter_count(resource: list[str], attribute: list[str]) -> None:
         raise ValueError(f"at most {MAX_FILTERS} resource and attribute filters are allowed")
 
 
-def is_sensitive(key: Column) -> Column:
-    """True for keys that name a credential; ``input_tokens`` and the like are not."""
-    normal = F.lower(_trim(key))
-    segments = F.filter(F.split(normal, "[./:]"), lambda segment: segment != "")
-    terminal = F.translate(F.try_element_at(segments, F.lit(-1)), "-_", "")
-    ending = F.translate(normal, ".-/:", "____").rlike("_(" + "|".join(SENSITIVE_ENDINGS) + r")\z")
-    return F.coalesce(terminal.isin(SENSITIVE_NAMES), F.lit(False)) | (
-        F.coalesce(F.size(segments) > 0, F.lit(False)) & F.coalesce(ending, F.lit(False))
-    )
+def _sensitive_pattern() -> str:
+    space = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+    # In the last segment, hyphens and underscores do not count.
+    names = "|".join("[-_]*".join(name) for name in SENSITIVE_NAMES)
+    last_segment = rf"(?:^{space}|[./:])[-_]*(?:{names})[-_]*[./:]*"
+    # At the end of the whole key, any separator stands for an underscore.
+    ending = "[-._/:](?:" + "|".join(name.replace("_", "[-._/:]") for name in SENSITIVE_ENDINGS) + ")"
+    return rf"(?:{last_segment}|{ending}){space}\z"
 
 
-def _trim(text: Column) -> Column:
-    # Whitespace in the Unicode sense, which F.trim does not cover.
-    space = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-    return F.regexp_replace(text, rf"^{space}|{space}\z", "")
+def is_sensitive(key: Column) -> Column:
+    """True for keys that name a credential; ``input_tokens`` and the like are not."""
+    return F.coalesce(F.lower(key).rlike(_sensitive_pattern()), F.lit(False))
 
 
 def json_text(text: Column) -> Column:
     """A string as JSON text, quotes included."""
-    listed = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.char_length(listed) - 2))
+    return F.when(text.isNotNull(), F.btrim(F.to_json(F.array(text)), F.lit("[]")))
 
 
 def resource_id(attributes: Column, schema_url: Column) -> Column:

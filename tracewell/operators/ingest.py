@@ -32,6 +32,9 @@ from tracewell.model import (
 from tracewell.sources.otlp import LAYOUT, parse_requests
 
 
+MALFORMED = "malformed request"
+
+
 @dataclass(frozen=True)
 class ContextKeys:
     """Attributes that become columns of their own."""
@@ -172,25 +175,32 @@ def _hex_id(text: Column) -> Column:
 
 def _attributes_error(attributes: Column, what: str) -> Column:
     limit = MAX_VALUE_BYTES
+    tests = {
+        f"invalid {what} attributes: attribute key exceeds 1 MiB": lambda e: F.octet_length(e["key"]) > limit,
+        f"invalid {what} attributes: string exceeds 1 MiB": lambda e: F.octet_length(e["value"]["stringValue"]) > limit,
+        f"invalid {what} attributes: bytes exceed 1 MiB": lambda e: _bytes_length(e["value"]["bytesValue"]) > limit,
+        MALFORMED: lambda e: _bad_scalar(e["value"]),
+    }
 
-    def large(test: Callable[[Column], Column]) -> Column:
-        return F.coalesce(F.exists(attributes, lambda e: F.coalesce(test(e), F.lit(False))), F.lit(False))
+    def holds(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda entry: F.coalesce(test(entry), F.lit(False))
 
-    return (
-        F.when(
-            large(lambda e: F.octet_length(e["key"]) > limit),
-            f"invalid {what} attributes: attribute key exceeds 1 MiB",
-        )
-        .when(
-            large(lambda e: F.octet_length(e["value"]["stringValue"]) > limit),
-            f"invalid {what} attributes: string exceeds 1 MiB",
-        )
-        .when(
-            large(lambda e: _bytes_length(e["value"]["bytesValue"]) > limit),
-            f"invalid {what} attributes: bytes exceed 1 MiB",
-        )
-        .when(large(lambda e: _bad_number(e["value"])), "malformed request")
-    )
+    def reason(entry: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for name, test in reversed(tests.items()):
+            found = F.when(holds(test)(entry), name).otherwise(found)
+        return found
+
+    # One pass finds out whether anything is wrong; only then is the reason looked up.
+    wrong = F.exists(attributes, lambda e: _any([holds(test)(e) for test in tests.values()]))
+    return F.when(wrong, _first_error(F.transform(attributes, reason)))
+
+
+def _any(conditions: list[Column]) -> Column:
+    found = conditions[0]
+    for condition in conditions[1:]:
+        found = found | condition
+    return found
 
 
 def _bytes_length(text: Column) -> Column:
@@ -198,7 +208,7 @@ def _bytes_length(text: Column) -> Column:
     return F.floor(F.char_length(text) * 3 / 4) - padding
 
 
-def _bad_number(value: Column) -> Column:
+def _bad_scalar(value: Column) -> Column:
     return (
         (value["intValue"].isNotNull() & value["intValue"].try_cast("bigint").isNull())
         | (value["doubleValue"].isNotNull() & value["doubleValue"].try_cast("double").isNull())
@@ -225,7 +235,7 @@ def _id_error(ids: list[tuple[Column, int]]) -> Column:
     invalid = F.lit(False)
     for text, digits in ids:
         invalid = invalid | F.coalesce(~text.rlike(rf"^([0-9a-fA-F]{{{digits}}})?\z"), F.lit(False))
-    return F.when(invalid, "malformed request")
+    return F.when(invalid, MALFORMED)
 
 
 def _time(text: Column) -> Column:
@@ -236,45 +246,282 @@ def _code(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.lit(0))
 
 
-# --- One record of each signal -------------------------------------------------------
+# --- Errors of one record of each signal ---------------------------------------------
 
 
-def _log_record(record: Column, keys: ContextKeys) -> list[Column]:
-    attributes = record["attributes"]
-    listed = attributes_text(attributes)
-    body = value_text(record["body"])
-    text = _object(
+def _log_error(record: Column) -> Column:
+    body = record["body"]
+    large = F.coalesce(F.octet_length(body["stringValue"]) > MAX_VALUE_BYTES, F.lit(False)) | F.coalesce(
+        _bytes_length(body["bytesValue"]) > MAX_VALUE_BYTES, F.lit(False)
+    )
+    return F.coalesce(
+        _time_error("log", record["timeUnixNano"]),
+        F.when(large, "invalid log body: value exceeds 1 MiB").when(
+            F.coalesce(_bad_scalar(body), F.lit(False)), MALFORMED
+        ),
+        _attributes_error(record["attributes"], "log"),
+        _id_error([(record["traceId"], 32), (record["spanId"], 16)]),
+    )
+
+
+def _span_error(span: Column) -> Column:
+    missing = F.when(
+        _hex_id(F.coalesce(span["traceId"], F.lit(""))).isNull()
+        | _hex_id(F.coalesce(span["spanId"], F.lit(""))).isNull(),
+        "span trace_id and span_id are required",
+    )
+    return F.coalesce(
+        _time_error("span", span["startTimeUnixNano"], span["endTimeUnixNano"]),
+        missing,
+        _id_error([(span["traceId"], 32), (span["spanId"], 16), (span["parentSpanId"], 16)]),
+        _attributes_error(span["attributes"], "span"),
+        _any_attributes_error(span["events"], "attributes", "span event"),
+        _any_attributes_error(span["links"], "attributes", "span link"),
+    )
+
+
+# The field that holds the data of each metric type.
+_DATA_FIELD = {kind: kind for kind in METRIC_TYPES} | {"exponential_histogram": "exponentialHistogram"}
+
+
+def metric_type(metric: Column) -> Column:
+    """Which of the five data fields a metric has; null where it has none."""
+    kind = F.lit(None).cast("string")
+    for name in reversed(METRIC_TYPES):
+        kind = F.when(metric[_DATA_FIELD[name]].isNotNull(), name).otherwise(kind)
+    return kind
+
+
+def point_count(metric: Column) -> Column:
+    """Number of data points of a metric, whatever its type."""
+    sizes = [F.size(metric[_DATA_FIELD[name]]["dataPoints"]) for name in METRIC_TYPES]
+    return F.greatest(F.lit(0), *[F.coalesce(size, F.lit(0)) for size in sizes])
+
+
+def _metric_error(metric: Column) -> Column:
+    def point_error(kind: str) -> Callable[[Column], Column]:
+        def error(p: Column) -> Column:
+            errors = [_attributes_error(p["attributes"], "metric point")]
+            if kind != "summary":
+                errors.append(_any_attributes_error(p["exemplars"], "filteredAttributes", "metric exemplar"))
+            errors.append(_time_error("metric", p["startTimeUnixNano"], p["timeUnixNano"]))
+            if kind in ("gauge", "sum"):
+                errors.append(F.when(p["asInt"].isNotNull() & p["asInt"].try_cast("bigint").isNull(), MALFORMED))
+            return F.coalesce(*errors)
+
+        return error
+
+    return F.coalesce(
+        F.when(metric_type(metric).isNull(), "metric data type is required"),
+        _attributes_error(metric["metadata"], "metric metadata"),
+        *[
+            _first_error(F.transform(metric[_DATA_FIELD[kind]]["dataPoints"], point_error(kind)))
+            for kind in METRIC_TYPES
+        ],
+    )
+
+
+# --- Requests ------------------------------------------------------------------------
+
+_LIMITS = {
+    LOGS: (MAX_LOG_RECORDS, "log request exceeds 10000 records"),
+    SPANS: (MAX_SPANS, "trace request exceeds 5000 spans"),
+    METRICS: (MAX_METRICS, "metric request exceeds 10000 descriptors"),
+}
+_WHAT = {LOGS: "log", SPANS: "span", METRICS: "metric"}
+_RECORD_ERROR = {LOGS: _log_error, SPANS: _span_error, METRICS: _metric_error}
+
+
+def build_requests(requests: DataFrame, signal: str) -> DataFrame:
+    """Requests with their ``parsed`` tree and ``error``.
+
+    ``error`` is the reason for which the whole request is refused, or null. The size of
+    what would be stored is known only later, see :func:`oversized`.
+    """
+    resources, scopes, records_field, _ = LAYOUT[signal]
+    what = _WHAT[signal]
+
+    def scope_error(scope: Column) -> Column:
+        return F.coalesce(
+            _attributes_error(scope["scope"]["attributes"], f"{what} scope"),
+            _first_error(F.transform(scope[records_field], _RECORD_ERROR[signal])),
+        )
+
+    def resource_error(resource: Column) -> Column:
+        return F.coalesce(
+            _attributes_error(resource["resource"]["attributes"], f"{what} resource"),
+            _first_error(F.transform(resource[scopes], scope_error)),
+        )
+
+    def total(count: Callable[[Column], Column]) -> Column:
+        def add(sum_so_far: Column, items: Column, one: Callable[[Column, Column], Column]) -> Column:
+            return F.aggregate(F.coalesce(items, F.array()), sum_so_far, one)
+
+        return add(
+            F.lit(0),
+            F.col("parsed")[resources],
+            lambda t, r: add(t, r[scopes], lambda u, s: u + count(s[records_field])),
+        )
+
+    parsed = parse_requests(requests, signal)
+    limit, limit_reason = _LIMITS[signal]
+    errors = [
+        F.col("parse_error"),
+        F.when(total(lambda items: F.greatest(F.size(items), F.lit(0))) > limit, limit_reason),
+        _first_error(F.transform(F.col("parsed")[resources], resource_error)),
+    ]
+    if signal == METRICS:
+        points = total(
+            lambda items: F.aggregate(F.coalesce(items, F.array()), F.lit(0), lambda t, m: t + point_count(m))
+        )
+        errors.insert(2, F.when(points > MAX_METRIC_POINTS, "metric request exceeds 10000 points"))
+    return parsed.select("request_key", "received_at_unix_nano", "parsed", F.coalesce(*errors).alias("error"))
+
+
+def rejected(built: DataFrame) -> DataFrame:
+    """Refused requests with the reason. Their text may hold credentials and is left out."""
+    # A filter on the generated column stays above it; a filter on ``error`` itself would
+    # be pushed down and the whole check evaluated twice.
+    reasons = built.select(
+        "request_key", "received_at_unix_nano", F.explode_outer(F.array("error")).alias("reason")
+    )
+    return reasons.where(F.col("reason").isNotNull())
+
+
+def oversized(rows: DataFrame) -> DataFrame:
+    """Keys of requests whose records together exceed the stored size of one request."""
+    return (
+        rows.groupBy("request_key")
+        .agg(F.sum("payload_bytes").alias("_bytes"))
+        .where(F.col("_bytes") > MAX_PAYLOAD_BYTES)
+        .select("request_key")
+    )
+
+
+def records(built: DataFrame, signal: str) -> DataFrame:
+    """Rows of the signal table, without ``id``, from the valid requests.
+
+    ``request_key`` and ``position`` tell where in its request a record stood.
+    """
+    return _enveloped(built, signal, ContextKeys(), False).drop("reason")
+
+
+def outcome(built: DataFrame, signal: str, keys: ContextKeys = ContextKeys()) -> DataFrame:
+    """Records of valid requests and one row with ``reason`` per refused one, in one pass."""
+    return _enveloped(built, signal, keys, True)
+
+
+def _text(column: Column) -> Column:
+    return F.coalesce(column, F.lit(""))
+
+
+def _enveloped(built: DataFrame, signal: str, keys: ContextKeys, with_refused: bool) -> DataFrame:
+    """One row per record: resource, scope and record are opened one after the other.
+
+    What belongs to a resource or scope is worked out once per resource or scope, before
+    its records are opened.
+    """
+    resources, scopes, records_field, _ = LAYOUT[signal]
+    carried = ["request_key", "received_at_unix_nano", "reason"]
+    by_resource = built.select(
+        "request_key",
+        "received_at_unix_nano",
+        F.col("error").alias("reason"),
+        F.posexplode_outer(F.when(F.col("error").isNull(), F.col("parsed")[resources])).alias("_r", "_resource"),
+    )
+    resource = F.col("_resource.resource")
+    by_resource = by_resource.select(
+        *carried,
+        "_r",
+        F.col(f"_resource.{scopes}").alias("_scopes"),
+        _text(F.col("_resource.schemaUrl")).alias("resource_schema_url"),
+        attributes_text(resource["attributes"]).alias("resource_attributes"),
+        _whole(resource["droppedAttributesCount"]).alias("_resource_dropped"),
+        F.coalesce(_nonempty(string_attribute(resource["attributes"], keys.service)), F.lit(UNKNOWN_SERVICE)).alias(
+            "service_name"
+        ),
+    )
+    carried += ["_r", "resource_schema_url", "resource_attributes", "_resource_dropped", "service_name"]
+    by_scope = by_resource.select(*carried, F.posexplode_outer("_scopes").alias("_s", "_scope"))
+    scope = F.col("_scope.scope")
+    by_scope = by_scope.select(
+        *carried,
+        "_s",
+        F.col(f"_scope.{records_field}").alias("_records"),
+        _text(F.col("_scope.schemaUrl")).alias("scope_schema_url"),
+        attributes_text(scope["attributes"]).alias("scope_attributes"),
+        _whole(scope["droppedAttributesCount"]).alias("_scope_dropped"),
+        _text(scope["name"]).alias("scope_name"),
+        _text(scope["version"]).alias("scope_version"),
+    )
+    carried += ["_s", "scope_schema_url", "scope_attributes", "_scope_dropped", "scope_name", "scope_version"]
+    opened = by_scope.select(*carried, F.posexplode_outer("_records").alias("_i", "_record"))
+    if signal == METRICS:
+        opened = _metric_points(opened, carried)
+        carried += ["_i", *_METRIC_COLUMNS]
+    found = F.col("_point" if signal == METRICS else "_record").isNotNull()
+    opened = opened.where((found | F.col("reason").isNotNull()) if with_refused else found)
+
+    one = {LOGS: _log_columns, SPANS: _span_columns, METRICS: _point_columns}[signal]
+    record = F.col("_point" if signal == METRICS else "_record")
+    texts, record_json = one(record, keys)
+    marks = ["_r", "_s", "_i", "_p"] if signal == METRICS else ["_r", "_s", "_i"]
+    kept = [name for name in [*carried, *marks] if name not in marks]
+    rows = opened.select(*kept, F.array(*[F.col(m).cast("bigint") for m in marks]).alias("position"), *texts)
+    rows = rows.withColumn("payload_json", _envelope(signal, record_json))
+
+    size = F.octet_length("payload_json")
+    if signal == LOGS:
+        size = size + F.octet_length("body_json")
+    rows = rows.withColumns(
+        {"fingerprint": F.sha2("payload_json", 256), "payload_bytes": size.cast("bigint")}
+    )
+    columns = [
+        F.col(field.name).cast(field.dataType).alias(field.name)
+        for field in TABLE_SCHEMAS[signal]
+        if field.name in rows.columns and field.name != "received_at_unix_nano"
+    ]
+    return rows.select("request_key", "position", "received_at_unix_nano", "reason", *columns)
+
+
+def _envelope(signal: str, record_json: Column) -> Column:
+    """The single-record request that is stored and fingerprinted."""
+    resources, scopes, records_field, _ = LAYOUT[signal]
+    resource = _object(
+        [("attributes", _optional(F.col("resource_attributes"))), ("droppedAttributesCount", F.col("_resource_dropped"))]
+    )
+    scope = _object(
         [
-            ("attributes", _optional(listed)),
-            ("body", F.when(body != "{}", body)),
-            ("droppedAttributesCount", _whole(record["droppedAttributesCount"])),
-            ("eventName", _quoted(record["eventName"])),
-            ("flags", _whole(record["flags"])),
-            ("observedTimeUnixNano", _whole_quoted(record["observedTimeUnixNano"])),
-            ("severityNumber", _whole(record["severityNumber"])),
-            ("severityText", _quoted(record["severityText"])),
-            ("spanId", _quoted(_hex_id(record["spanId"]))),
-            ("timeUnixNano", _whole_quoted(record["timeUnixNano"])),
-            ("traceId", _quoted(_hex_id(record["traceId"]))),
+            ("attributes", _optional(F.col("scope_attributes"))),
+            ("droppedAttributesCount", F.col("_scope_dropped")),
+            ("name", _quoted(F.col("scope_name"))),
+            ("version", _quoted(F.col("scope_version"))),
         ]
     )
-    body_error = F.when(
-        (F.octet_length(record["body"]["stringValue"]) > MAX_VALUE_BYTES)
-        | (_bytes_length(record["body"]["bytesValue"]) > MAX_VALUE_BYTES),
-        "invalid log body: value exceeds 1 MiB",
-    ).when(_bad_number(record["body"]), "malformed request")
+
+    def only(item: Column) -> Column:
+        return F.concat(F.lit("["), item, F.lit("]"))
+
+    scoped = _object(
+        [(records_field, only(record_json)), ("schemaUrl", _quoted(F.col("scope_schema_url"))), ("scope", scope)]
+    )
+    whole = _object(
+        [("resource", resource), ("schemaUrl", _quoted(F.col("resource_schema_url"))), (scopes, only(scoped))]
+    )
+    return _object([(resources, only(whole))])
+
+
+# --- Columns of one record: (columns, canonical JSON made from them) -------------------
+
+
+def _log_columns(record: Column, keys: ContextKeys) -> tuple[list[Column], Column]:
+    attributes = record["attributes"]
     observed = record["observedTimeUnixNano"].try_cast("bigint")
-    return [
-        text.alias("record_json"),
-        F.coalesce(
-            _time_error("log", record["timeUnixNano"]),
-            body_error,
-            _attributes_error(attributes, "log"),
-            _id_error([(record["traceId"], 32), (record["spanId"], 16)]),
-        ).alias("error"),
+    body = value_text(record["body"])
+    columns = [
         _time(record["timeUnixNano"]).alias("time_unix_nano"),
         _code(record["severityNumber"]).alias("severity_number"),
-        F.coalesce(record["severityText"], F.lit("")).alias("severity_text"),
+        _text(record["severityText"]).alias("severity_text"),
         _hex_id(record["traceId"]).alias("trace_id"),
         _hex_id(record["spanId"]).alias("span_id"),
         _nonempty(string_attribute(attributes, keys.request)).alias("request_id"),
@@ -284,16 +531,40 @@ def _log_record(record: Column, keys: ContextKeys) -> list[Column]:
             _nonempty(string_attribute(attributes, keys.event)), _nonempty(record["eventName"])
         ).alias("op"),
         tagged_text(record["body"], record["taggedBody"]).alias("body_json"),
-        listed.alias("attributes"),
-        F.coalesce(record["eventName"], F.lit("")).alias("event_name"),
+        attributes_text(attributes).alias("attributes"),
+        _text(record["eventName"]).alias("event_name"),
         F.when(observed != 0, observed).alias("observed_time"),
         F.coalesce(record["flags"].try_cast("bigint"), F.lit(0).cast("bigint")).alias("flags"),
+        F.when(body != "{}", body).alias("_body"),
+        _whole(record["droppedAttributesCount"]).alias("_dropped"),
+        _whole_quoted(record["observedTimeUnixNano"]).alias("_observed"),
+        _whole_quoted(record["timeUnixNano"]).alias("_time"),
+        _whole(record["flags"]).alias("_flags"),
     ]
+    text = _object(
+        [
+            ("attributes", _optional(F.col("attributes"))),
+            ("body", F.col("_body")),
+            ("droppedAttributesCount", F.col("_dropped")),
+            ("eventName", _quoted(F.col("event_name"))),
+            ("flags", F.col("_flags")),
+            ("observedTimeUnixNano", F.col("_observed")),
+            ("severityNumber", _digits("severity_number")),
+            ("severityText", _quoted(F.col("severity_text"))),
+            ("spanId", _quoted(F.col("span_id"))),
+            ("timeUnixNano", F.col("_time")),
+            ("traceId", _quoted(F.col("trace_id"))),
+        ]
+    )
+    return columns, text
+
+
+def _digits(name: str) -> Column:
+    return F.when(F.col(name) != 0, F.col(name).cast("string"))
 
 
-def _span_record(span: Column, keys: ContextKeys) -> list[Column]:
+def _span_columns(span: Column, keys: ContextKeys) -> tuple[list[Column], Column]:
     attributes = span["attributes"]
-    listed = attributes_text(attributes)
 
     def event(item: Column) -> Column:
         return _object(
@@ -317,61 +588,50 @@ def _span_record(span: Column, keys: ContextKeys) -> list[Column]:
             ]
         )
 
-    events = _object_list(span["events"], event)
-    links = _object_list(span["links"], link)
-    status = _object(
-        [("code", _whole(span["status"]["code"])), ("message", _quoted(span["status"]["message"]))]
-    )
-    text = _object(
-        [
-            ("attributes", _optional(listed)),
-            ("droppedAttributesCount", _whole(span["droppedAttributesCount"])),
-            ("droppedEventsCount", _whole(span["droppedEventsCount"])),
-            ("droppedLinksCount", _whole(span["droppedLinksCount"])),
-            ("endTimeUnixNano", _whole_quoted(span["endTimeUnixNano"])),
-            ("events", _optional(events)),
-            ("flags", _whole(span["flags"])),
-            ("kind", _whole(span["kind"])),
-            ("links", _optional(links)),
-            ("name", _quoted(span["name"])),
-            ("parentSpanId", _quoted(_hex_id(span["parentSpanId"]))),
-            ("spanId", _quoted(_hex_id(span["spanId"]))),
-            ("startTimeUnixNano", _whole_quoted(span["startTimeUnixNano"])),
-            ("status", F.when(status != "{}", status)),
-            ("traceId", _quoted(_hex_id(span["traceId"]))),
-            ("traceState", _quoted(span["traceState"])),
-        ]
-    )
-    missing = F.when(
-        _hex_id(F.coalesce(span["traceId"], F.lit(""))).isNull()
-        | _hex_id(F.coalesce(span["spanId"], F.lit(""))).isNull(),
-        "span trace_id and span_id are required",
-    )
-    return [
-        text.alias("record_json"),
-        F.coalesce(
-            _time_error("span", span["startTimeUnixNano"], span["endTimeUnixNano"]),
-            missing,
-            _id_error([(span["traceId"], 32), (span["spanId"], 16), (span["parentSpanId"], 16)]),
-            _attributes_error(attributes, "span"),
-            _any_attributes_error(span["events"], "attributes", "span event"),
-            _any_attributes_error(span["links"], "attributes", "span link"),
-        ).alias("error"),
+    columns = [
         _hex_id(span["traceId"]).alias("trace_id"),
         _hex_id(span["spanId"]).alias("span_id"),
         _hex_id(span["parentSpanId"]).alias("parent_span_id"),
-        F.coalesce(span["name"], F.lit("")).alias("name"),
+        _text(span["name"]).alias("name"),
         _time(span["startTimeUnixNano"]).alias("start_time_unix_nano"),
         _time(span["endTimeUnixNano"]).alias("end_time_unix_nano"),
         _nonempty(string_attribute(attributes, keys.request)).alias("request_id"),
         _nonempty(string_attribute(attributes, keys.product)).alias("product_id"),
-        listed.alias("attributes"),
+        attributes_text(attributes).alias("attributes"),
         _code(span["kind"]).alias("kind"),
         _code(span["status"]["code"]).alias("status_code"),
-        F.coalesce(span["status"]["message"], F.lit("")).alias("status_message"),
-        events.alias("events"),
-        links.alias("links"),
+        _text(span["status"]["message"]).alias("status_message"),
+        _object_list(span["events"], event).alias("events"),
+        _object_list(span["links"], link).alias("links"),
+        _whole(span["droppedAttributesCount"]).alias("_dropped"),
+        _whole(span["droppedEventsCount"]).alias("_dropped_events"),
+        _whole(span["droppedLinksCount"]).alias("_dropped_links"),
+        _whole(span["flags"]).alias("_flags"),
+        _text(span["traceState"]).alias("_trace_state"),
     ]
+    status = _object([("code", _digits("status_code")), ("message", _quoted(F.col("status_message")))])
+    nanos = lambda name: F.concat(F.lit('"'), _digits(name), F.lit('"'))
+    text = _object(
+        [
+            ("attributes", _optional(F.col("attributes"))),
+            ("droppedAttributesCount", F.col("_dropped")),
+            ("droppedEventsCount", F.col("_dropped_events")),
+            ("droppedLinksCount", F.col("_dropped_links")),
+            ("endTimeUnixNano", nanos("end_time_unix_nano")),
+            ("events", _optional(F.col("events"))),
+            ("flags", F.col("_flags")),
+            ("kind", _digits("kind")),
+            ("links", _optional(F.col("links"))),
+            ("name", _quoted(F.col("name"))),
+            ("parentSpanId", _quoted(F.col("parent_span_id"))),
+            ("spanId", _quoted(F.col("span_id"))),
+            ("startTimeUnixNano", nanos("start_time_unix_nano")),
+            ("status", F.when((F.col("status_code") != 0) | (F.col("status_message") != ""), status)),
+            ("traceId", _quoted(F.col("trace_id"))),
+            ("traceState", _quoted(F.col("_trace_state"))),
+        ]
+    )
+    return columns, text
 
 
 def _object_list(items: Column, text: Callable[[Column], Column]) -> Column:
@@ -379,184 +639,11 @@ def _object_list(items: Column, text: Callable[[Column], Column]) -> Column:
     return F.coalesce(F.concat(F.lit("["), joined, F.lit("]")), F.lit("[]"))
 
 
-# The field that holds the data of each metric type.
-_DATA_FIELD = {kind: kind for kind in METRIC_TYPES} | {"exponential_histogram": "exponentialHistogram"}
-
-
-def metric_type(metric: Column) -> Column:
-    """Which of the five data fields a metric has; null where it has none."""
-    kind = F.lit(None).cast("string")
-    for name in reversed(METRIC_TYPES):
-        kind = F.when(metric[_DATA_FIELD[name]].isNotNull(), name).otherwise(kind)
-    return kind
-
-
-def point_count(metric: Column) -> Column:
-    """Number of data points of a metric, whatever its type."""
-    sizes = [F.size(metric[_DATA_FIELD[name]]["dataPoints"]) for name in METRIC_TYPES]
-    return F.greatest(F.lit(0), *[F.coalesce(size, F.lit(0)) for size in sizes])
-
-
 def finite(number: Column) -> Column:
     """The number, or null where it is not finite."""
     return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
 
 
-def _metric_points(metric: Column, kind: str) -> Column:
-    """The points of a metric of one type, in a form common to all types."""
-    data = metric[_DATA_FIELD[kind]]
-    number, buckets = kind in ("gauge", "sum"), kind in ("histogram", "exponential_histogram")
-    none = lambda spark_type: F.lit(None).cast(spark_type)
-
-    def exemplar(item: Column) -> Column:
-        return _object(
-            [
-                ("asDouble", F.when(item["asInt"].isNull(), _double(item["asDouble"]))),
-                ("asInt", _signed(item["asInt"])),
-                ("filteredAttributes", _optional(attributes_text(item["filteredAttributes"]))),
-                ("spanId", _quoted(_hex_id(item["spanId"]))),
-                ("timeUnixNano", _whole_quoted(item["timeUnixNano"])),
-                ("traceId", _quoted(_hex_id(item["traceId"]))),
-            ]
-        )
-
-    def buckets_text(side: Column) -> Column:
-        text = _object(
-            [("bucketCounts", _counts_list(side["bucketCounts"])), ("offset", _nonzero(side["offset"]))]
-        )
-        return F.when(side.isNotNull() & (text != "{}"), text)
-
-    def point(p: Column) -> Column:
-        listed = attributes_text(p["attributes"])
-        exemplars = _object_list(p["exemplars"], exemplar) if kind != "summary" else F.lit("[]")
-        fields = [("attributes", _optional(listed))]
-        if number:
-            fields += [("asDouble", F.when(p["asInt"].isNull(), _double(p["asDouble"]))), ("asInt", _signed(p["asInt"]))]
-        else:
-            fields += [("count", _whole_quoted(p["count"])), ("sum", _double(p["sum"]))]
-        fields += [
-            ("exemplars", _optional(exemplars)),
-            ("flags", _whole(p["flags"])),
-            ("startTimeUnixNano", _whole_quoted(p["startTimeUnixNano"])),
-            ("timeUnixNano", _whole_quoted(p["timeUnixNano"])),
-        ]
-        if buckets:
-            fields += [("max", _double(p["max"])), ("min", _double(p["min"]))]
-        bucket_counts = bounds = positive = negative = zero_count = none("string")
-        scale, zero_threshold, quantiles = none("int"), none("double"), none("string")
-        if kind == "histogram":
-            bucket_counts, bounds = _counts_list(p["bucketCounts"]), _numbers_list(p["explicitBounds"])
-            fields += [("bucketCounts", bucket_counts), ("explicitBounds", bounds)]
-        if kind == "exponential_histogram":
-            positive, negative = buckets_text(p["positive"]), buckets_text(p["negative"])
-            zero_count, scale = _whole(p["zeroCount"]), F.nullif(p["scale"].try_cast("int"), F.lit(0))
-            zero_threshold = F.nullif(p["zeroThreshold"].try_cast("double"), F.lit(0.0))
-            fields += [
-                ("negative", negative),
-                ("positive", positive),
-                ("scale", _nonzero(p["scale"])),
-                ("zeroCount", _whole_quoted(p["zeroCount"])),
-                ("zeroThreshold", zero_threshold.cast("string")),
-            ]
-        if kind == "summary":
-            quantiles = F.when(
-                F.size(p["quantileValues"]) > 0,
-                _object_list(
-                    p["quantileValues"],
-                    lambda q: _object([("quantile", _double(q["quantile"])), ("value", _double(q["value"]))]),
-                ),
-            )
-            fields += [("quantileValues", quantiles)]
-
-        errors = [
-            _attributes_error(p["attributes"], "metric point"),
-            _time_error("metric", p["startTimeUnixNano"], p["timeUnixNano"]),
-        ]
-        if kind != "summary":
-            errors.insert(1, _any_attributes_error(p["exemplars"], "filteredAttributes", "metric exemplar"))
-        as_int = p["asInt"].try_cast("bigint") if number else none("bigint")
-        as_double = p["asDouble"].try_cast("double") if number else none("double")
-        if number:
-            errors.append(F.when(p["asInt"].isNotNull() & as_int.isNull(), "malformed request"))
-        number_kind = (
-            F.when(p["asInt"].isNotNull(), NUMBER_KINDS[0]).when(p["asDouble"].isNotNull(), NUMBER_KINDS[1])
-            if number
-            else none("string")
-        )
-        # Protocol defaults: a missing count is 0, and a summary always has a sum.
-        count = F.coalesce(_whole(p["count"]), F.lit("0")) if not number else none("string")
-        total = p["sum"].try_cast("double") if not number else none("double")
-        if kind == "summary":
-            total = F.coalesce(total, F.lit(0.0))
-        return F.struct(
-            _object(sorted(fields, key=lambda field: field[0])).alias("point_json"),
-            F.coalesce(*errors).alias("error"),
-            _time(p["startTimeUnixNano"]).alias("start_time_unix_nano"),
-            _time(p["timeUnixNano"]).alias("time_unix_nano"),
-            number_kind.alias("number_kind"),
-            as_int.alias("number_int"),
-            (F.when(p["asInt"].isNull(), finite(as_double)) if number else none("double")).alias("number_double"),
-            count.alias("aggregate_count"),
-            finite(total).alias("aggregate_sum"),
-            (finite(p["min"].try_cast("double")) if buckets else none("double")).alias("aggregate_min"),
-            (finite(p["max"].try_cast("double")) if buckets else none("double")).alias("aggregate_max"),
-            listed.alias("attributes"),
-            F.coalesce(p["flags"].try_cast("bigint"), F.lit(0).cast("bigint")).alias("flags"),
-            exemplars.alias("exemplars"),
-            F.coalesce(bucket_counts, F.lit("[]")).alias("bucket_counts"),
-            F.coalesce(bounds, F.lit("[]")).alias("explicit_bounds"),
-            scale.alias("scale"),
-            zero_count.alias("zero_count"),
-            zero_threshold.alias("zero_threshold"),
-            positive.alias("positive"),
-            negative.alias("negative"),
-            F.coalesce(quantiles, F.lit("[]")).alias("quantile_values"),
-        )
-
-    return F.transform(data["dataPoints"], point)
-
-
-def _nonzero(text: Column) -> Column:
-    number = text.try_cast("bigint")
-    return F.when(number != 0, number.cast("string"))
-
-
-def _metric_head(metric: Column) -> list[Column]:
-    kind = metric_type(metric)
-    temporality = F.coalesce(
-        metric["sum"]["aggregationTemporality"],
-        metric["histogram"]["aggregationTemporality"],
-        metric["exponentialHistogram"]["aggregationTemporality"],
-    ).try_cast("int")
-    monotonic = F.coalesce(metric["sum"]["isMonotonic"] == "true", F.lit(False))
-    before = _object([("description", _quoted(metric["description"]))])
-    after = _object(
-        [
-            ("metadata", _optional(attributes_text(metric["metadata"]))),
-            ("name", _quoted(metric["name"])),
-            ("unit", _quoted(metric["unit"])),
-        ]
-    )
-    data_before = _object([("aggregationTemporality", F.when(temporality != 0, temporality.cast("string")))])
-    data_after = _object([("isMonotonic", F.when((kind == "sum") & monotonic, F.lit("true")))])
-    return [
-        before.alias("metric_before"),
-        after.alias("metric_after"),
-        data_before.alias("data_before"),
-        data_after.alias("data_after"),
-        F.coalesce(
-            F.when(kind.isNull(), "metric data type is required"),
-            _attributes_error(metric["metadata"], "metric metadata"),
-        ).alias("metric_error"),
-        F.coalesce(metric["name"], F.lit("")).alias("metric_name"),
-        kind.alias("metric_type"),
-        F.coalesce(metric["description"], F.lit("")).alias("description"),
-        F.coalesce(metric["unit"], F.lit("")).alias("unit"),
-        temporality_name(kind, temporality).alias("temporality"),
-        F.when(kind == "sum", monotonic.cast("int")).alias("monotonic"),
-    ]
-
-
 def temporality_name(kind: Column, code: Column) -> Column:
     """Gauges and summaries have no temporality; unknown codes count as unspecified."""
     return (
@@ -567,235 +654,185 @@ def temporality_name(kind: Column, code: Column) -> Column:
     )
 
 
-# --- Requests ------------------------------------------------------------------------
-
-_LIMITS = {
-    LOGS: (MAX_LOG_RECORDS, "log request exceeds 10000 records"),
-    SPANS: (MAX_SPANS, "trace request exceeds 5000 spans"),
-    METRICS: (MAX_METRICS, "metric request exceeds 10000 descriptors"),
+_METRIC_COLUMNS = [
+    "metric_name",
+    "metric_type",
+    "description",
+    "unit",
+    "temporality",
+    "monotonic",
+    "_metadata_text",
+    "_temporality_code",
+]
+
+# Fields of a data point by the metric types that have them; all are read as one struct.
+_NUMBER_FIELDS = {"asDouble": "string", "asInt": "string"}
+_TOTAL_FIELDS = {"count": "string", "sum": "string"}
+_RANGE_FIELDS = {"min": "string", "max": "string"}
+_HISTOGRAM_FIELDS = {"bucketCounts": "array<string>", "explicitBounds": "array<string>"}
+_SIDE = "struct<offset: string, bucketCounts: array<string>>"
+_EXPONENTIAL_FIELDS = {
+    "scale": "string",
+    "zeroCount": "string",
+    "zeroThreshold": "string",
+    "positive": _SIDE,
+    "negative": _SIDE,
 }
-_WHAT = {LOGS: "log", SPANS: "span", METRICS: "metric"}
+_SUMMARY_FIELDS = {"quantileValues": "array<struct<quantile: string, value: string>>"}
+_FIELDS_OF = {
+    "gauge": _NUMBER_FIELDS,
+    "sum": _NUMBER_FIELDS,
+    "histogram": _TOTAL_FIELDS | _RANGE_FIELDS | _HISTOGRAM_FIELDS,
+    "exponential_histogram": _TOTAL_FIELDS | _RANGE_FIELDS | _EXPONENTIAL_FIELDS,
+    "summary": _TOTAL_FIELDS | _SUMMARY_FIELDS,
+}
+_ALL_FIELDS = (
+    _NUMBER_FIELDS | _TOTAL_FIELDS | _RANGE_FIELDS | _HISTOGRAM_FIELDS | _EXPONENTIAL_FIELDS | _SUMMARY_FIELDS
+)
 
 
-def _joined(*texts: Column) -> Column:
-    """One JSON object from object texts that share no field, in the given order."""
-    inner = [F.substring(text, F.lit(2), F.char_length(text) - 2) for text in texts]
-    parts = F.filter(F.array(*inner), lambda part: part != "")
-    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+def _metric_points(opened: DataFrame, carried: list[str]) -> DataFrame:
+    """Open the points of each metric; ``_point`` has the fields of all types."""
+    metric = F.col("_record")
+    exemplars = opened.schema["_record"].dataType["gauge"].dataType["dataPoints"].dataType.elementType["exemplars"]
 
+    def common(kind: str) -> Column:
+        def point(p: Column) -> Column:
+            fields = [p[name] for name in ("attributes", "startTimeUnixNano", "timeUnixNano", "flags")]
+            none = F.lit(None).cast(exemplars.dataType)
+            fields.append((none if kind == "summary" else p["exemplars"]).alias("exemplars"))
+            for name, spark_type in _ALL_FIELDS.items():
+                present = name in _FIELDS_OF[kind]
+                fields.append((p[name] if present else F.lit(None).cast(spark_type)).alias(name))
+            return F.struct(*fields)
 
-def build_requests(requests: DataFrame, signal: str, keys: ContextKeys = ContextKeys()) -> DataFrame:
-    """Requests with ``groups`` (records built per resource and scope) and ``error``.
+        return F.transform(metric[_DATA_FIELD[kind]]["dataPoints"], point)
 
-    ``error`` is the reason for which the whole request is refused, or null.
-    """
-    resources, scopes, records, _ = LAYOUT[signal]
-    what = _WHAT[signal]
+    code = F.coalesce(
+        metric["sum"]["aggregationTemporality"],
+        metric["histogram"]["aggregationTemporality"],
+        metric["exponentialHistogram"]["aggregationTemporality"],
+    ).try_cast("int")
+    kind = metric_type(metric)
+    monotonic = F.coalesce(metric["sum"]["isMonotonic"] == "true", F.lit(False)).cast("int")
+    heads = opened.select(
+        *carried,
+        "_i",
+        _text(metric["name"]).alias("metric_name"),
+        kind.alias("metric_type"),
+        _text(metric["description"]).alias("description"),
+        _text(metric["unit"]).alias("unit"),
+        temporality_name(kind, code).alias("temporality"),
+        F.when(kind == "sum", monotonic).alias("monotonic"),
+        attributes_text(metric["metadata"]).alias("_metadata_text"),
+        F.when(code != 0, code.cast("string")).alias("_temporality_code"),
+        F.coalesce(*[common(name) for name in METRIC_TYPES]).alias("_points"),
+    )
+    return heads.select(*carried, "_i", *_METRIC_COLUMNS, F.posexplode_outer("_points").alias("_p", "_point"))
 
-    def group(resource: Column, scope: Column) -> Column:
-        resource_attributes = attributes_text(resource["resource"]["attributes"])
-        scope_attributes = attributes_text(scope["scope"]["attributes"])
-        resource_json = _object(
-            [
-                ("attributes", _optional(resource_attributes)),
-                ("droppedAttributesCount", _whole(resource["resource"]["droppedAttributesCount"])),
-            ]
-        )
-        scope_json = _object(
+
+def _point_columns(p: Column, keys: ContextKeys) -> tuple[list[Column], Column]:
+    kind = F.col("metric_type")
+    number = kind.isin("gauge", "sum")
+
+    def exemplar(item: Column) -> Column:
+        return _object(
             [
-                ("attributes", _optional(scope_attributes)),
-                ("droppedAttributesCount", _whole(scope["scope"]["droppedAttributesCount"])),
-                ("name", _quoted(scope["scope"]["name"])),
-                ("version", _quoted(scope["scope"]["version"])),
+                ("asDouble", F.when(item["asInt"].isNull(), _double(item["asDouble"]))),
+                ("asInt", _signed(item["asInt"])),
+                ("filteredAttributes", _optional(attributes_text(item["filteredAttributes"]))),
+                ("spanId", _quoted(_hex_id(item["spanId"]))),
+                ("timeUnixNano", _whole_quoted(item["timeUnixNano"])),
+                ("traceId", _quoted(_hex_id(item["traceId"]))),
             ]
         )
-        service = _nonempty(string_attribute(resource["resource"]["attributes"], keys.service))
-        text = lambda column: F.coalesce(column, F.lit(""))
-        return F.struct(
-            resource_json.alias("resource_json"),
-            scope_json.alias("scope_json"),
-            F.coalesce(service, F.lit(UNKNOWN_SERVICE)).alias("service_name"),
-            resource_attributes.alias("resource_attributes"),
-            text(resource["schemaUrl"]).alias("resource_schema_url"),
-            text(scope["scope"]["name"]).alias("scope_name"),
-            text(scope["scope"]["version"]).alias("scope_version"),
-            scope_attributes.alias("scope_attributes"),
-            text(scope["schemaUrl"]).alias("scope_schema_url"),
-            F.coalesce(
-                _attributes_error(resource["resource"]["attributes"], f"{what} resource"),
-                _attributes_error(scope["scope"]["attributes"], f"{what} scope"),
-            ).alias("error"),
-            scope[records].alias("records"),
-        )
-
-    parsed = parse_requests(requests, signal)
-    trees = parsed.withColumn(
-        "_trees",
-        F.flatten(
-            F.transform(
-                F.coalesce(F.col(f"parsed.{resources}"), F.array()),
-                lambda resource: F.coalesce(
-                    F.transform(resource[scopes], lambda scope: group(resource, scope)), F.array()
-                ),
-            )
-        ),
-    )
 
-    if signal == METRICS:
-        built = lambda record: F.struct(
-            *_metric_head(record),
-            F.coalesce(*[_metric_points(record, kind) for kind in METRIC_TYPES], F.array()).alias("points"),
-        )
-        record_error = lambda record: F.coalesce(
-            record["metric_error"], _first_error(F.transform(record["points"], lambda p: p["error"]))
-        )
-        fixed = len('{"resourceMetrics":[{"resource":,"scopeMetrics":[{"metrics":[{"":{"dataPoints":[]}}],"scope":}]}]}')
-        record_bytes = lambda record: F.aggregate(
-            record["points"],
-            F.lit(0).cast("bigint"),
-            lambda total, p: total
-            + F.octet_length(p["point_json"])
-            + F.octet_length(record["metric_before"])
-            + F.octet_length(record["metric_after"])
-            + fixed,
-        )
-        record_count = lambda record: F.size(record["points"])
-    else:
-        one = _log_record if signal == LOGS else _span_record
-        built = lambda record: F.struct(*one(record, keys))
-        record_error = lambda record: record["error"]
-        fixed = len(f'{{"{resources}":[{{"resource":,"{scopes}":[{{"{records}":[],"scope":}}]}}]}}')
-        record_bytes = lambda record: (
-            F.octet_length(record["record_json"])
-            + (F.octet_length(record["body_json"]) if signal == LOGS else F.lit(0))
-            + fixed
-        ).cast("bigint")
-        record_count = lambda record: F.lit(1)
-
-    grouped = trees.withColumn(
-        "groups",
-        F.transform(
-            "_trees", lambda g: g.withField("records", F.transform(F.coalesce(g["records"], F.array()), built))
-        ),
-    )
-    zero = F.lit(0).cast("bigint")
-    sizes = F.aggregate("_trees", zero, lambda total, g: total + F.greatest(F.size(g["records"]), F.lit(0)))
-    points = F.aggregate(
-        "groups",
-        zero,
-        lambda total, g: F.aggregate(g["records"], total, lambda t, r: t + record_count(r)),
-    )
-    payload = F.aggregate(
-        "groups",
-        zero,
-        lambda total, g: F.aggregate(
-            g["records"],
-            total,
-            lambda t, r: t
-            + record_bytes(r)
-            + record_count(r) * (F.octet_length(g["resource_json"]) + F.octet_length(g["scope_json"])),
-        ),
-    )
-    errors = F.flatten(
-        F.transform(
-            "groups", lambda g: F.concat(F.array(g["error"]), F.transform(g["records"], record_error))
+    def side(buckets: Column) -> Column:
+        text = _object(
+            [("bucketCounts", _counts_list(buckets["bucketCounts"])), ("offset", _nonzero(buckets["offset"]))]
         )
-    )
-    limit, limit_reason = _LIMITS[signal]
-    error = F.coalesce(
-        "parse_error",
-        F.when(sizes > limit, limit_reason),
-        F.when(points > MAX_METRIC_POINTS, "metric request exceeds 10000 points") if signal == METRICS else F.lit(None),
-        _first_error(errors),
-        F.when(payload > MAX_PAYLOAD_BYTES, f"persisted {what} payload exceeds 64 MiB"),
-    )
-    return grouped.select("request_key", "received_at_unix_nano", "groups", error.alias("error"))
-
+        return F.when(buckets.isNotNull() & (text != "{}"), text)
 
-def rejected(built: DataFrame) -> DataFrame:
-    """Refused requests with the reason. Their text may hold credentials and is left out."""
-    return built.where(F.col("error").isNotNull()).select(
-        "request_key", "received_at_unix_nano", F.col("error").alias("reason")
+    quantiles = _object_list(
+        p["quantileValues"],
+        lambda q: _object([("quantile", _double(q["quantile"])), ("value", _double(q["value"]))]),
     )
-
-
-def records(built: DataFrame, signal: str) -> DataFrame:
-    """Rows of the signal table, without ``id``, from the valid requests.
-
-    ``request_key`` and ``position`` tell where in its request a record stood.
-    """
-    return outcome(built, signal).where(F.col("reason").isNull()).drop("reason")
-
-
-def outcome(built: DataFrame, signal: str) -> DataFrame:
-    """Records of valid requests and one row with ``reason`` per refused one, in one pass."""
-    resources, scopes, name, _ = LAYOUT[signal]
-    refused = F.col("error").isNotNull()
-    opened = built.select(
-        "request_key",
-        "received_at_unix_nano",
-        F.col("error").alias("reason"),
-        F.posexplode_outer(F.when(~refused, F.col("groups"))).alias("_g", "_group"),
-    ).select("*", F.posexplode_outer("_group.records").alias("_r", "_record"))
-    position = [F.col("_g").cast("bigint"), F.col("_r").cast("bigint")]
-    if signal == METRICS:
-        opened = opened.select("*", F.posexplode_outer("_record.points").alias("_p", "_point"))
-        position.append(F.col("_p").cast("bigint"))
-        data_field = F.when(
-            F.col("_record.metric_type") == "exponential_histogram", "exponentialHistogram"
-        ).otherwise(F.col("_record.metric_type"))
-        points = F.concat(F.lit('{"dataPoints":['), F.col("_point.point_json"), F.lit("]}"))
-        data = _joined(F.col("_record.data_before"), points, F.col("_record.data_after"))
-        record_json = _joined(
-            F.col("_record.metric_before"),
-            F.concat(F.lit('{"'), data_field, F.lit('":'), data, F.lit("}")),
-            F.col("_record.metric_after"),
-        )
-        parts = [opened.schema["_record"].dataType, opened.schema["_point"].dataType]
-        sources = dict.fromkeys(parts[0].names, "_record") | dict.fromkeys(parts[1].names, "_point")
-    else:
-        record_json = F.col("_record.record_json")
-        sources = dict.fromkeys(opened.schema["_record"].dataType.names, "_record")
-    sources |= dict.fromkeys(
-        ["service_name", "resource_attributes", "resource_schema_url", "scope_name", "scope_version",
-         "scope_attributes", "scope_schema_url"], "_group",
-    )
-    schema_url = lambda column: F.when(column != "", json_text(column))
-    scope_object = _object(
+    # Protocol defaults: a missing count is 0, and a summary always has a sum.
+    total = F.coalesce(p["sum"].try_cast("double"), F.when(kind == "summary", F.lit(0.0)))
+    columns = [
+        _time(p["startTimeUnixNano"]).alias("start_time_unix_nano"),
+        _time(p["timeUnixNano"]).alias("time_unix_nano"),
+        F.when(p["asInt"].isNotNull(), NUMBER_KINDS[0])
+        .when(p["asDouble"].isNotNull(), NUMBER_KINDS[1])
+        .alias("number_kind"),
+        p["asInt"].try_cast("bigint").alias("number_int"),
+        F.when(p["asInt"].isNull(), finite(p["asDouble"].try_cast("double"))).alias("number_double"),
+        F.when(~number, F.coalesce(_whole(p["count"]), F.lit("0"))).alias("aggregate_count"),
+        F.when(~number, finite(total)).alias("aggregate_sum"),
+        finite(p["min"].try_cast("double")).alias("aggregate_min"),
+        finite(p["max"].try_cast("double")).alias("aggregate_max"),
+        attributes_text(p["attributes"]).alias("attributes"),
+        F.coalesce(p["flags"].try_cast("bigint"), F.lit(0).cast("bigint")).alias("flags"),
+        _object_list(p["exemplars"], exemplar).alias("exemplars"),
+        F.coalesce(_counts_list(p["bucketCounts"]), F.lit("[]")).alias("bucket_counts"),
+        F.coalesce(_numbers_list(p["explicitBounds"]), F.lit("[]")).alias("explicit_bounds"),
+        F.nullif(p["scale"].try_cast("int"), F.lit(0)).alias("scale"),
+        _whole(p["zeroCount"]).alias("zero_count"),
+        F.nullif(p["zeroThreshold"].try_cast("double"), F.lit(0.0)).alias("zero_threshold"),
+        side(p["positive"]).alias("positive"),
+        side(p["negative"]).alias("negative"),
+        quantiles.alias("quantile_values"),
+        F.when(p["asInt"].isNull(), _double(p["asDouble"])).alias("_as_double"),
+        _double(p["sum"]).alias("_sum"),
+        _double(p["min"]).alias("_min"),
+        _double(p["max"]).alias("_max"),
+    ]
+    quoted = lambda text: F.concat(F.lit('"'), text, F.lit('"'))
+    point = _object(
         [
-            (name, F.concat(F.lit("["), record_json, F.lit("]"))),
-            ("schemaUrl", schema_url(F.col("_group.scope_schema_url"))),
-            ("scope", F.col("_group.scope_json")),
+            ("asDouble", F.col("_as_double")),
+            ("asInt", quoted(F.col("number_int").cast("string"))),
+            ("attributes", _optional(F.col("attributes"))),
+            ("bucketCounts", _optional(F.col("bucket_counts"))),
+            ("count", quoted(F.nullif(F.col("aggregate_count"), F.lit("0")))),
+            ("exemplars", _optional(F.col("exemplars"))),
+            ("explicitBounds", _optional(F.col("explicit_bounds"))),
+            ("flags", _digits("flags")),
+            ("max", F.col("_max")),
+            ("min", F.col("_min")),
+            ("negative", F.col("negative")),
+            ("positive", F.col("positive")),
+            ("quantileValues", _optional(F.col("quantile_values"))),
+            ("scale", F.col("scale").cast("string")),
+            ("startTimeUnixNano", quoted(_digits("start_time_unix_nano"))),
+            ("sum", F.col("_sum")),
+            ("timeUnixNano", quoted(_digits("time_unix_nano"))),
+            ("zeroCount", quoted(F.col("zero_count"))),
+            ("zeroThreshold", F.col("zero_threshold").cast("string")),
         ]
     )
-    resource_object = _object(
+    data = _object(
         [
-            ("resource", F.col("_group.resource_json")),
-            ("schemaUrl", schema_url(F.col("_group.resource_schema_url"))),
-            (scopes, F.concat(F.lit("["), scope_object, F.lit("]"))),
+            ("aggregationTemporality", F.col("_temporality_code")),
+            ("dataPoints", F.concat(F.lit("["), point, F.lit("]"))),
+            ("isMonotonic", F.when(F.col("monotonic") == 1, F.lit("true"))),
         ]
     )
-    payload = F.concat(F.lit(f'{{"{resources}":['), resource_object, F.lit("]}"))
-    columns = [
-        F.col(f"{sources[field.name]}.{field.name}").cast(field.dataType).alias(field.name)
-        for field in TABLE_SCHEMAS[signal]
-        if field.name in sources
-    ]
-    present = F.col("_point" if signal == METRICS else "_record").isNotNull() | F.col("reason").isNotNull()
-    enveloped = opened.where(present).select(
-        "request_key",
-        F.array(*position).alias("position"),
-        "received_at_unix_nano",
-        "reason",
-        *columns,
-        payload.alias("payload_json"),
-    )
-    size = F.octet_length("payload_json")
-    if signal == LOGS:
-        size = size + F.octet_length("body_json")
-    return enveloped.withColumns(
-        {"fingerprint": F.sha2("payload_json", 256), "payload_bytes": size.cast("bigint")}
+    data_field = F.when(kind == "exponential_histogram", "exponentialHistogram").otherwise(kind)
+    metric = F.concat_ws(
+        ",",
+        F.concat(F.lit('{"description":'), _quoted(F.col("description"))),
+        F.concat(F.when(F.col("description") == "", "{").otherwise(""), F.lit('"'), data_field, F.lit('":'), data),
+        F.concat(F.lit('"metadata":'), _optional(F.col("_metadata_text"))),
+        F.concat(F.lit('"name":'), _quoted(F.col("metric_name"))),
+        F.concat(F.lit('"unit":'), _quoted(F.col("unit"))),
     )
+    return columns, F.concat(metric, F.lit("}"))
+
+
+def _nonzero(text: Column) -> Column:
+    number = text.try_cast("bigint")
+    return F.when(number != 0, number.cast("string"))
 
 
 def storable(signal: str) -> Column:

@@ -185,23 +185,22 @@ class Store(Reader):
         # The requests are parsed once; all later steps read the written columns, and a
         # lost executor costs no second parse.
         staging = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        outcome = ingest.outcome(ingest.build_requests(requests, signal, keys), signal)
+        outcome = ingest.outcome(ingest.build_requests(requests, signal), signal, keys)
         outcome.withColumn("refused", F.col("reason").isNotNull()).write.partitionBy("refused").parquet(staging)
         staged = self.spark.read.schema(outcome.schema.add("refused", T.BooleanType())).parquet(staging)
         rows = staged.where(~F.col("refused")).drop("refused", "reason")
         rows = rows.where(F.assert_true(ingest.storable(signal)).isNull())
+        large = ingest.oversized(rows)
         refused = staged.where("refused").select("request_key", "received_at_unix_nano", "reason")
+        if not large.isEmpty():
+            refused = refused.unionByName(_refused(rows, large, "persisted payload exceeds 64 MiB"))
+            rows = rows.join(large, "request_key", "left_anti")
         count = rows.count()
         stored = self.table(signal)
         if signal == SPANS:
             fresh, conflicting = dedup.accepted_spans(rows, stored, count)
-            reason = F.lit("span identity exists with different content")
-            refused = refused.unionByName(
-                rows.join(conflicting, "request_key", "left_semi")
-                .groupBy("request_key")
-                .agg(F.min("received_at_unix_nano").alias("received_at_unix_nano"))
-                .withColumn("reason", reason)
-            )
+            reason = "span identity exists with different content"
+            refused = refused.unionByName(_refused(rows, conflicting, reason))
         else:
             order = ["received_at_unix_nano", "request_key", "position"]
             copies = dedup.first_copies(rows, ["fingerprint"], order)
@@ -306,6 +305,16 @@ class Store(Reader):
         return self.spark.read.schema(schema).parquet(path).where(F.col("batch") <= self.state.batch)
 
 
+def _refused(rows: DataFrame, keys: DataFrame, reason: str) -> DataFrame:
+    """Refused requests among ``rows`` in the form of the quarantine table."""
+    return (
+        rows.join(keys, "request_key", "left_semi")
+        .groupBy("request_key")
+        .agg(F.min("received_at_unix_nano").alias("received_at_unix_nano"))
+        .withColumn("reason", F.lit(reason))
+    )
+
+
 def _write_state(spark: SparkSession, root: str, state: State) -> None:
     text = json.dumps({**asdict(state), "mark": list(state.mark)}, sort_keys=True)
     files.create_text(spark, f"{root}/_state/{state.version:012d}.json", text)
