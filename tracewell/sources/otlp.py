@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.anyvalue import normalize
+from tracewell.functions.anyvalue import failure, normalize
 from tracewell.model import LOGS, METRICS, SPANS
 
 # Numbers are read as text: 64-bit integers arrive as JSON strings or numbers, and text
@@ -101,8 +101,8 @@ def parse_requests(requests: DataFrame, signal: str) -> DataFrame:
     """Add ``parsed`` (typed request tree) and ``parse_error`` to each request."""
     options = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
     prepared = requests.withColumn("_nested", normalize(F.col("value")))
-    text = F.coalesce("_nested.text", "value")
+    text = F.coalesce("_nested", "value")
     parsed = prepared.withColumn("parsed", F.from_json(text, request_schema(signal), options))
     malformed = F.col("parsed").isNull() | F.col("parsed._corrupt").isNotNull()
-    error = F.coalesce("_nested.error", F.when(malformed, "malformed request"))
+    error = F.coalesce(failure(F.col("_nested")), F.when(malformed, "malformed request"))
     return parsed.withColumn("parse_error", error).drop("_nested")
