@@ -23,7 +23,8 @@ MAX_BYTES = (3 << 30) - (64 << 20)
 EVICTION_BATCH = 5_000
 HOUR_NANOS = 3_600_000_000_000
 
-FANOUT = 1024  # buckets per step of the search, and rows per collect
+FANOUT = 65_536  # buckets per step of the search
+COLLECTED = 65_536  # keys that the last step may bring to the driver
 
 
 class Mark(NamedTuple):
@@ -92,41 +93,48 @@ def size_mark(records: DataFrame, budget: int, batch: int = EVICTION_BATCH) -> M
     excess = (total.bytes or 0) - budget
     if excess <= 0:
         return None
-    cut, rank = _reach(records, F.col("bytes"), excess)
+    cut, rank = _reach(records, "bytes", excess)
     wanted = min(-(-rank // batch) * batch, total.rows)
     if wanted != rank:
-        cut, _ = _reach(records, F.lit(1), wanted)
+        cut, _ = _reach(records, "rows", wanted)
     return Mark(cut.received, cut.signal, cut.id + 1)
 
 
-def _reach(records: DataFrame, weight: Column, target: int) -> tuple[Mark, int]:
-    """The key at which the running sum of ``weight`` reaches ``target``, and its rank."""
-    chosen = {}
-    before_weight = before_rows = 0
+def _reach(records: DataFrame, measure: str, target: int) -> tuple[Mark, int]:
+    """The key at which the running sum of bytes or rows reaches ``target``, and its rank."""
+    before = {"bytes": 0, "rows": 0}
     scope = records
+
+    def pass_until_reached(groups) -> dict:
+        for group in groups:
+            if before[measure] + group[measure] >= target:
+                return group
+            before["bytes"] += group["bytes"]
+            before["rows"] += group["rows"]
+        raise ValueError("the records hold less than the target")
+
     for name in ("received", "signal", "id"):
         bounds = scope.agg(F.min(name).alias("low"), F.max(name).alias("high")).first()
         low, high = bounds.low, bounds.high
         while True:
             width = (high - low) // FANOUT + 1
             within = scope.where(F.col(name).between(low, high))
-            offset = F.col(name).cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")
-            bucket = F.floor(offset / F.lit(width).cast("decimal(38,0)")).cast("int")
+            # Ids use all 64 bits, so the distance needs more than a bigint.
+            distance = F.col(name).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
             sums = (
-                within.groupBy(bucket.alias("bucket"))
-                .agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("rows"))
+                within.groupBy(F.floor(distance / F.lit(width).cast("decimal(20,0)")).alias("bucket"))
+                .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
                 .orderBy("bucket")
                 .collect()
             )
-            for row in sums:
-                if before_weight + row.weight >= target:
-                    break
-                before_weight += row.weight
-                before_rows += row.rows
-            low = low + row.bucket * width
+            chosen = pass_until_reached(sums)
+            low = low + int(chosen["bucket"]) * width
             high = min(low + width - 1, high)
+            scope = scope.where(F.col(name).between(low, high))
+            if chosen["rows"] <= COLLECTED:
+                last = scope.select("received", "signal", "id", "bytes", F.lit(1).alias("rows"))
+                key = pass_until_reached(last.orderBy("received", "signal", "id").collect())
+                return Mark(key["received"], key["signal"], key["id"]), before["rows"] + 1
             if width == 1:
                 break
-        chosen[name] = low
-        scope = scope.where(F.col(name) == low)
-    return Mark(chosen["received"], chosen["signal"], chosen["id"]), before_rows + row.rows
+    raise ValueError("retention keys are not unique")

@@ -17,6 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Names a folder that holds the derived tables as Parquet; unset, they are derived on the fly.
+PREPARED = "spark.tracewell.prepared"
+
+
+def prepared(function):
+    """Read a derived table from the prepared folder of the session, if there is one."""
+
+    def read(spark: SparkSession, sf_dir: str, *options) -> DataFrame:
+        folder = spark.conf.get(PREPARED, None)
+        if folder and not options:
+            return spark.read.parquet(f"{folder}/{function.__name__}")
+        return function(spark, sf_dir, *options)
+
+    read.__doc__ = function.__doc__
+    return read
+
+
 def nanos(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp")) * 1000
 
@@ -72,6 +89,7 @@ def _context(instance: Column) -> dict[str, Column]:
     }
 
 
+@prepared
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log per event."""
     event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
@@ -100,6 +118,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@prepared
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One span per line item, started when its order was placed."""
     lines = table(spark, sf_dir, "lineitem").select(
@@ -146,6 +165,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@prepared
 def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One point per event, plus a second point at the same time for every 71st event."""
     event, user, kind, ns = F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("ns")
@@ -269,6 +289,7 @@ def _requests(elements: DataFrame, root: str) -> DataFrame:
     )
 
 
+@prepared
 def log_requests(spark: SparkSession, sf_dir: str, reverse_attributes: bool = False) -> DataFrame:
     """The logs as OTLP-JSON requests with credentials, nested bodies and invalid times."""
     event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
@@ -322,6 +343,7 @@ def log_requests(spark: SparkSession, sf_dir: str, reverse_attributes: bool = Fa
     )
 
 
+@prepared
 def span_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span as a request of its own; some carry an event with a credential."""
     event = _text(
@@ -351,6 +373,7 @@ def span_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@prepared
 def metric_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metric points as OTLP-JSON requests with all five types."""
     kind = F.col("metric_type")
@@ -401,6 +424,7 @@ def metric_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@prepared
 def status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of the lifetime counters of many processes, one per event."""
     event, user = F.col("event_id"), F.col("user_id")

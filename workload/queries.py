@@ -269,6 +269,10 @@ def span_accepted(spark, sf_dir):
         F.array(F.lit(0).cast("bigint")).alias("position"),
         "received_at_unix_nano", "trace_id", "span_id", "fingerprint", "id", "name",
     )
+    # As in ingest, the batch is written once and all steps read the written columns.
+    folder = work_folder(spark, "span-batch")
+    rows.write.parquet(folder)
+    rows = spark.read.parquet(folder)
     new, _ = dedup.accepted_spans(rows, rows.limit(0), rows.count())
     return new.drop("position")
 
@@ -285,6 +289,13 @@ def _sized_tables(spark, sf_dir) -> dict[str, DataFrame]:
     }
 
 
+def _keys(spark, tables: dict[str, DataFrame]) -> DataFrame:
+    """Retention keys as a stored table, which is what a store has."""
+    folder = work_folder(spark, "retention-keys")
+    retention.keys(tables).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def _kept(tables: dict[str, DataFrame], mark: retention.Mark) -> DataFrame:
     return retention.keys({name: retention.kept(table, name, mark) for name, table in tables.items()})
 
@@ -298,7 +309,7 @@ def retention_age(spark, sf_dir):
 @query
 def retention_size(spark, sf_dir):
     tables = _sized_tables(spark, sf_dir)
-    keys = retention.keys(tables)
+    keys = _keys(spark, tables)
     half = keys.agg(F.sum("bytes")).first()[0] // 2
     return _kept(tables, retention.size_mark(keys, half, batch=1))
 
@@ -306,7 +317,7 @@ def retention_size(spark, sf_dir):
 @query
 def retention_size_batched(spark, sf_dir):
     tables = _sized_tables(spark, sf_dir)
-    keys = retention.keys(tables)
+    keys = _keys(spark, tables)
     tenth = keys.agg(F.sum("bytes")).first()[0] // 10
     return _kept(tables, retention.size_mark(keys, tenth))
 
