@@ -121,8 +121,9 @@ def _reach(records: DataFrame, measure: str, target: int) -> tuple[Mark, int]:
             within = scope.where(F.col(name).between(low, high))
             # Ids use all 64 bits, so the distance needs more than a bigint.
             distance = F.col(name).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+            bucket = F.call_function("div", distance, F.lit(width).cast("decimal(20,0)"))
             sums = (
-                within.groupBy(F.floor(distance / F.lit(width).cast("decimal(20,0)")).alias("bucket"))
+                within.groupBy(bucket.alias("bucket"))
                 .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
                 .orderBy("bucket")
                 .collect()
