@@ -24,18 +24,24 @@ def first_copies(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> D
     return kept.select(*[F.col(name) if name in key else F.col(f"_row.{name}") for name in rows.columns])
 
 
-def unseen(rows: DataFrame, stored: DataFrame, key: Sequence[str], row_count: int) -> DataFrame:
-    """Rows whose ``key`` is not in ``stored``.
-
-    The stored keys are reduced to those of the batch first. A batch of known, modest size
-    is broadcast for that, so the large side is scanned but never shuffled; a larger batch
-    takes a shuffled join.
+def already_stored(
+    rows: DataFrame, stored: DataFrame, key: Sequence[str], row_count: int, columns: Sequence[str] = ()
+) -> DataFrame:
+    """Stored ``key`` and ``columns`` of the keys that occur in the batch ``rows``.
+
+    A batch of known, modest size is broadcast, so the stored table is scanned but never
+    shuffled; a larger batch takes a shuffled join. Either way no more than one row per
+    key of the batch is left.
     """
     keys = rows.select(*key).distinct()
     if row_count <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    known = stored.select(*key).join(keys, list(key), "left_semi").distinct()
-    return rows.join(known, list(key), "left_anti")
+    return stored.select(*key, *columns).join(keys, list(key), "left_semi").dropDuplicates(list(key))
+
+
+def unseen(rows: DataFrame, stored: DataFrame, key: Sequence[str], row_count: int) -> DataFrame:
+    """Rows whose ``key`` is not in ``stored``."""
+    return rows.join(already_stored(rows, stored, key, row_count), list(key), "left_anti")
 
 
 def conflicting_identities(spans: DataFrame) -> DataFrame:
@@ -58,8 +64,9 @@ def decide_spans(spans: DataFrame, stored: DataFrame) -> DataFrame:
     Requests take effect in order of receipt, each as a whole: a request is refused if one
     of its spans exists with other content, stored or in an accepted earlier request.
     Requests not in the result are accepted. ``spans`` needs request_key,
-    received_at_unix_nano, the identity and the fingerprint; only contested identities
-    take part, and each round settles at least the earliest open request.
+    received_at_unix_nano, the identity and the fingerprint; ``stored`` the identity and
+    fingerprint of stored spans, best reduced by :func:`already_stored`. Only contested
+    identities take part, and each round settles at least the earliest open request.
     """
     claims = spans.select("request_key", "received_at_unix_nano", *SPAN_IDENTITY, "fingerprint")
     held = stored.select(*SPAN_IDENTITY, F.col("fingerprint").alias("_held"))
@@ -132,8 +139,12 @@ def _verdict() -> list[Column]:
 
 def accepted_spans(spans: DataFrame, stored: DataFrame, row_count: int) -> tuple[DataFrame, DataFrame]:
     """(new spans of accepted requests, keys of refused requests)."""
-    status = decide_spans(spans, stored)
+    # What the store holds of these identities is read once and used by every step.
+    folder = work_folder(spans.sparkSession, "held-spans")
+    already_stored(spans, stored, SPAN_IDENTITY, row_count, ["fingerprint"]).write.parquet(folder)
+    held = spans.sparkSession.read.parquet(folder)
+    status = decide_spans(spans, held)
     refused = status.where(~F.col("accepted")).select("request_key")
     kept = spans.join(refused, "request_key", "left_anti")
     copies = first_copies(kept, SPAN_IDENTITY, ["received_at_unix_nano", "request_key", "position"])
-    return unseen(copies, stored, SPAN_IDENTITY, row_count), refused
+    return copies.join(held, SPAN_IDENTITY, "left_anti"), refused
