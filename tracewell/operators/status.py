@@ -23,9 +23,7 @@ COUNTERS = [
 # The fields whose change makes an interval worth reporting.
 WATCHED = [*COUNTERS, "store_ready", "last_error", "pipeline_ready"]
 
-# Reporting cadence in seconds.
-ACTIVITY_SECONDS = 10
-IDLE_SECONDS = 60
+ACTIVITY_SECONDS = 10  # fixed value: reporting cadence
 
 
 def counter_delta(previous: Column, current: Column) -> Column:
