@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import jaccard, neighbours, packing, substrings
+from tracewell.llm import divergence, jaccard, neighbours, packing, passages, pieces, pseudonyms, substrings, toxicity, warc
+from tracewell.llm.learning import remainder
 from tracewell.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +108,111 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""
+
+
+@query
+def op3_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"))
+    coded = pieces.decode(pieces.encode(docs, "source", "ids"), "ids", "decoded")
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("source")).alias("round_trip"),
+    )
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id") != 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    held_out = (remainder("doc_id") == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "expected_severity", "severity", "toxic")
+
+
+@query
+def op7_distribution_rules(spark, sf_dir):
+    judged = divergence.judge(table(spark, sf_dir, "documents"))
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *measures, "base_failed", "kept")
+
+
+@query
+def op8_warc_derivatives(spark, sf_dir):
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")), "page_id")
+    return made.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest",
+        "source_digest", "block",
+    )
+
+
+def _warc_oracle() -> str:
+    def text(value: str) -> str:
+        for pattern in (r"(?s)<!--.*?(?:-->|\z)", *(rf"(?is)<{t}\b.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript"))):
+            value = f"regexp_replace({value}, '{pattern}', ' ', 'g')"
+        value = f"regexp_replace({value}, '(?i)</?(?:{warc.LINE_TAGS})\\b[^>]*>', chr(10), 'g')"
+        value = f"regexp_replace({value}, '</?[A-Za-z!?][^>]*>', '', 'g')"
+        for name, sign in [*warc.ENTITIES.items(), ("amp", "&")]:
+            quoted = sign.replace("'", "''")
+            value = f"replace({value}, '&{name};', '{quoted}')"
+        value = f"regexp_replace({value}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
+        value = f"regexp_replace({value}, ' ?\\n[ \\n]*', chr(10), 'g')"
+        return f"regexp_replace({value}, '^[ \\n]+|[ \\n]+\\z', '', 'g')"
+
+    def number(value: str) -> str:
+        cut = ", ".join(f"substr(md5({value}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+        return f"'<urn:uuid:' || concat_ws('-', {cut}) || '>'"
+
+    source = number("'response|' || coalesce(url, '') || '|' || sha256(html)")
+    end = "chr(13) || chr(10)"
+    return rf"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+s AS (
+  SELECT *, {source} AS refers_to, 'sha256:' || sha256(html) AS source_digest, {text("html")} AS body,
+         {text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")} AS title,
+         len(regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=')) AS links
+  FROM p),
+c AS (SELECT *, {number("'conversion|' || refers_to")} AS conversion, {number("'metadata|' || refers_to")} AS metadata FROM s),
+r AS (
+  SELECT page_id, url, refers_to, source_digest, 'metadata' AS record_type, metadata AS record_id,
+         'application/warc-fields' AS content_type,
+         coalesce('source-uri: ' || url || {end}, '') || 'source-status: 200' || {end} ||
+         'source-content-type: text/html; charset=utf-8' || {end} || 'source-payload-digest: ' || source_digest || {end} ||
+         'title: ' || replace(title, chr(10), ' ') || {end} || 'links: ' || links || {end} || 'conversion: ' || conversion || {end}
+           AS block
+  FROM c
+  UNION ALL
+  SELECT page_id, url, refers_to, source_digest, 'conversion', conversion, 'text/plain; charset=utf-8', body FROM c)
+SELECT page_id, record_type, record_id, refers_to, url AS target_uri, content_type,
+       CAST(octet_length(encode(block)) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, block
+FROM r"""
+
+
+_ORACLES["op8_warc_derivatives"] = _warc_oracle()
+
+
+@query
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id") != 0)
+    scored = passages.score(docs.select("doc_id", "text"), passages.fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id") == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= passages.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op10_pseudonyms(spark, sf_dir):
+    return pseudonyms.protect(table(spark, sf_dir, "documents")).select("doc_id", "n_replaced", "text")
+
+
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

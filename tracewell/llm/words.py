@@ -53,6 +53,15 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
+def spaces(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A random 64-bit value for each byte, to be hashed by ranges."""
+    return _BYTE[data]
+
+
 @dataclass
 class Words:
     """Words of consecutive documents; ``first[d]:first[d + 1]`` are those of document d."""
