@@ -5,9 +5,11 @@ Method (count-vector R-tree):
 1. Documents with equal sets form a class (the class number is a 64-bit hash of the set); from here on only classes
    count, so copies cost nothing.
 2. *Cells.* The shingles of a set are dealt by hash into more ranges than two linked sets can differ in. So linked sets
-   agree on at least one range, and a class signs with the content of each of its ranges. Sets of other sizes are dealt
-   by levels of size; a class that can have a partner in the next level signs there too. The ranges of under two
-   shingles say little; so many spare ranges are added that a class may leave out a sixteenth of them.
+   agree on some ranges, and a class signs with the content of each of its ranges. Sets of other sizes are dealt by
+   levels of size; a class that can have a partner in the next level signs there too. The ranges of under two shingles
+   say little; so many spare ranges are added that a class may leave out a sixteenth of them. More spare ranges (a
+   quarter) mean that linked sets agree on a number of signed ranges, not only one: a class that shares fewer of its
+   cells with others is out, and so in turns, until only cells of classes with likely partners are left.
 3. *Stars.* In each cell all classes are compared with the least one, by their full sets. This joins groups of near
    copies, however large, with a number of comparisons in proportion to their members.
 4. *R-tree.* What remains are cells that hold classes of different components. Their classes become points, the numbers of
@@ -37,21 +39,18 @@ PERCENT = 90
 GROUPS = 128
 BLOCK = 4096
 LEAF = 16
+TURNS = 3
 _RATIO = 1.5
 
 
-def _levels(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least sizes of the levels, numbers of ranges in each and numbers of ranges that may be left out."""
+def _levels(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By level: least size, number of ranges, how many may be left out, and how many signed ones linked sets share."""
     start = -(-percent // (100 - percent))
     starts = [start]
     while starts[-1] < 2**31:
         starts.append(max(starts[-1] + 1, int(starts[-1] * max(_RATIO, 100 / percent + 0.01))))
-    differ = [(following - 1) * (100 - percent) // percent for following in starts[1:]]
-    return (
-        np.array(starts[:-1]),
-        np.array([d + 1 + d // 16 for d in differ]),
-        np.array([d // 16 for d in differ]),
-    )
+    differ = np.array([(following - 1) * (100 - percent) // percent for following in starts[1:]])
+    return np.array(starts[:-1]), differ + 1 + differ // 16 + differ // 4, differ // 16, differ // 4 + 1
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +99,8 @@ def _cells(hashes: np.ndarray, first: np.ndarray, which: np.ndarray, level: np.n
 
 
 def _describe(shingle: int, percent: int):
-    """Rows (row_key, n, class, cells) of documents."""
-    starts, ranges, spare = _levels(percent)
+    """Rows (row_key, n, class, cells, own, need, need_above) of documents: the first ``own`` cells are those of the own level."""
+    starts, ranges, spare, shared = _levels(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +115,18 @@ def _describe(shingle: int, percent: int):
                 owner, cell = np.concatenate([owner, more]), np.concatenate([cell, above])
                 order = np.argsort(owner, kind="stable")
                 borders = np.searchsorted(owner[order], np.arange(end - begin + 1)).astype(np.int32)
+                at_least = np.append(shared, shared[-1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row_key").slice(begin, end - begin),
                         pa.array(n.astype(np.int64)),
                         pa.array(_class(hashes, first)),
                         pa.ListArray.from_arrays(pa.array(borders), pa.array(cell[order].view(np.int64))),
+                        pa.array(np.bincount(owner[: len(owner) - len(more)], minlength=end - begin).astype(np.int32)),
+                        pa.array(at_least[np.maximum(level, 0)].astype(np.int32)),
+                        pa.array(at_least[np.maximum(level, 0) + 1].astype(np.int32)),
                     ],
-                    names=["row_key", "n", "class", "cells"],
+                    names=["row_key", "n", "class", "cells", "own", "need", "need_above"],
                 )
 
     return run
@@ -234,34 +237,53 @@ def _candidates(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough."""
-    one, other = (
-        sets.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab"
-    )
-    joined = pairs.join(one, "a").join(other, "b").where(
-        f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    )
-    shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return (
-        joined.withColumn("shared", shared)
-        .where(f"100 * shared >= {percent} * (n_a + n_b - shared)")
-        .select("a", "b")
-    )
+def _side(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+    return rows.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+
+
+def _alike(shared, percent: int):
+    return (100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, staging: Staging, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets are alike enough; narrow bounds by size and group counts come before the sets."""
+    sized = pairs.join(_side(sets, "a", "n"), "a").join(_side(sets, "b", "n"), "b")
+    sized = sized.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+    near = sized.join(_side(sets, "a", "n", "counts"), "a").join(_side(sets, "b", "n", "counts"), "b")
+    minima = F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y))
+    near = near.where(_alike(F.aggregate(minima, F.lit(0), lambda total, x: total + x), percent)).select("a", "b")
+    near = staging.write(near, f"{name}-near")
+    joined = near.join(_side(sets, "a", "n", "shingles"), "a").join(_side(sets, "b", "n", "shingles"), "b")
+    return joined.where(_alike(F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"), percent)).select("a", "b")
+
+
+def _heads(cells: DataFrame) -> DataFrame:
+    """The least class of each cell that has several."""
+    found = cells.groupBy("cell").agg(F.min("class").alias("head"), F.max("class").alias("last"))
+    return found.where("head <> last").select("cell", "head")
 
 
 def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: Staging) -> DataFrame:
     """Rows (row_key, n, group), one per distinct row; equal groups are one component, documents without words have none."""
     keyed = docs.select(row_key(*docs.columns).alias("row_key"), F.col(text).alias("text"))
-    described = keyed.mapInArrow(_describe(shingle, percent), "row_key long, n long, class long, cells array<long>")
-    described = staging.write(described, "described")
-
-    signed = described.select("class", F.explode("cells").alias("cell"))
-    heads = signed.groupBy("cell").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head <> last")
-    heads = staging.write(heads.select("cell", "head"), "heads")
-    entries = staging.write(signed.join(heads, "cell").select("cell", "class", "head").distinct(), "entries")
+    schema = "row_key long, n long, class long, cells array<long>, own int, need int, need_above int"
+    described = staging.write(keyed.mapInArrow(_describe(shingle, percent), schema), "described")
+    cells = described.select("class", F.explode("cells").alias("cell"))
+    heads = staging.write(_heads(cells), "heads")
+    signed = described.select("class", "own", "need", "need_above", F.posexplode("cells").alias("at", "cell"))
+    above = F.col("at") >= F.col("own")
+    signed = signed.select("class", "cell", above.alias("above"), F.when(above, F.col("need_above")).otherwise(F.col("need")).alias("need"))
+    entries = staging.write(signed.join(heads.select("cell"), "cell", "left_semi").distinct(), "entries-0")
     classes = staging.write(described.select("row_key", "n", "class").distinct(), "classes")
     staging.drop("described", "heads")
+    for turn in range(1, TURNS + 1):
+        enough = entries.groupBy("class", "above", "need").count().where("count >= need").select("class", "above")
+        entries = entries.join(enough, ["class", "above"], "left_semi")
+        entries = staging.write(entries, f"enough-{turn}")
+        entries = staging.write(entries.join(_heads(entries).select("cell"), "cell", "left_semi"), f"entries-{turn}")
+        staging.drop(f"entries-{turn - 1}", f"enough-{turn}")
+    entries = staging.write(entries.join(_heads(entries), "cell").select("cell", "class", "head"), "entries")
+    staging.drop(f"entries-{TURNS}")
 
     wanted = classes.join(entries.select("class").distinct(), "class", "left_semi").groupBy("class")
     wanted = wanted.agg(F.min("row_key").alias("row_key")).select("row_key")
@@ -273,15 +295,21 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
         sets = staging.write(sets.dropDuplicates(["class"]), "sets-once")
 
     star = entries.where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
-    star = staging.write(_verified(star, sets, percent), "star")
+    star = staging.write(_verified(star, sets, percent, staging, "star"), "star")
     first = components(star, staging, "first")
 
     labelled = entries.join(first.withColumnRenamed("node", "class"), "class", "left")
     labelled = labelled.select("cell", "class", F.coalesce("root", "class").alias("component"))
+    # Cells of the same classes need one search only; what they hold is known by count and two hashes.
     mixed = labelled.groupBy("cell").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("class")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("two"),
     )
-    mixed = mixed.where("low <> high").select("cell", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    mixed = mixed.where("low <> high").groupBy("size", "one", "two").agg(F.min("cell").alias("cell"))
+    mixed = mixed.select("cell", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
     spread = labelled.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("class"), "blocks"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = spread.select(
@@ -293,13 +321,13 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
     points = spread.join(sets.select("class", "n", "counts"), "class")
     points = points.repartition("meet").sortWithinPartitions("meet")
     found = points.mapInArrow(_candidates(percent), "a long, b long").distinct()
-    found = staging.write(_verified(staging.write(found, "candidates"), sets, percent), "found")
+    found = staging.write(_verified(staging.write(found, "candidates"), sets, percent, staging, "found"), "found")
     last = components(star.unionByName(found), staging, "last")
 
     grouped = classes.join(last.withColumnRenamed("node", "class"), "class", "left")
     group = F.when(F.col("n") > 0, F.coalesce("root", "class"))
     grouped = staging.write(grouped.select("row_key", "n", group.alias("group")), "grouped")
-    staging.drop("entries", "classes", "sets", "sets-once", "candidates")
+    staging.drop("entries", "classes", "sets", "sets-once", "candidates", "star-near", "found-near")
     return grouped
 
 

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MODEL = "piece_bpe_32k.model"
-REMEMBERED = 3 << 18
+REMEMBERED = 1 << 18
+ROWS = 256
 _MARK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 
@@ -208,16 +209,17 @@ def pieces_of(model: str) -> Pieces:
     return kept[key]
 
 
-def _with(docs: DataFrame, source: str, column: str, kind: str, work) -> DataFrame:
+def _with(docs: DataFrame, source: str, column: str, kind: pa.DataType, model: str, convert) -> DataFrame:
     fields = [f for f in docs.schema.fields if f.name != column]
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        convert = None
         for batch in batches:
-            convert = convert or work()
-            made = convert(batch.column(source))
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [made], names=[*names, column])
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                pieces = pieces_of(model)
+                made = [None if v is None else convert(pieces, v) for v in part.column(source).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(made, kind)], names=[*names, column])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return docs.select(*[f"`{n}`" for n in names]).mapInArrow(run, f"{kinds}, `{column}` {kind}")
@@ -229,27 +231,9 @@ def encode(docs: DataFrame, text: str = "text", column: str = "ids", model: str
     Null stays null, an empty text has no ids. Ids equal those of the sentencepiece library. ``column`` is replaced if
     present. Whole texts are encoded; a text of any length needs a window of it and its ids.
     """
-
-    def work():
-        pieces = pieces_of(model)
-
-        def convert(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else pieces.encode(t) for t in texts.to_pylist()], pa.binary())
-
-        return convert
-
-    return _with(docs, text, column, "binary", work)
+    return _with(docs, text, column, pa.binary(), model, Pieces.encode)
 
 
 def decode(docs: DataFrame, ids: str = "ids", column: str = "text", model: str = MODEL) -> DataFrame:
     """``docs`` with the text of ``ids`` in ``column``: what was encoded, except that a literal mark becomes a blank."""
-
-    def work():
-        pieces = pieces_of(model)
-
-        def convert(rows: pa.Array) -> pa.Array:
-            return pa.array([None if r is None else pieces.decode(r) for r in rows.to_pylist()], pa.string())
-
-        return convert
-
-    return _with(docs, ids, column, "string", work)
+    return _with(docs, ids, column, pa.string(), model, Pieces.decode)
