@@ -59,9 +59,9 @@ def parse_filter(text: str) -> tuple[str, str, str | bool | int | float]:
     """
     key, found, literal = text.partition("=")
     if not found or not key:
-        raise ValueError("attribute filter must use KEY=VALUE")
+        raise ValueError("an attribute filter reads KEY=VALUE")
     if len(text.encode()) > MAX_FILTER_BYTES:
-        raise ValueError(f"attribute filter exceeds {MAX_FILTER_BYTES} bytes")
+        raise ValueError(f"an attribute filter has at most {MAX_FILTER_BYTES} bytes")
     try:
         value = json.loads(literal, parse_constant=_not_json)
     except ValueError:
@@ -72,13 +72,13 @@ def parse_filter(text: str) -> tuple[str, str, str | bool | int | float]:
         return key, "stringValue", value
     if isinstance(value, int):
         if not -(2**63) <= value < 2**63:
-            raise ValueError("integer attribute value is outside int64 range")
+            raise ValueError("the integer of an attribute filter needs more than 64 bits")
         return key, "intValue", value
     if isinstance(value, float):
         if value in (float("inf"), float("-inf")):
-            raise ValueError("invalid double attribute value")
+            raise ValueError("the number of an attribute filter is not finite")
         return key, "doubleValue", value
-    raise ValueError("attribute filters support strings, numbers, and booleans")
+    raise ValueError("an attribute filter compares with a string, a number or a boolean")
 
 
 def _not_json(name: str):
@@ -104,7 +104,7 @@ def matches(column: str, text: str) -> Column:
 
 def check_filter_count(resource: list[str], attribute: list[str]) -> None:
     if len(resource) + len(attribute) > MAX_FILTERS:
-        raise ValueError(f"at most {MAX_FILTERS} resource and attribute filters are allowed")
+        raise ValueError(f"more than {MAX_FILTERS} filters on resources and attributes")
 
 
 def _sensitive_pattern() -> str:

@@ -176,9 +176,9 @@ def _hex_id(text: Column) -> Column:
 def _attributes_error(attributes: Column, what: str) -> Column:
     limit = MAX_VALUE_BYTES
     tests = {
-        f"invalid {what} attributes: attribute key exceeds 1 MiB": lambda e: F.octet_length(e["key"]) > limit,
-        f"invalid {what} attributes: string exceeds 1 MiB": lambda e: F.octet_length(e["value"]["stringValue"]) > limit,
-        f"invalid {what} attributes: bytes exceed 1 MiB": lambda e: _bytes_length(e["value"]["bytesValue"]) > limit,
+        f"{what} attributes: a key is larger than 1 MiB": lambda e: F.octet_length(e["key"]) > limit,
+        f"{what} attributes: a string is larger than 1 MiB": lambda e: F.octet_length(e["value"]["stringValue"]) > limit,
+        f"{what} attributes: a bytes value is larger than 1 MiB": lambda e: _bytes_length(e["value"]["bytesValue"]) > limit,
         MALFORMED: lambda e: _bad_scalar(e["value"]),
     }
 
@@ -227,8 +227,26 @@ def _first_error(errors: Column) -> Column:
 def _time_error(what: str, *times: Column) -> Column:
     invalid = F.lit(False)
     for time in times:
-        invalid = invalid | (time.isNotNull() & time.try_cast("bigint").isNull())
-    return F.when(invalid, f"{what} timestamp exceeds the 64-bit range")
+        invalid = invalid | (time.isNotNull() & ~F.coalesce(time.try_cast("bigint") >= 0, F.lit(False)))
+    return F.when(invalid, f"a {what} timestamp is not in 0..2^63-1")
+
+
+def _numbers_error(**kinds: list[Column]) -> Column:
+    """Malformed if a given text is no number of its type; what is not given has the default of the protocol."""
+    wrong = F.lit(False)
+    for kind, texts in kinds.items():
+        for text in texts:
+            wrong = wrong | (text.isNotNull() & text.try_cast(kind.replace("decimal", "decimal(20,0)")).isNull())
+    return F.when(wrong, MALFORMED)
+
+
+def _lists_error(*lists: Column) -> Column:
+    """Malformed if an element of a list of counts is none."""
+    wrong = F.lit(False)
+    for items in lists:
+        bad = F.exists(items, lambda x: x.isNull() | ~F.coalesce(x.try_cast("decimal(20,0)") >= 0, F.lit(False)))
+        wrong = wrong | F.coalesce(bad, F.lit(False))
+    return F.when(wrong, MALFORMED)
 
 
 def _id_error(ids: list[tuple[Column, int]]) -> Column:
@@ -255,8 +273,9 @@ def _log_error(record: Column) -> Column:
         _bytes_length(body["bytesValue"]) > MAX_VALUE_BYTES, F.lit(False)
     )
     return F.coalesce(
-        _time_error("log", record["timeUnixNano"]),
-        F.when(large, "invalid log body: value exceeds 1 MiB").when(
+        _time_error("log", record["timeUnixNano"], record["observedTimeUnixNano"]),
+        _numbers_error(int=[record["severityNumber"]], bigint=[record["flags"], record["droppedAttributesCount"]]),
+        F.when(large, "a log body is larger than 1 MiB").when(
             F.coalesce(_bad_scalar(body), F.lit(False)), MALFORMED
         ),
         _attributes_error(record["attributes"], "log"),
@@ -268,11 +287,12 @@ def _span_error(span: Column) -> Column:
     missing = F.when(
         _hex_id(F.coalesce(span["traceId"], F.lit(""))).isNull()
         | _hex_id(F.coalesce(span["spanId"], F.lit(""))).isNull(),
-        "span trace_id and span_id are required",
+        "a span has no trace_id or no span_id",
     )
     return F.coalesce(
         _time_error("span", span["startTimeUnixNano"], span["endTimeUnixNano"]),
         missing,
+        _numbers_error(int=[span["kind"], span["status"]["code"]], bigint=[span["flags"], span["droppedAttributesCount"]]),
         _id_error([(span["traceId"], 32), (span["spanId"], 16), (span["parentSpanId"], 16)]),
         _attributes_error(span["attributes"], "span"),
         _any_attributes_error(span["events"], "attributes", "span event"),
@@ -305,6 +325,15 @@ def _metric_error(metric: Column) -> Column:
             if kind != "summary":
                 errors.append(_any_attributes_error(p["exemplars"], "filteredAttributes", "metric exemplar"))
             errors.append(_time_error("metric", p["startTimeUnixNano"], p["timeUnixNano"]))
+            errors.append(_numbers_error(bigint=[p["flags"]]))
+            if kind not in ("gauge", "sum"):
+                errors.append(_numbers_error(decimal=[p["count"]], double=[p["sum"]]))
+            if kind == "histogram":
+                errors.append(_lists_error(p["bucketCounts"]))
+            if kind == "exponential_histogram":
+                sides = [p["positive"], p["negative"]]
+                errors.append(_numbers_error(int=[p["scale"], *[s["offset"] for s in sides]], decimal=[p["zeroCount"]]))
+                errors.append(_lists_error(*[s["bucketCounts"] for s in sides]))
             if kind in ("gauge", "sum"):
                 errors.append(F.when(p["asInt"].isNotNull() & p["asInt"].try_cast("bigint").isNull(), MALFORMED))
             return F.coalesce(*errors)
@@ -312,7 +341,7 @@ def _metric_error(metric: Column) -> Column:
         return error
 
     return F.coalesce(
-        F.when(metric_type(metric).isNull(), "metric data type is required"),
+        F.when(metric_type(metric).isNull(), "a metric has no data"),
         _attributes_error(metric["metadata"], "metric metadata"),
         *[
             _first_error(F.transform(metric[_DATA_FIELD[kind]]["dataPoints"], point_error(kind)))
@@ -324,9 +353,9 @@ def _metric_error(metric: Column) -> Column:
 # --- Requests ------------------------------------------------------------------------
 
 _LIMITS = {
-    LOGS: (MAX_LOG_RECORDS, "log request exceeds 10000 records"),
-    SPANS: (MAX_SPANS, "trace request exceeds 5000 spans"),
-    METRICS: (MAX_METRICS, "metric request exceeds 10000 descriptors"),
+    LOGS: (MAX_LOG_RECORDS, f"more than {MAX_LOG_RECORDS} log records in a request"),
+    SPANS: (MAX_SPANS, f"more than {MAX_SPANS} spans in a request"),
+    METRICS: (MAX_METRICS, f"more than {MAX_METRICS} metrics in a request"),
 }
 _WHAT = {LOGS: "log", SPANS: "span", METRICS: "metric"}
 _RECORD_ERROR = {LOGS: _log_error, SPANS: _span_error, METRICS: _metric_error}

@@ -50,21 +50,26 @@ def age_mark(now_nanos: int, hours: int = DEFAULT_HOURS) -> Mark:
     return Mark(now_nanos - hours * HOUR_NANOS, 0, -(2**63))
 
 
-def kept(table: DataFrame, signal: str, mark: Mark) -> DataFrame:
-    """Rows of a signal table that the mark keeps."""
+def condition(signal: str, mark: Mark, dated: bool) -> Column:
+    """Whether the mark keeps a row of a signal table; ``dated`` tables are partitioned by receipt date."""
     received = F.col("received_at_unix_nano")
     own = SIGNALS.index(signal)
     if own > mark.signal:
-        condition = received >= mark.received
+        keeps = received >= mark.received
     elif own < mark.signal:
-        condition = received > mark.received
+        keeps = received > mark.received
     else:
-        condition = (received > mark.received) | ((received == mark.received) & (F.col("id") >= mark.id))
+        keeps = (received > mark.received) | ((received == mark.received) & (F.col("id") >= mark.id))
         # Implied, but in a form that Parquet statistics can use.
-        condition = (received >= mark.received) & condition
-    if "received_date" in table.columns:
-        condition = (F.col("received_date") >= receipt_date(F.lit(max(mark.received, 0)))) & condition
-    return table.where(condition)
+        keeps = (received >= mark.received) & keeps
+    if dated:
+        keeps = (F.col("received_date") >= receipt_date(F.lit(max(mark.received, 0)))) & keeps
+    return keeps
+
+
+def kept(table: DataFrame, signal: str, mark: Mark) -> DataFrame:
+    """Rows of a signal table that the mark keeps."""
+    return table.where(condition(signal, mark, "received_date" in table.columns))
 
 
 def keys(tables: dict[str, DataFrame]) -> DataFrame:

@@ -72,7 +72,7 @@ def output_columns(view: str, payload: bool = False) -> list[str]:
     if view not in _VIEWS:
         raise ValueError(f"no built-in columns for {view!r}")
     if payload and view in DISCOVERY:
-        raise ValueError("payload is available for metric points and rates, not discovery summaries")
+        raise ValueError("summaries of metrics have no payload; points and rates do")
     columns = list(_VIEWS[view])
     if payload and view != "services":
         columns.append("payload")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -44,10 +46,24 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def create_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a new file; fails if it exists, which makes the first of two writers win."""
+    """Write a new file; fails if it exists, which makes the first of two writers win.
+
+    The text is written aside and renamed, so a reader never meets half of it. On HDFS the rename is one step that
+    refuses an existing name; a local file system checks first, which is enough for one machine. Object stores without
+    such a rename need one writer at a time.
+    """
     target, files = _path(spark, path)
-    stream = files.create(target, False)
+    aside = target.suffix(f".{uuid.uuid4().hex}.tmp")
+    stream = files.create(aside, False)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(aside.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        context.rename(files.makeQualified(aside), files.makeQualified(target), options)
+    except Exception:
+        files.delete(aside, False)
+        raise

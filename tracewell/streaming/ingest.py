@@ -32,7 +32,8 @@ def ingest_stream(
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        store.refresh().ingest(batch, signal, keys, stream=(name, number))
+        # A writer of its own: streams of other signals may commit to the same store meanwhile.
+        store.writer().ingest(batch, signal, keys, stream=(name, number))
 
     writer = requests.writeStream.foreachBatch(commit).queryName(name).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
