@@ -65,7 +65,7 @@ def _prepare(spark, folder: str) -> None:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     wanted = os.environ.get("BENCH_QUERIES")
     spark = local_session(cpus, shuffle_partitions=cpus, memory=os.environ.get("BENCH_MEMORY", "16g"))
     registered = queries()

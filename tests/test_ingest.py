@@ -156,3 +156,15 @@ def test_text_source(spark, folder):
     read = read_requests(spark, folder)
     assert read.columns == ["request_key", "received_at_unix_nano", "value"]
     assert read.count() == 2 and read.agg(F.min("received_at_unix_nano")).first()[0] > 10**18
+
+
+@pytest.mark.parametrize(
+    "fields",
+    [
+        {"timeUnixNano": "-5"}, {"severityNumber": "SEVERITY_NUMBER_ERROR"}, {"flags": "abc"}, {"observedTimeUnixNano": "x"},
+        {"body": {"arrayValue": {"values": [{"intValue": "99999999999999999999"}]}}},
+        {"body": {"arrayValue": {"values": [{"bytesValue": "!!!"}]}}},
+    ],
+)
+def test_malformed_numbers_are_refused(requests, fields):
+    assert list(reasons(requests, LOGS, [otlp.log("fine"), otlp.log(**fields)])) == ["r0001"]

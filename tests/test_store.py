@@ -175,3 +175,91 @@ def test_views_on_a_store(spark, folder, requests):
     assert rate.rate_per_second == 5 / 1e-8 and rate.rate_reason is None
     plan = views.logs(store.table(LOGS), filters)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "received_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_no_budget_evicts_nothing(spark, folder, requests):
+    store = Store.create(spark, folder, enforce_limits=False)
+    store.ingest(requests([otlp.log(str(i)) for i in range(5)]), LOGS)
+    assert set(store.evict_to_budget().values()) == {0}
+    assert store.table(LOGS).count() == 5
+
+
+def test_backfill_is_visible_until_the_next_pass(spark, folder, requests):
+    store = Store.create(spark, folder)
+    store.ingest(requests([otlp.log("new")], received=10**18), LOGS)
+    now = 10**18 + 10 * HOUR
+    assert store.expire_by_age(now_nanos=now)[LOGS] == 0
+    old = 10**18 - 90 * HOUR
+    assert store.ingest(requests([otlp.log("old")], received=old), LOGS).inserted == 1
+    assert store.table(LOGS).count() == 2
+    assert store.expire_by_age(now_nanos=now)[LOGS] == 1
+    assert open_store(spark, folder).table(LOGS).count() == 1
+    assert {r.signal: r.deleted for r in store.status().collect()}[LOGS] == 1
+
+
+def test_failed_commit_stays_invisible(spark, folder, requests, monkeypatch):
+    store = Store.create(spark, folder)
+
+    def fail(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr("tracewell.sources.store._write_state", fail)
+        with pytest.raises(OSError):
+            store.ingest(requests([otlp.log("a")]), LOGS)
+    store.ingest(requests([otlp.spans((1, 1, "x"))]), SPANS)
+    assert open_store(spark, folder).table(LOGS).count() == 0
+    assert store.ingest(requests([otlp.log("b"), otlp.log("c")]), LOGS).inserted == 2
+    assert sorted(r.id for r in store.table(LOGS).collect()) == [1, 2]
+    assert files.names(spark, f"{folder}/_staging") == []
+
+
+def test_three_streams_into_one_store(spark, folder):
+    point = {"asInt": "5", "timeUnixNano": "20", "startTimeUnixNano": "10"}
+    texts = {
+        LOGS: [otlp.log(str(i)) for i in range(9)],
+        SPANS: [otlp.spans((1, i + 1, "x")) for i in range(9)],
+        METRICS: [otlp.metric(f"m{i}", "sum", point, aggregationTemporality=1, isMonotonic=True) for i in range(9)],
+    }
+    store = Store.create(spark, f"{folder}/store")
+    running = []
+    for signal, lines in texts.items():
+        spark.createDataFrame([(t,) for t in lines], "value string").repartition(3).write.text(f"{folder}/{signal}")
+        arriving = stream_requests(spark, f"{folder}/{signal}", F.lit(10**18), max_files_per_trigger=1)
+        running.append(ingest_stream(arriving, store, signal, f"{folder}/c-{signal}", signal, available_now=True))
+    for query in running:
+        query.awaitTermination()
+    held = open_store(spark, f"{folder}/store")
+    assert {signal: held.table(signal).count() for signal in texts} == dict.fromkeys(texts, 9)
+
+
+def test_compaction_keeps_records(spark, folder, requests):
+    store = Store.create(spark, folder)
+    for i in range(3):
+        store.ingest(requests([otlp.log(f"{i}-{n}") for n in range(4)], received=10**18 + i * HOUR, prefix=f"b{i}"), LOGS)
+    store.expire_by_age(now_nanos=10**18 + 48 * HOUR + 2)
+    before = sorted(map(str, store.table(LOGS).drop("batch").collect()))
+    reader = open_store(spark, folder)
+    assert store.compact(LOGS) == 3 and store.compact(LOGS) == 0
+    assert sorted(map(str, store.table(LOGS).drop("batch").collect())) == before
+    assert reader.table(LOGS).count() == len(before)
+    assert store.ingest(requests([otlp.log("0-3")], received=10**18 + 3 * HOUR), LOGS).inserted == 0
+    store.expire_by_age(now_nanos=10**18 + 48 * HOUR + 2)
+    assert store.table(LOGS).count() == len(before)
+
+
+def test_reset_and_sql_function(spark, folder, requests):
+    store = Store.create(spark, folder)
+    store.ingest(requests([otlp.log("a")]), LOGS)
+    store.register_views()
+    text = "SELECT resource_id(resource_attributes, resource_schema_url) AS r FROM otel_logs"
+    from tracewell.functions.attributes import resource_id
+    from tracewell.plans import page
+
+    want = store.table(LOGS).select(resource_id(F.col("resource_attributes"), F.col("resource_schema_url"))).first()[0]
+    assert page.sql(spark, text).first().r == want and len(want) == 32
+    with pytest.raises(ValueError):
+        store.reset(False, folder)
+    store.reset(True, folder)
+    with pytest.raises(StoreError):
+        open_store(spark, folder)

@@ -99,7 +99,10 @@ def matches(column: str, text: str) -> Column:
             value = value.try_cast("bigint")
         return F.coalesce((entry["key"] == key) & (value == F.lit(literal)), F.lit(False))
 
-    return F.coalesce(F.exists(entries, same), F.lit(False))
+    found = F.coalesce(F.exists(entries, same), F.lit(False))
+    # Only texts with the quoted key are parsed. A key that JSON may spell in several ways is not looked for.
+    plain = key.isascii() and key.isprintable() and not set(key) & set('"\\/<>&\'=')
+    return F.contains(F.col(column), F.lit(f'"{key}"')) & found if plain else found
 
 
 def check_filter_count(resource: list[str], attribute: list[str]) -> None:

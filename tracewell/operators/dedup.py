@@ -58,7 +58,7 @@ def conflicting_identities(spans: DataFrame) -> DataFrame:
     )
 
 
-def decide_spans(spans: DataFrame, stored: DataFrame) -> DataFrame:
+def decide_spans(spans: DataFrame, stored: DataFrame, folder: str | None = None) -> DataFrame:
     """``request_key``, ``accepted`` for every request that touches a contested identity.
 
     Requests take effect in order of receipt, each as a whole: a request is refused if one
@@ -66,7 +66,8 @@ def decide_spans(spans: DataFrame, stored: DataFrame) -> DataFrame:
     Requests not in the result are accepted. ``spans`` needs request_key,
     received_at_unix_nano, the identity and the fingerprint; ``stored`` the identity and
     fingerprint of stored spans, best reduced by :func:`already_stored`. Only contested
-    identities take part, and each round settles at least the earliest open request.
+    identities take part, and each round settles at least the earliest open request. The steps write their tables
+    below ``folder``, which the caller may delete once the result has been used.
     """
     claims = spans.select("request_key", "received_at_unix_nano", *SPAN_IDENTITY, "fingerprint")
     held = stored.select(*SPAN_IDENTITY, F.col("fingerprint").alias("_held"))
@@ -86,7 +87,7 @@ def decide_spans(spans: DataFrame, stored: DataFrame) -> DataFrame:
         F.col("_held") != F.col("fingerprint"), F.lit(False)
     )
     spark, round_number = spans.sparkSession, 0
-    folder = work_folder(spark, "span-claims")
+    folder = folder or work_folder(spark, "span-claims")
 
     def written(frame: DataFrame, name: str) -> DataFrame:
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -137,13 +138,15 @@ def _verdict() -> list[Column]:
     return [(mine | (settled & same)).alias("_clear"), (settled & ~same).alias("_refused")]
 
 
-def accepted_spans(spans: DataFrame, stored: DataFrame, row_count: int) -> tuple[DataFrame, DataFrame]:
-    """(new spans of accepted requests, keys of refused requests)."""
+def accepted_spans(
+    spans: DataFrame, stored: DataFrame, row_count: int, folder: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(new spans of accepted requests, keys of refused requests); both read tables below ``folder``."""
     # What the store holds of these identities is read once and used by every step.
-    folder = work_folder(spans.sparkSession, "held-spans")
-    already_stored(spans, stored, SPAN_IDENTITY, row_count, ["fingerprint"]).write.parquet(folder)
-    held = spans.sparkSession.read.parquet(folder)
-    status = decide_spans(spans, held)
+    folder = folder or work_folder(spans.sparkSession, "span-conflicts")
+    already_stored(spans, stored, SPAN_IDENTITY, row_count, ["fingerprint"]).write.parquet(f"{folder}/held")
+    held = spans.sparkSession.read.parquet(f"{folder}/held")
+    status = decide_spans(spans, held, f"{folder}/rounds")
     refused = status.where(~F.col("accepted")).select("request_key")
     kept = spans.join(refused, "request_key", "left_anti")
     copies = first_copies(kept, SPAN_IDENTITY, ["received_at_unix_nano", "request_key", "position"])

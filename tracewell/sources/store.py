@@ -28,6 +28,11 @@ from tracewell.sources import files
 FORMAT_VERSION = 2
 KEPT_STATES = 10
 REJECTED = "rejected"
+# The SQL form of ``attributes.resource_id``.
+RESOURCE_ID_FUNCTION = """
+  CREATE OR REPLACE TEMPORARY FUNCTION resource_id(attributes STRING, schema_url STRING) RETURNS STRING
+  RETURN substring(sha2(concat('[', btrim(to_json(array(attributes)), '[]'), ',',
+                               btrim(to_json(array(schema_url)), '[]'), ']'), 256), 1, 32)"""
 COMMIT_TRIES = 20
 _ATTEMPTS = 1 << 20  # room for the random part of a batch number
 
@@ -91,7 +96,8 @@ class Reader:
         return {signal: self.table(signal) for signal in SIGNALS}
 
     def register_views(self) -> None:
-        """Make the tables available to ad-hoc SQL under their names."""
+        """Make the tables, and the function ``resource_id``, available to ad-hoc SQL under their names."""
+        self.spark.sql(RESOURCE_ID_FUNCTION)
         for signal, table in self.tables().items():
             table.createOrReplaceTempView(signal)
 
@@ -237,7 +243,7 @@ class Store(Reader):
         count = rows.count()
         stored = self.table(signal)
         if signal == SPANS:
-            fresh, conflicting = dedup.accepted_spans(rows, stored, count)
+            fresh, conflicting = dedup.accepted_spans(rows, stored, count, f"{staging}/conflicts")
             reason = "a stored span of this identity has other content"
             refused = refused.unionByName(_refused(rows, conflicting, reason))
         else:
