@@ -140,12 +140,17 @@ def test_r_tree_loses_nothing():
     points = r.poisson(3, (300, 16)).astype(np.int64)
     size, component = points.sum(axis=1), r.integers(0, 40, 300)
     tree = jaccard.RTree(points, size, component, 80)
-    for i in range(0, 300, 7):
-        bound = np.minimum(points, points[i]).sum(axis=1)
-        want = np.flatnonzero((180 * bound >= 80 * (size + size[i])) & (component != component[i]))
-        fits = (100 * size >= 80 * size[i]) & (100 * size[i] >= 80 * size)
-        found = tree.search(points[i], size[i], component[i])
-        assert set(want[fits[want]]) <= set(found) <= set(want)
+    asked = np.arange(0, 300, 7)
+    for queries, places in ((points, np.arange(300)), (points[asked], asked)):
+        found = set()
+        for i, j in tree.search(queries, size[places], component[places]):
+            found |= set(zip(places[i].tolist(), j.tolist()))
+        bound = np.minimum(queries[:, None], points[None]).sum(axis=2)
+        pair = 100 * np.minimum(size[places][:, None], size) >= 80 * np.maximum(size[places][:, None], size)
+        want = (180 * bound >= 80 * (size[places][:, None] + size)) & (component[places][:, None] != component)
+        loose = set(zip(places[np.nonzero(want)[0]].tolist(), np.nonzero(want)[1].tolist()))
+        tight = set(zip(places[np.nonzero(want & pair)[0]].tolist(), np.nonzero(want & pair)[1].tolist()))
+        assert tight <= found <= loose
 
 
 def test_one_of_each(spark, corpus):

@@ -38,8 +38,8 @@ SHINGLE = 3
 PERCENT = 90
 GROUPS = 128
 BLOCK = 4096
-LEAF = 16
-TURNS = 3
+LEAF = 48
+TURNS = 1
 _RATIO = 1.5
 
 
@@ -158,7 +158,7 @@ def _vectors(shingle: int):
 
 
 class RTree:
-    """Points of group counts; finds those of other components that may overlap enough with a query."""
+    """Points of group counts; finds those of other components that may overlap enough with queries."""
 
     def __init__(self, points: np.ndarray, size: np.ndarray, component: np.ndarray, percent: int):
         self.points, self.size, self.component, self.percent = points, size, component, percent
@@ -178,24 +178,29 @@ class RTree:
             children = [self._node(np.sort(part)) if part is order else self._node(part) for part in (order[:half], order[half:])]
         return points.max(axis=0), size.min(), size.max(), alone, rows, children
 
-    def search(self, point: np.ndarray, size: int, component: int) -> np.ndarray:
-        """Rows of points that pass the bound."""
-        found, waiting = [], [self.root]
+    def search(self, points: np.ndarray, size: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of queries and rows of points that pass the bound, leaf by leaf of a tree of the queries."""
+        queries = self if points is self.points else RTree(points, size, component, self.percent)
+        waiting = [(queries.root, self.root)]
         while waiting:
-            highest, least, largest, alone, rows, children = waiting.pop()
-            if alone is not None and alone == component:
+            one, other = waiting.pop()
+            highest, least, largest, alone, places, parts = one
+            top, low, high, same, rows, children = other
+            if alone is not None and same is not None and alone == same:
                 continue
-            if 100 * size < self.percent * least or 100 * largest < self.percent * size:
+            if 100 * largest < self.percent * low or 100 * high < self.percent * least:
                 continue
-            if (100 + self.percent) * np.minimum(point, highest).sum() < self.percent * (size + least):
+            if (100 + self.percent) * np.minimum(highest, top).sum() < self.percent * (least + low):
                 continue
             if children is not None:
-                waiting += children
-                continue
-            overlap = np.minimum(self.points[rows], point).sum(axis=1)
-            passed = (100 + self.percent) * overlap >= self.percent * (size + self.size[rows])
-            found.append(rows[passed & (self.component[rows] != component)])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+                waiting += [(one, child) for child in children]
+            elif parts is not None:
+                waiting += [(part, other) for part in parts]
+            else:
+                overlap = np.minimum(points[places, None, :], self.points[None, rows, :]).sum(axis=2)
+                passed = (100 + self.percent) * overlap >= self.percent * (size[places, None] + self.size[None, rows])
+                i, j = np.nonzero(passed & (component[places, None] != self.component[None, rows]))
+                yield places[i], rows[j]
 
 
 def _candidates(percent: int):
@@ -207,16 +212,16 @@ def _candidates(percent: int):
         points = rows.column("counts").combine_chunks().flatten().to_numpy().reshape(len(number), GROUPS)
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(left) and len(right):
             tree = RTree(points[right], size[right], component[right], percent)
-            for row in left.tolist():
-                met = number[right[tree.search(points[row], size[row], component[row])]]
-                if right is left:
-                    met = met[met > number[row]]
-                a.append(np.full(len(met), number[row]))
-                b.append(met)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            asked = tree.points if right is left else points[left]
+            for i, j in tree.search(asked, size[left], component[left]):
+                a.append(number[left[i]])
+                b.append(number[right[j]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        once = a < b if right is left else a != b
+        a, b = a[once], b[once]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
