@@ -94,7 +94,7 @@ def test_rules_keep_clean_documents(spark):
 def test_neighbours(spark):
     r = np.random.default_rng(4)
     vectors = [list(map(float, v)) for v in r.normal(size=(300, 24)).astype(np.float32)]
-    vectors += [vectors[0]] * 40 + [[float(x) for x in r.normal(size=7)] for _ in range(5)]
+    vectors += [vectors[0]] * 40 + [[float(x) for x in r.normal(size=7).astype(np.float32)] for _ in range(5)]
     vectors += [None, [], [0.0] * 24, [float("nan")] + [1.0] * 23, [float("inf")] + [1.0] * 23, [None] + [1.0] * 23]
     rows = [(i, v, "x") for i, v in enumerate(vectors)] + [(None, vectors[1], "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
@@ -193,10 +193,9 @@ def test_toxicity_on_held_out_rows(spark):
     docs, known, held = split(spark, "/root/testdata/sf0.1", "toxic")
     model = toxicity.fit(docs, known)
     assert (np.diff(model.thresholds) > 0).all()
-    scored = toxicity.score(docs, model).join(held, "doc_id").toPandas()
+    scored = toxicity.score(docs, model).join(held.select("doc_id"), "doc_id").toPandas()
     assert ((scored.expected_severity >= 0) & (scored.expected_severity <= 3)).all()
     assert (scored.toxic == (scored.severity > 0)).all()
-    assert (scored.toxic == scored["toxic"]).mean() == 1
     truth = {r.doc_id: r.toxic for r in held.collect()}
     guess = {r.doc_id: r.toxic for r in scored.itertuples()}
     pairs = [(guess[i], t) for i, t in truth.items()]
