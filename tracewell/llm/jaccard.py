@@ -37,6 +37,8 @@ from tracewell.llm.tables import Staging, row_key
 SHINGLE = 3
 PERCENT = 90
 GROUPS = 128
+FINE_GROUPS = 1024
+FINE_SIZE = 400
 BLOCK = 4096
 LEAF = 48
 TURNS = 1
@@ -133,7 +135,10 @@ def _describe(shingle: int, percent: int):
 
 
 def _vectors(shingle: int):
-    """Rows (class, n, shingles, counts) of documents: the set and its numbers of shingles in hash groups."""
+    """Rows (class, n, shingles, counts, fine) of documents: the set and its numbers of shingles in hash groups.
+
+    ``fine`` has ``FINE_GROUPS`` groups for sets of ``FINE_SIZE`` shingles or more, which crowd the others; else it is empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,6 +147,11 @@ def _vectors(shingle: int):
                 rows = end - begin
                 owner = np.repeat(np.arange(rows), np.diff(first))
                 counts = np.bincount(owner * GROUPS + (hashes % np.uint64(GROUPS)).astype(np.int64), minlength=rows * GROUPS)
+                large = np.diff(first) >= FINE_SIZE
+                at = np.concatenate([[0], np.cumsum(large)])
+                of_large = large[owner]
+                slot = at[owner[of_large]] * FINE_GROUPS + (hashes[of_large] % np.uint64(FINE_GROUPS)).astype(np.int64)
+                fine = np.bincount(slot, minlength=int(at[-1]) * FINE_GROUPS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(_class(hashes, first)),
@@ -150,8 +160,11 @@ def _vectors(shingle: int):
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(rows + 1, dtype=np.int32) * GROUPS), pa.array(counts.astype(np.int32))
                         ),
+                        pa.ListArray.from_arrays(
+                            pa.array((at * FINE_GROUPS).astype(np.int32)), pa.array(fine.astype(np.int32))
+                        ),
                     ],
-                    names=["class", "n", "shingles", "counts"],
+                    names=["class", "n", "shingles", "counts", "fine"],
                 )
 
     return run
@@ -254,10 +267,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, staging: Staging,
     """The pairs (a, b) whose sets are alike enough; narrow bounds by size and group counts come before the sets."""
     sized = pairs.join(_side(sets, "a", "n"), "a").join(_side(sets, "b", "n"), "b")
     sized = sized.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-    near = sized.join(_side(sets, "a", "n", "counts"), "a").join(_side(sets, "b", "n", "counts"), "b")
-    minima = F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y))
-    near = near.where(_alike(F.aggregate(minima, F.lit(0), lambda total, x: total + x), percent)).select("a", "b")
-    near = staging.write(near, f"{name}-near")
+    near = sized
+    for column in ("counts", "fine"):
+        both = near.join(_side(sets, "a", "n", column), "a").join(_side(sets, "b", "n", column), "b")
+        one, other = F.col(f"{column}_a"), F.col(f"{column}_b")
+        bound = F.aggregate(F.zip_with(one, other, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+        # Where one of the two has no fine counts, they say nothing.
+        silent = (F.size(one) == 0) | (F.size(other) == 0)
+        near = staging.write(both.where(silent | _alike(bound, percent)).select("a", "b"), f"{name}-{column}")
     joined = near.join(_side(sets, "a", "n", "shingles"), "a").join(_side(sets, "b", "n", "shingles"), "b")
     return joined.where(_alike(F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"), percent)).select("a", "b")
 
@@ -293,7 +310,7 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
     wanted = classes.join(entries.select("class").distinct(), "class", "left_semi").groupBy("class")
     wanted = wanted.agg(F.min("row_key").alias("row_key")).select("row_key")
     chosen = keyed.join(wanted.hint("shuffle_hash"), "row_key", "left_semi")
-    sets = chosen.mapInArrow(_vectors(shingle), "class long, n long, shingles array<long>, counts array<int>")
+    sets = chosen.mapInArrow(_vectors(shingle), "class long, n long, shingles array<long>, counts array<int>, fine array<int>")
     sets = staging.write(sets, "sets")
     # Repeated rows share a key and give their set twice.
     if not sets.groupBy("class").count().where("count > 1").isEmpty():
@@ -332,7 +349,8 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
     grouped = classes.join(last.withColumnRenamed("node", "class"), "class", "left")
     group = F.when(F.col("n") > 0, F.coalesce("root", "class"))
     grouped = staging.write(grouped.select("row_key", "n", group.alias("group")), "grouped")
-    staging.drop("entries", "classes", "sets", "sets-once", "candidates", "star-near", "found-near")
+    staging.drop("entries", "classes", "sets", "sets-once", "candidates")
+    staging.drop(*[f"{step}-{column}" for step in ("star", "found") for column in ("counts", "fine")])
     return grouped
 
 
