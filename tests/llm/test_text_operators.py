@@ -255,6 +255,46 @@ def test_tokens_equal_the_other_library():
     equal()
 
 
+def contract_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_special_tokens_and_long_runs(spark):
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "it's <|endoftext|>'s \n<|endoftext", "a" + " " * 2_000_000 + "b", "\n" * 1_000_000]
+    reference = contract_tokenizer()
+    got = collections.defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.start, bytes(r.ids), r.doc_tokens))
+    assert reference.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    for i, text in enumerate(texts):
+        want = [*reference.encode(text, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(b"".join(ids for _, ids, _ in sorted(got[i])), "<u4").tolist() == want
+        assert {total for _, _, total in got[i]} == {len(want)}
+
+
+def test_ranks_and_merges_are_one():
+    """Equal ids of both libraries for all texts: ranks in merge order, each token its own encoding, equal character classes."""
+    import json
+
+    from tokenizers import Tokenizer, models
+
+    reference = contract_tokenizer()
+    model = json.loads(reference.to_str())["model"]
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in merges]
+    assert made == sorted(set(made))
+    bare = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+    assert all(bare.encode(piece, add_special_tokens=False).ids == [number] for piece, number in model["vocab"].items())
+    encode, _ = packing.encoder(packing.VOCABULARY)
+    for low in [*range(0, 0x3400, 64), *range(0x3400, 0x110000, 4096)]:
+        signs = [chr(c) for c in range(low, low + 64) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}a 1{c}1 !{c}! {c}{c}  {c}\n{c}\n {c} " for c in signs)
+        assert encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids, hex(low)
+
+
 def library():
     import public_tokenizers
     import sentencepiece

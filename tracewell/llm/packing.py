@@ -34,18 +34,49 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = 0
 
 
+def _files(vocabulary: str) -> tuple[str, str]:
+    """The rank file of a vocabulary, and the JSON file beside it that fixes the ids."""
+    import public_tokenizers
+
+    path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
+    return path, path.removesuffix(".tiktoken") + ".json"
+
+
+def _library(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(_files(vocabulary)[1])
+
+
 def tokenizer(vocabulary: str):
-    """The encoder of a vocabulary file of ranks, and which ids end a sentence."""
+    """The encoder of a vocabulary file of ranks with the special tokens of the JSON file, and which ids end a sentence."""
     import public_tokenizers
     import tiktoken
 
-    path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
-    with open(path, "rb") as lines:
+    with open(_files(vocabulary)[0], "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    ends = np.zeros(max(ranks.values()) + 1, bool)
+    special = {token.content: number for number, token in _library(vocabulary).get_added_tokens_decoder().items()}
+    ends = np.zeros(max([*ranks.values(), *special.values()]) + 1, bool)
     for piece, number in ranks.items():
         ends[number] = piece.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n")
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ends
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), ends
+
+
+def encoder(vocabulary: str):
+    """A function from a text to the ids that the JSON file fixes, and which ids end a sentence."""
+    encoding, ends = tokenizer(vocabulary)
+    library = None
+
+    def encode(text: str) -> np.ndarray:
+        nonlocal library
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:
+            # About 1,000,000 blanks in a row exceed the stack of this library's regular expressions, not the other's.
+            library = library or _library(vocabulary)
+            return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode, ends
 
 
 def cuts(tokens: int, documents: np.ndarray, sentences: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,13 +196,13 @@ class _Stream:
 
 def _packer(length: int, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, closing = tokenizer(vocabulary)
+        encode, closing = encoder(vocabulary)
         stream, base = _Stream(length), TaskContext.get().partitionId() << 40
         kind = None
         for batch in batches:
             kind = batch.schema.field("id").type
             for row, text in zip(batch.column("id"), batch.column("text")):
-                found = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=())
+                found = encode(text.as_py() or "")
                 ids = np.append(found, np.array([END_OF_TEXT], found.dtype))
                 stream.add(row, ids, np.append(closing[found], True))
                 if stream.size >= STRETCH:
