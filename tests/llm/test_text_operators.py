@@ -420,6 +420,65 @@ def test_pseudonyms(spark):
     assert luhn_valid(re.sub(r"\D", "", got[0].text[4:20]))
 
 
+FORMS = {
+    "secret": ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "9233a8ECF7C5B09FE5949719B6B82BC439E9329B"],
+    "phone": [
+        "555-123-4567", "555.123.4567", "1-800-555-0199", "555 123 4567", "1 (555) 123-4567", "(555) 123 4567", "+33 6 12 34 56 78",
+        "+33 1 42 68 53 00", "+33 (0)1 42 68 53 00", "0033 6 12 34 56 78", "+34 612 34 56 78", "+32 2 123 45 67", "+41 44 123 45 67",
+        "06 12 34 56 78", "06.12.34.56.78", "01-42-68-53-00", "0612345678", "030 12345678", "0171/1234567", "089 12 34 56 78",
+        "020 7946 0958", "07911 123456", "612 34 56 78", "91 123 45 67",
+    ],
+    "card": ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "6304 0000 0000 0000 000", "6304-0000-0000-0000-000"],
+    "date": ["12/31/2024", "5/31/2024", "1/2/2024", "1.2.2024", "31.5.2024", "2024-5-1", "2024/05/31", "31-12-2024"],
+}
+STILL_LEFT = [
+    "13/32/2024", "3782 822463 10006", "3056 930902 5905", "1 000 000", "612 345 678", "v1.2.34",
+    "12.34.5678", "9233A8ECF7C5B09FE5949719B6B82BC", "0054994038693466", "555-1234",
+]
+
+
+def test_other_forms_of_personal_data(spark):
+    values = [(kind, v) for kind, listed in FORMS.items() for v in listed]
+    texts = [f"Hat {v}, und ({v}). Auch {v}" for _, v in values] + [f"bleibt {v} so" for v in STILL_LEFT]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.protect(docs, key="k").collect()}
+    for i, (kind, value) in enumerate(values):
+        new = got[i].text.split(", und ")[0].removeprefix("Hat ")
+        assert got[i].n_replaced == 3 and value not in got[i].text, value
+        assert got[i].text == f"Hat {new}, und ({new}). Auch {new}", value
+        if kind in ("phone", "card"):
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", value)
+            assert kind == "phone" or luhn_valid(re.sub(r"\D", "", new))
+        if kind == "secret":
+            assert re.fullmatch("[0-9A-F]{40}" if value.isupper() else "[0-9a-f]{40}", new)
+        if kind == "date":
+            assert re.sub(r"\d+", "", new) == re.sub(r"\d+", "", value)
+    assert [got[len(values) + i].text for i in range(len(STILL_LEFT))] == texts[len(values) :]
+
+
+def test_new_forms_hide_no_old_ones(spark):
+    """What stood beside a number before must not be swallowed by one of the longer forms."""
+    card, phone = "4111 1111 1111 1111", "+33 6 12 34 56 78"
+    texts = [
+        f"{card} 123 Main", f"{card} 123-45-6789", f"{card} 192.168.1.1", f"{card} 555-123-4567", f"1234 123456 {card}",
+        f"0171 1234567 {card}", f"{phone} 06.12.2024", f"06.12.2024 12:30 {card}",
+    ]
+    hidden = [1, 2, 2, 2, 1, 2, 2, 2]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.protect(docs, key="k").collect()}
+    assert [got[i].n_replaced for i in range(len(texts))] == hidden, [got[i].text for i in range(len(texts))]
+    assert got[0].text.endswith(" 123 Main") and not any(card in r.text for r in got.values())
+
+
+def test_dates_of_both_orders_stay_different(spark):
+    days = spark.sql("SELECT explode(sequence(date'2020-01-01', date'2021-12-31')) AS d")
+    forms = days.selectExpr("date_format(d, 'dd/MM/yyyy') AS text").union(
+        days.where("day(d) > 12").selectExpr("date_format(d, 'MM/dd/yyyy') AS text")
+    )
+    got = pseudonyms.protect(forms, key="k")
+    assert got.select(F.count_distinct("text"), F.sum("n_replaced")).first() == (forms.count(), forms.count())
+
+
 def test_permutation_is_one_to_one(spark):
     days = spark.range(319 * 229).select(
         pseudonyms.permuted(F.col("id"), F.lit(319), F.lit(229), F.lit("date"), "k").alias("new")

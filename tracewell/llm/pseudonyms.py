@@ -3,10 +3,13 @@
 A text is split at everything that looks like personal data; each match that passes the check of its kind is replaced by
 a value of the same form, and the parts are joined again:
 
-* payment cards (13-19 digits, Luhn): all digits but the last are permuted, the last one is the new check digit;
-* social security numbers, phone numbers: digits are permuted, signs and country code stay;
+* payment cards (13-19 digits, Luhn; in groups of four, 4-6-5, 4-6-4 or 4-4-4-4-3): all digits but the last are permuted,
+  the last one is the new check digit;
+* social security numbers, phone numbers (international, North American, and national ones of France, Germany, Spain and
+  Britain): digits are permuted, signs and country code stay;
 * IPv4 addresses (four numbers up to 255): permuted among all addresses;
-* dates from 1900 to 2099 that exist (2024-05-31, 31.05.2024, 31/05/2024): permuted among the days of these years;
+* dates from 1900 to 2099 that exist (year, day or month first, one or two digits): permuted among the days of these
+  years. Day first goes before month first; dates that can only be month first are permuted among themselves;
 * e-mail addresses and hexadecimal secrets have no number format; they become keyed digests of the same form.
 
 The permutation works on pairs (x, y) with x < a and y < b: in turn x += f(y) modulo a and y += f(x) modulo b, where f is
@@ -23,21 +26,40 @@ KEY = "tracewell"
 ROUNDS = 8
 
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-_SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+_SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
+_ABROAD = r"(?<![\d+])(?:\+[2-9]\d{0,2}[ .-]?|00[2-9]\d{0,2}[ .-])(?:\(0\)[ .-]?)?"
 _PHONE = (
-    r"(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
-    r"|(?<![\d+])\+[2-9]\d{0,2}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)"
+    r"(?<![\d+])(?:\+1[ .-]?|001[ .-])(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|(?<!\d)(?:1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+    rf"|{_ABROAD}\d{{1,3}}(?:[ .-]\d{{2}}){{3,4}}(?!\d)|{_ABROAD}\(?\d{{1,4}}\)?(?:[ .-]?\d{{2,4}}){{2,3}}(?!\d)"
+)
+# Without a country code: signs between the groups are alike, and no form has more than 15 digits.
+_NATIONAL = (
+    r"(?<![0-9A-Za-z])(?<![0-9][.,/-])(?:(?:1-)?\d{3}-\d{3}-\d{4}|(?:1\.)?\d{3}\.\d{3}\.\d{4}|(?:1 )?\d{3} \d{3} \d{4}"
+    r"|0[1-9](?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4}|\d{8})"
+    r"|0[1-9]\d{1,3}(?: ?/ ?|[ -])\d{2}(?: \d{2}){2,3}|0[1-9]\d{1,4}(?: ?/ ?|[ -])\d{3,4}[ -]\d{3,5}(?! \d{4} \d{4})"
+    r"|0[1-9]\d{1,4}(?: ?/ ?|[ -])\d{4,8}|[6-9]\d{2}(?:(?: \d{2}){3}|(?:-\d{2}){3}|(?:\.\d{2}){3})|9\d \d{3} \d{2} \d{2})"
+    r"(?![0-9A-Za-z]|[.,/-]\d)"
+)
+_DATE = (
+    r"(?<!\d)(?<!\d[./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
+    r"|\d{1,2}-\d{1,2}-\d{4})(?![./-]?\d)"
 )
-_DATE = r"(?<!\d)(?<!\d[./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![./-]?\d)"
 _ADDRESS = r"(?<!\d)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _SOCIAL = r"(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?!-?\d)"
-_CARD = r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)"
+_CARD = (
+    r"(?<!\d)(?:\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d|[ -]\d{4})|(?:\d{4}[ -]){4}\d{3}(?!\d|[./-]\d| \d{3}[ .-]\d{4})"
+    r"|\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d))"
+)
 # Of the kinds that may begin at one place the first one wins.
-_ANY = "|".join([_EMAIL, _SECRET, _PHONE, _DATE, _ADDRESS, _SOCIAL, _CARD])
+_NUMBER = "|".join([_PHONE, _DATE, _ADDRESS, _SOCIAL, _CARD, _NATIONAL])
+_ANY = rf"{_EMAIL}|{_SECRET}|(?=[\d+(])(?:{_NUMBER})"
 
 _FIRST_DAY = "1900-01-01"
 # Days from 1900 to 2099 are 319 * 229.
 _DAYS = (319, 229)
+# Three days of five are no month; a walk of this many steps fails once in 10^25.
+_WALK = 64
 
 
 def _let(value: Column, body) -> Column:
@@ -117,8 +139,15 @@ def _card(match: Column, key: str) -> Column:
     return F.when(fine, _let(permuted_digits(body, "card", key), checked)).otherwise(match)
 
 
+def _cards(match: Column, key: str) -> Column:
+    """A card; of four groups of four and three digits that are none together, the four may be one."""
+    parted = match.rlike(r"^(?:\d{4}[ -]){4}\d{3}$") & (luhn(_digits(match)) % 10 != 0)
+    four, rest = F.substring(match, 1, 19), F.substring(match, 20, 4)
+    return F.when(parted, F.concat(_card(four, key), rest)).otherwise(_card(match, key))
+
+
 def _phone(match: Column, key: str) -> Column:
-    country = F.regexp_extract(match, r"^(\+\d{1,3}(?=[ .(-])|\+1|)", 1)
+    country = F.regexp_extract(match, r"^(\+\d{1,3}(?=[ .(-])|\+1|00\d{1,3}(?=[ .-])|1(?=[ .-]?\(|[ .-]\d{3}[ .-])|)", 1)
     rest = F.substring(match, F.length(country) + 1, F.length(match))
     fine = F.length(_digits(match)).between(9, 15)
     return F.when(fine, F.concat(country, _laid_out(rest, permuted_digits(_digits(rest), "phone", key)))).otherwise(match)
@@ -142,21 +171,48 @@ def _address(match: Column, key: str) -> Column:
 
 
 def _date(match: Column, key: str) -> Column:
-    pattern = F.when(match.contains("-"), "yyyy-MM-dd").when(match.contains("."), "dd.MM.yyyy").otherwise("dd/MM/yyyy")
-    iso = F.when(match.contains("-"), match).otherwise(
-        F.concat_ws("-", F.substring(match, 7, 4), F.substring(match, 4, 2), F.substring(match, 1, 2))
-    )
-    day = F.date_diff(iso.try_cast("date"), F.lit(_FIRST_DAY).cast("date")).cast("long")
+    parts = F.split(match, "[./-]")
+    sign = F.regexp_extract(match, "[./-]", 0)
+    year_first = F.length(parts[0]) == 4
+    short = match.rlike(r"(?:^|\D)\d(?:\D|$)")
+
+    def day_of(year: Column, month: Column, day: Column) -> Column:
+        iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+        number = F.date_diff(iso.try_cast("date"), F.lit(_FIRST_DAY).cast("date")).cast("long")
+        return F.when(number.between(0, _DAYS[0] * _DAYS[1] - 1), number)
+
+    usual = F.when(year_first, day_of(parts[0], parts[1], parts[2])).otherwise(day_of(parts[2], parts[1], parts[0]))
+    month_first = F.when(~year_first, day_of(parts[2], parts[0], parts[1]))
     a, b = (F.lit(n).cast("long") for n in _DAYS)
 
-    def written(d: Column) -> Column:
-        new = F.date_add(F.lit(_FIRST_DAY).cast("date"), d.cast("int"))
-        return F.when(pattern == "yyyy-MM-dd", F.date_format(new, "yyyy-MM-dd")).when(
-            pattern == "dd.MM.yyyy", F.date_format(new, "dd.MM.yyyy")
-        ).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    def date(number: Column) -> Column:
+        return F.date_add(F.lit(_FIRST_DAY).cast("date"), number.cast("int"))
 
-    fine = F.coalesce(day.between(0, _DAYS[0] * _DAYS[1] - 1), F.lit(False))
-    return _let(day, lambda d: F.when(fine, _let(permuted(d, a, b, F.lit("date"), key), written)).otherwise(match))
+    def written(number: Column, forms: dict[str, Column]) -> Column:
+        new, out = date(number), F.lit(None).cast("string")
+        for form, applies in forms.items():
+            out = F.when(applies & short, F.date_format(new, form.replace("MM", "M").replace("dd", "d"))).when(
+                applies & ~short, F.date_format(new, form)
+            ).otherwise(out)
+        return F.call_function("translate", out, F.lit("-"), sign)
+
+    def walked(number: Column) -> Column:
+        """Permuted until the day cannot be a month, so that no date of the other order is met."""
+        start = F.struct(number.alias("n"), F.lit(False).alias("done"))
+
+        def step(state: Column, _: Column) -> Column:
+            def turn(n: Column) -> Column:
+                return F.struct(n.alias("n"), (F.dayofmonth(date(n)) > 12).alias("done"))
+
+            return F.when(state["done"], state).otherwise(_let(permuted(state["n"], a, b, F.lit("date"), key), turn))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), start, step, lambda s: s["n"])
+
+    plain = _let(
+        usual, lambda d: _let(permuted(d, a, b, F.lit("date"), key), lambda n: written(n, {"yyyy-MM-dd": year_first, "dd-MM-yyyy": ~year_first}))
+    )
+    turned = _let(month_first, lambda d: _let(walked(d), lambda n: written(n, {"MM-dd-yyyy": F.lit(True)})))
+    return F.when(usual.isNotNull(), plain).when(month_first.isNotNull(), turned).otherwise(match)
 
 
 def pseudonym(match: Column, key: str = KEY) -> Column:
@@ -166,15 +222,17 @@ def pseudonym(match: Column, key: str = KEY) -> Column:
         return match.rlike(f"^(?:{pattern})$")
 
     email = F.concat(F.lit("user."), F.substring(_keyed(key, F.lit("mail"), F.lower(match)), 1, 16), F.lit("@mail.example"))
-    secret = F.substring(_keyed(key, F.lit("secret"), match), F.lit(1), F.length(match))
+    digest = F.substring(_keyed(key, F.lit("secret"), F.lower(match)), F.lit(1), F.length(match))
+    secret = F.when(match.rlike("[A-F]") & ~match.rlike("[a-f]"), F.upper(digest)).otherwise(digest)
     return (
         F.when(match.contains("@"), email)
         .when(whole(_SECRET), secret)
-        .when(match.rlike(r"^[+(]"), _phone(match, key))
+        .when(whole(_PHONE), _phone(match, key))
         .when(whole(_DATE), _date(match, key))
         .when(whole(_ADDRESS), _address(match, key))
         .when(whole(_SOCIAL), _social(match, key))
-        .otherwise(_card(match, key))
+        .when(whole(_CARD), _cards(match, key))
+        .otherwise(_phone(match, key))
     )
 
 
