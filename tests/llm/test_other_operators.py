@@ -35,7 +35,7 @@ def test_equals_oracle(spark, name):
 
 def test_queries_are_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert {re.match(r"op(\d+)_|", n)[1] for n in names} == {None, *map(str, range(1, 11))}
+    assert {re.match(r"op(\d+)_|", n)[1] for n in names} == {None, *map(str, range(1, 14))}
     assert set(queries.oracle_sql()) <= set(entry.oracle_sql())
 
 

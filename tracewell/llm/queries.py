@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import divergence, jaccard, neighbours, packing, passages, pieces, pseudonyms, substrings, toxicity, warc
+from tracewell.llm import (
+    divergence, jaccard, near_vectors, neighbours, packing, passages, pieces, pseudonyms, ranking, spellings, substrings, toxicity,
+    warc,
+)
 from tracewell.llm.learning import remainder
 from tracewell.session import configure
 
@@ -211,6 +214,62 @@ def op10_pseudonyms(spark, sf_dir):
     return pseudonyms.protect(table(spark, sf_dir, "documents")).select("doc_id", "n_replaced", "text")
 
 
+@query
+def op11_near_vectors(spark, sf_dir):
+    return near_vectors.link(table(spark, sf_dir, "embeddings"))
+
+
+_ORACLES["op11_near_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.y FROM reach r JOIN link l ON l.x = r.other),
+component AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM link GROUP BY x) USING (vec_id)"""
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return spellings.group(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ORACLES["op13_ranked_search"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE text IS NOT NULL),
+total AS (SELECT count(*) FILTER (len(t) > 0) AS docs, CAST(sum(len(t)) AS BIGINT) AS length FROM d),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL),
+held AS (
+  SELECT doc_id, len_of, term, count(*) AS tf
+  FROM (SELECT doc_id, len(t) AS len_of, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM asked)
+  GROUP BY doc_id, len_of, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM held, total GROUP BY term, docs),
+worth AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len_of * docs) // length)))) AS v
+  FROM held JOIN weight USING (term), total),
+scored AS (SELECT item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM asked JOIN worth USING (term) GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -16,6 +16,8 @@ CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+TERM_SEPARATORS = np.ones(256, bool)
+TERM_SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -85,28 +87,41 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of documents data[offsets[d]:offsets[d + 1]]."""
+def _pieces(data: np.ndarray, separators: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``CHUNK_BYTES`` that cut no word; a longer word stays whole."""
+    begin = 0
+    while begin < len(data):
+        end = begin + CHUNK_BYTES
+        while end < len(data):
+            found = np.flatnonzero(separators[data[end : end + 65536]])
+            if len(found):
+                end += int(found[0])
+                break
+            end += 65536
+        end = min(end, len(data))
+        yield begin, end
+        begin = end
+
+
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = _SPACE) -> Words:
+    """Words of documents data[offsets[d]:offsets[d + 1]]; a long text is worked off in pieces."""
     if lower:
         data = _LOWER[data]
-    n = len(data)
-    if n == 0:
-        empty = np.zeros(0, np.int64)
-        return Words(data, empty, empty, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))
-    space = _SPACE[data]
-    opens = np.empty(n, bool)
-    opens[0] = True
-    opens[1:] = space[:-1]
-    opens[offsets[:-1][offsets[:-1] < n]] = True
-    closes = np.empty(n, bool)
-    closes[-1] = True
-    closes[:-1] = space[1:]
-    closes[offsets[1:][offsets[1:] > 0] - 1] = True
-    solid = ~space
-    starts = np.flatnonzero(solid & opens)
-    ends = np.flatnonzero(solid & closes) + 1
-    hashes = range_hashes(_BYTE[data], starts, ends, 0)
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes)
+    starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for begin, end in _pieces(data, separators):
+        part = data[begin:end]
+        solid = ~separators[part]
+        edge = offsets[np.searchsorted(offsets, begin) : np.searchsorted(offsets, end)] - begin
+        opens = np.append(True, ~solid[:-1])
+        opens[edge] = True
+        closes = np.append(~solid[1:], True)
+        closes[edge[edge > 0] - 1] = True
+        first, last = np.flatnonzero(solid & opens), np.flatnonzero(solid & closes) + 1
+        starts.append(first + begin)
+        ends.append(last + begin)
+        hashes.append(range_hashes(_BYTE[part], first, last, 0))
+    at = np.concatenate(starts)
+    return Words(data, at, np.concatenate(ends), np.searchsorted(at, offsets), np.concatenate(hashes))
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
