@@ -7,8 +7,9 @@ Method (sparse ball-tree inner-product search):
 2. One scan counts, for every document, all its terms and the occurrences of those that some item asks for. Only these few
    pairs of term and count are kept; the corpus statistics are aggregated from them and from the counts of terms.
 3. Each task streams its documents in shards. For a group of items that are alike, a shard becomes a ball tree over the
-   terms of the group: a node has the mean of its documents and the radius around it, so no document below it scores more
-   than ``mean . item + radius * |item|``. Radii and bounds are rounded up by more than the arithmetic can err.
+   terms of the group, each scaled by its weight: a node has the mean of its documents and the radius around it, so no
+   document below it scores more than ``mean . item + radius * |item|``. Radii and bounds are rounded up by more than the
+   arithmetic can err. Small groups have few terms, which keeps the radii short.
 4. An item takes nodes from the best bound on and stops when the next bound is below its k-th score so far, which is
    carried from shard to shard. Leaves are scored in 64-bit whole numbers. A task returns at most k rows for an item.
 5. A window merges the tasks.
@@ -31,11 +32,11 @@ from tracewell.llm import words
 from tracewell.llm.tables import Staging
 
 RANKS = 50
-LEAF = 64
+LEAF = 32
 SHARD_ROWS = 4096
 CELLS = 4_000_000
-GROUP_ITEMS = 32
-GROUP_TERMS = 1024
+GROUP_ITEMS = 8
+GROUP_TERMS = 512
 PASS_TERMS = 500_000
 _SLACK = 1e-3
 
@@ -77,9 +78,10 @@ def _counted(vocabulary: np.ndarray):
 
 
 class BallTree:
-    """Rows of a matrix of whole numbers below 2**24, in nested balls."""
+    """Rows of a matrix, in nested balls: first by length, then along the line between two distant rows."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        length = np.sqrt(np.square(points).sum(axis=1))
         self.order = np.arange(len(points))
         self.spans, self.children, centres, radii = [], [], [], []
         waiting = [(0, len(points), None)]
@@ -88,18 +90,24 @@ class BallTree:
             node = len(self.spans)
             if parent is not None:
                 self.children[parent].append(node)
-            rows = points[self.order[begin:end]]
-            centre = rows.mean(axis=0, dtype=np.float64).astype(np.float32)
+            at = self.order[begin:end]
+            rows = points[at]
+            centre = rows.mean(axis=0)
             distance = np.square(rows - centre).sum(axis=1)
             self.spans.append((begin, end))
             self.children.append([])
             centres.append(centre)
-            radii.append(math.sqrt(float(distance.max())) * (1 + _SLACK))
+            # Single precision errs by less than this, relative to the distance and to the rows.
+            radii.append(math.sqrt(float(distance.max())) * (1 + _SLACK) + _SLACK * float(length[at].max()) / 100)
             if end - begin > leaf and distance.max() > 0:
-                one = rows[distance.argmax()]
-                other = rows[np.square(rows - one).sum(axis=1).argmax()]
+                if length[at].max() > 2 * length[at].min():
+                    along = length[at]
+                else:
+                    one = rows[distance.argmax()]
+                    other = rows[np.square(rows - one).sum(axis=1).argmax()]
+                    along = rows @ (other - one)
                 half = (end - begin) // 2
-                self.order[begin:end] = self.order[begin:end][np.argpartition(rows @ (other - one), half)]
+                self.order[begin:end] = at[np.argpartition(along, half)]
                 waiting += [(begin, begin + half, node), (begin + half, end, node)]
         self.centres, self.radii = np.array(centres, np.float64), np.array(radii)
 
@@ -182,8 +190,8 @@ def _searcher(keys: np.ndarray, items: list[np.ndarray], weights: np.ndarray, gr
                     continue
                 points = np.zeros((len(places), len(own)), np.float32)
                 points[np.searchsorted(places, owner[taken]), column[terms[taken]]] = value[taken]
-                tree = BallTree(points)
-                bounds = tree.bounds(queries.astype(np.float64))
+                tree = BallTree(points * weights[own].astype(np.float32))
+                bounds = tree.bounds((queries > 0).astype(np.float64))
                 for row, item in enumerate(group):
                     wanted = column[items[item]]
                     weight = queries[row, wanted]
