@@ -142,7 +142,7 @@ def grouped(rows, damage):
     return result
 
 
-@pytest.mark.parametrize("shard, damage", [(256, 97), (3, 2), (1, 0)])
+@pytest.mark.parametrize("shard, damage", [(2048, 97), (3, 2), (1, 0)])
 def test_spelling_variants(spark, shard, damage):
     r = random.Random(shard)
     stock = ["".join(r.choice("abeéÿtÀ") for _ in range(r.randint(4, 7))) for _ in range(60)]

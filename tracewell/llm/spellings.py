@@ -6,13 +6,13 @@ Method (frequency-vector trie):
 2. A word is described by how many characters of each of ``GROUPS`` it has. Inserting a character raises one of these counts
    by one, deleting one lowers one, replacing one does both or neither. So the vectors of near words differ by a surplus
    of at most one and a deficit of at most one.
-3. Words are leaves of a trie over the successive counts. Every word goes down it with a budget of one surplus and one
-   deficit. The upper levels are joins: at each level a word branches to the counts its budget allows, and branches
+3. Words are leaves of a trie over the successive counts. Every word goes down it with a budget of one surplus and then one
+   deficit; where the deficit comes first, the other word of the pair finds this one. The upper levels are joins: at each level a word branches to the counts its budget allows, and branches
    that no word lies on end. A branch with at most ``SHARD`` words below is searched in one place, by depth-first search in a
    trie of its words; larger branches go down one level more. What is still larger after the last level, words of
    equal vectors, is cut into blocks, and the words on their way meet all of them.
-4. Words at the leaves are verified character by character. A branch returns one row per word that came down: the number of
-   near words and the most frequent of them; a word meets another in one branch only, so the numbers add up.
+4. Words at the leaves are verified character by character. A branch returns one row per word that met near ones there: their
+   number and the most frequent of them; two words meet in one branch only and count for both, so the numbers add up.
 5. Forms are followed to the last by pointer doubling. A form is at least twice as frequent as the word, so chains are short.
 """
 
@@ -38,13 +38,14 @@ LEAST_COUNT = 3
 DAMAGE = 97
 FACTOR = 2
 FIRST_LEVELS = 4
-SHARD = 256
+SHARD = 2048
 _DEPTH = len(GROUPS) + 1
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # In UTF-8 the characters U+00C0 to U+00FF are the byte C3 and one byte from 80 to BF.
 _RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 _LONG = 1 << 20
 _FLUSH = 500_000
+_FEW = 8
 
 
 def _tallied(text: bytes) -> Counter:
@@ -94,10 +95,10 @@ def _words(least: int, damage: int):
 
 
 def near(one: str, other: str) -> bool:
-    """Whether the words differ by exactly one inserted, deleted or replaced character."""
+    """Whether words of two characters or more differ by exactly one inserted, deleted or replaced character."""
     if len(one) > len(other):
         one, other = other, one
-    if len(other) - len(one) > 1 or one == other:
+    if len(other) - len(one) > 1 or (one[0] != other[0] and one[-1] != other[-1]) or one == other:
         return False
     at = 0
     while at < len(one) and one[at] == other[at]:
@@ -105,48 +106,114 @@ def near(one: str, other: str) -> bool:
     return one[at + (len(one) == len(other)) :] == other[at + 1 :]
 
 
-def _reached(trie: dict, counts: list[int], depth: int, surplus: int, deficit: int) -> Iterator[list]:
-    """Leaves of the trie that the budget allows, depth first."""
+def _halves(leaf: dict, word: str) -> list[tuple]:
+    """Words of a leaf, none shorter than ``word``, that begin or end like one of its halves; near words do."""
+    if len(leaf[None]) <= _FEW:
+        return leaf[None]
+    size = len(word)
+    half = size // 2
+    if size not in leaf:
+        leaf[size] = {}, {}
+        for other in leaf[None]:
+            leaf[size][0].setdefault(other[1][:half], []).append(other)
+            leaf[size][1].setdefault(other[1][half - size :], []).append(other)
+    begin, end = word[:half], word[half:]
+    return leaf[size][0].get(begin, []) + [o for o in leaf[size][1].get(end, []) if not o[1].startswith(begin)]
+
+
+def _put(node: dict, entry: tuple, at: int) -> None:
+    """Hang (-n, word, counts) below a node; a branch of a few words is a list and not yet divided."""
+    counts = entry[2]
+    if at == len(counts):
+        node.setdefault(None, []).append(entry)
+        return
+    while True:
+        count = counts[at]
+        at += 1
+        child = node.get(count)
+        if at == len(counts):
+            node.setdefault(count, {None: []})[None].append(entry)
+            return
+        if child is None:
+            node[count] = [entry]
+            return
+        if type(child) is list:
+            if len(child) < _FEW:
+                child.append(entry)
+                return
+            node[count] = divided = {}
+            for held in child:
+                _put(divided, held, at)
+            child = divided
+        node = child
+
+
+def _reached(trie: dict, word: str, counts: list[int], depth: int, surplus: int, deficit: int) -> Iterator[list[tuple]]:
+    """Words of the trie that the budget allows, depth first."""
     waiting = [(trie, depth, surplus, deficit)]
     while waiting:
         node, at, more, less = waiting.pop()
-        if at == len(counts):
-            yield node.get(None, [])
-            continue
-        count = counts[at]
-        if count in node:
-            waiting.append((node[count], at + 1, more, less))
-        if more and count + 1 in node:
-            waiting.append((node[count + 1], at + 1, 0, less))
-        if less and count - 1 in node:
-            waiting.append((node[count - 1], at + 1, more, 0))
+        if type(node) is list:
+            yield node
+        elif at == len(counts):
+            if None in node:
+                yield _halves(node, word)
+        else:
+            count = counts[at]
+            if count in node:
+                waiting.append((node[count], at + 1, more, less))
+            if more and count + 1 in node:
+                waiting.append((node[count + 1], at + 1, 0, 1))
+            if less and count - 1 in node:
+                waiting.append((node[count - 1], at + 1, 0, 0))
+
+
+class _Branch:
+    """The words of a branch as a trie, and the near words that each has met in it."""
+
+    def __init__(self):
+        self.trie: dict = {}
+        self.met: dict[str, list] = {}
+
+    def hold(self, word: str, n: int, counts: list[int], depth: int) -> None:
+        _put(self.trie, (-n, word, counts), depth)
+
+    def ask(self, word: str, n: int, counts: list[int], depth: int, surplus: int, deficit: int) -> None:
+        own = (-n, word)
+        for others in _reached(self.trie, word, counts, depth, surplus, deficit):
+            for other in others:
+                # Of two words the one of the smaller vector counts for both; of equal vectors, the smaller word.
+                if near(word, other[1]) and (counts, word) < (other[2], other[1]):
+                    for one, seen in ((word, other[:2]), (other[1], own)):
+                        known = self.met.setdefault(one, [0, seen])
+                        known[0] += 1
+                        known[1] = min(known[1], seen)
+
+    def found(self) -> pa.RecordBatch:
+        rows = [(word, n, -best[0], best[1]) for word, (n, best) in self.met.items()]
+        columns = list(zip(*rows)) or [(), (), (), ()]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+        names = ["word", "n_near", "best_n", "best"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, n_near, best_n, best) of the words that came down a branch and met near ones."""
-    current, trie = None, {}
+    """Rows (word, n_near, best_n, best) of the words that met near ones in a branch."""
+    current, branch = None, _Branch()
     for batch in batches:
-        found: list[tuple] = []
         for rows in runs(batch, "meet"):
             meet = rows.column("meet")[0].as_py()
             if meet != current:
-                current, trie = meet, {}
-            for row in rows.to_pylist():
-                word, n, counts, depth = row["word"], row["n"], row["counts"], row["depth"]
-                if row["side"] == 0:
-                    node = trie
-                    for count in counts[depth:]:
-                        node = node.setdefault(count, {})
-                    node.setdefault(None, []).append((-n, word))
-                    continue
-                others = [o for leaf in _reached(trie, counts, depth, row["surplus"], row["deficit"]) for o in leaf if near(word, o[1])]
-                if others:
-                    best = min(others)
-                    found.append((word, len(others), -best[0], best[1]))
-        columns = list(zip(*found)) or [(), (), (), ()]
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-        names = ["word", "n_near", "best_n", "best"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                if branch.met:
+                    yield branch.found()
+                current, branch = meet, _Branch()
+            columns = (rows.column(c).to_pylist() for c in ("side", "word", "n", "counts", "depth", "surplus", "deficit"))
+            for side, word, n, counts, depth, surplus, deficit in zip(*columns):
+                if side == 0:
+                    branch.hold(word, n, counts, depth)
+                else:
+                    branch.ask(word, n, counts, depth, surplus, deficit)
+    yield branch.found()
 
 
 def _counts(word: Column) -> Column:
@@ -160,10 +227,10 @@ def _down(asking: DataFrame, level: int) -> DataFrame:
     count = F.col("counts")[level]
     branch = F.array(
         F.struct(count.alias("count"), F.col("surplus").alias("surplus"), F.col("deficit").alias("deficit")),
-        F.when(F.col("surplus") > 0, F.struct((count + 1).alias("count"), F.lit(0).alias("surplus"), F.col("deficit").alias("deficit"))),
+        F.when(F.col("surplus") > 0, F.struct((count + 1).alias("count"), F.lit(0).alias("surplus"), F.lit(1).alias("deficit"))),
         F.when(
             (F.col("deficit") > 0) & (count > 0),
-            F.struct((count - 1).alias("count"), F.col("surplus").alias("surplus"), F.lit(0).alias("deficit")),
+            F.struct((count - 1).alias("count"), F.lit(0).alias("surplus"), F.lit(0).alias("deficit")),
         ),
     )
     asking = asking.select("word", "n", "counts", "prefix", F.explode(F.array_compact(branch)).alias("to"))
@@ -176,7 +243,7 @@ def _meetings(words: DataFrame, shard: int, staging: Staging) -> DataFrame:
     """Rows (meet, side, depth, word, n, counts, surplus, deficit): words of a branch (side 0), then those on their way."""
     level = FIRST_LEVELS
     held = words.select("word", "n", "counts", F.concat(F.lit(","), F.array_join(F.slice("counts", 1, level), ",")).alias("prefix"))
-    asking = words.select("word", "n", "counts", F.lit("").alias("prefix"), F.lit(1).alias("surplus"), F.lit(1).alias("deficit"))
+    asking = words.select("word", "n", "counts", F.lit("").alias("prefix"), F.lit(1).alias("surplus"), F.lit(0).alias("deficit"))
     for step in range(level):
         asking = _down(asking, step)
     parts = []
