@@ -263,3 +263,42 @@ def test_reset_and_sql_function(spark, folder, requests):
     store.reset(True, folder)
     with pytest.raises(StoreError):
         open_store(spark, folder)
+
+
+def test_compaction_of_points_and_marks(spark, folder, requests):
+    """Points are clustered by their name, and a mark that is raised during a compaction is not lost."""
+    store = Store.create(spark, f"{folder}/points")
+    for i in range(3):
+        text = otlp.metric(f"m{i}", "sum", {"timeUnixNano": str(10**18 + i), "asInt": str(i)})
+        store.ingest(requests([text], prefix=f"p{i}"), METRICS)
+    assert store.compact(METRICS) == 3 and store.table(METRICS).count() == 3
+
+    logs = Store.create(spark, f"{folder}/logs")
+    for i in range(2):
+        logs.ingest(requests([otlp.log(f"b{i}")], prefix=f"l{i}"), LOGS)
+    other, write = logs.writer(), logs._write_batch
+
+    def expired_meanwhile(*arguments):
+        written = write(*arguments)
+        assert other.expire_by_age(10**18 + 49 * HOUR)[LOGS] == 2
+        return written
+
+    logs._write_batch = expired_meanwhile
+    with pytest.raises(StoreError):
+        logs.compact(LOGS)
+    assert logs.refresh().table(LOGS).count() == 0
+
+
+def test_services_by_attributes(spark, folder, requests):
+    store = Store.create(spark, folder)
+    texts = [otlp.log("a", [("k", 1)]), otlp.log("b", [("k", 1)], [("service.name", "shop"), ("zone", "x")]), otlp.log("c", [("k", "1")])]
+    store.ingest(requests(texts), LOGS)
+
+    def counted(**filters):
+        found = views.services(*store.tables().values(), Filters(since="1970-01-01T00:00:00Z", **filters)).collect()
+        return [(r.service_name, r.logs, r.spans) for r in found]
+
+    assert counted() == [("shop", 3, 0)]
+    assert counted(attribute=["k=1"]) == [("shop", 2, 0)]
+    assert counted(attribute=["k=1"], resource=["zone=x"]) == [("shop", 1, 0)]
+    assert counted(resource=["zone=y"]) == []

@@ -14,7 +14,7 @@ from tracewell.functions.times import millis_between
 from tracewell.model import LOGS, METRIC_IDENTITY, METRICS, NO_RECORDED_VALUE, SERIES_IDENTITY, SPANS
 from tracewell.operators.rate import counter_rate
 from tracewell.plans import catalog
-from tracewell.plans.filters import Filters, common, hex_id, select_logs, select_metrics, select_spans
+from tracewell.plans.filters import Filters, common, hex_id, select_logs, select_metrics, select_spans, with_attributes
 
 _RENAMED = {
     "received_at": "received_at_unix_nano",
@@ -67,7 +67,7 @@ def services(log_table: DataFrame, span_table: DataFrame, metric_table: DataFram
         (METRICS, "metric_points", metric_table),
     ]:
         counted = (
-            common(table, signal, filters)
+            with_attributes(common(table, signal, filters), filters)
             .groupBy("service_name")
             .agg(F.count(F.lit(1)).alias(counter), F.max("received_at_unix_nano").alias("last_received_at"))
         )

@@ -316,11 +316,14 @@ class Store(Reader):
         if len(before) < 2:
             return 0
         number = self._new_batch()
-        order = cluster or {METRICS: ["name", "service_name"]}.get(signal, ["trace_id", "service_name"])
+        order = cluster or {METRICS: ["metric_name", "service_name"]}.get(signal, ["trace_id", "service_name"])
         self._write_batch(self.table(signal).repartitionByRange(*order).sortWithinPartitions(*order), signal, number)
-        done = list(self.state.replaced)
+        done, marks = list(self.state.replaced), self.state.marks
 
         def change(state: State) -> dict:
+            if state.marks != marks:
+                # The new batch would escape a mark that was raised after its rows were read.
+                raise StoreError("records have expired meanwhile; refresh and try again")
             gone = [f"{self._path(signal)}/batch={n}" for n in before]
             return {
                 "batches": {**state.batches, signal: [number]},
