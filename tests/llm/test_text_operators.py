@@ -491,3 +491,13 @@ def test_crc_of_query_is_unsigned(spark):
     data = np.array([50256, 0, 7], "<u4").tobytes()
     got = spark.createDataFrame([(bytearray(data),)], "ids binary").select(F.crc32("ids")).first()[0]
     assert got == zlib.crc32(data)
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (2, text + " end", "b"), (3, "else", "c"), (3, "else", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    docs = docs.withColumns({"_row_key": F.lit(7), "Document": F.lit(8), "class": F.lit(9)})
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["a.b"], r["_row_key"]) for r in kept.collect()) == [(1, "a", 7), (3, "c", 7)]

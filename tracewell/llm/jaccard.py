@@ -12,11 +12,14 @@ Method (count-vector R-tree):
    cells with others is out, and so in turns, until only cells of classes with likely partners are left.
 3. *Stars.* In each cell all classes are compared with the least one, by their full sets. This joins groups of near
    copies, however large, with a number of comparisons in proportion to their members.
-4. *R-tree.* What remains are cells that hold classes of different components. Their classes become points, the numbers of
-   their shingles in ``GROUPS`` hash groups. An R-tree of them, whose nodes know the largest coordinates, the sizes and
-   the component, yields the pairs of different components for which the sum of coordinate minima allows the required
-   overlap. A cell of more than ``BLOCK`` classes is cut into pairs of blocks, so no cell meets in one task.
-5. The pairs left are verified by their full sets. Links of both steps give the components.
+4. *R-tree.* What remains are cells that hold classes of different components. Classes with too few of these are out, and
+   each of the others leaves out its most crowded ones, as many as linked sets share beyond one. The classes of a cell
+   become points, the numbers of their shingles in ``GROUPS`` hash groups. An R-tree of them, whose nodes know the
+   largest coordinates, the sizes and the component, yields the pairs of different components for which the sum of
+   coordinate minima allows the required overlap; minima over ``FINE_GROUPS`` groups settle most of these. A cell of more
+   than ``BLOCK`` classes is cut into pairs of blocks. A place returns the classes that have such a partner there.
+5. Only these meet again, with their full sets. Pairs are verified unless links of the same place have joined their
+   components already, so a place returns fewer links than it has members. Links of both steps give the components.
 
 All links between different sets are found or lie within one component; nothing is capped.
 """
@@ -27,21 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import words
 from tracewell.llm.graphs import components
+from tracewell.llm.streams import groups
 from tracewell.llm.tables import Staging, row_key
 
 SHINGLE = 3
 PERCENT = 90
 GROUPS = 128
 FINE_GROUPS = 1024
-FINE_SIZE = 400
-BLOCK = 4096
+BLOCK = 1024
 LEAF = 48
 TURNS = 1
+NARROWING = 2
 _RATIO = 1.5
 
 
@@ -97,7 +101,8 @@ def _cells(hashes: np.ndarray, first: np.ndarray, which: np.ndarray, level: np.n
     keep = np.flatnonzero(~weak | many[of])
     place = (keep - base[of[keep]]).astype(np.uint64)
     step = words.mix(place * np.uint64(64) + level[of[keep]].astype(np.uint64))
-    return which[of[keep]], words.mix(content[keep] ^ step)
+    # Cells that collide only bring more classes together; 48 bits take less room where cells are exchanged.
+    return which[of[keep]], words.mix(content[keep] ^ step) >> np.uint64(16)
 
 
 def _describe(shingle: int, percent: int):
@@ -134,11 +139,18 @@ def _describe(shingle: int, percent: int):
     return run
 
 
-def _vectors(shingle: int):
-    """Rows (class, n, shingles, counts, fine) of documents: the set and its numbers of shingles in hash groups.
+def _packed(counts: np.ndarray) -> list[bytes]:
+    """Each row of counts as bytes, or as larger numbers where a count does not fit into a byte."""
+    return [row.astype(np.uint8 if row.max() < 256 else np.uint32).tobytes() for row in counts]
 
-    ``fine`` has ``FINE_GROUPS`` groups for sets of ``FINE_SIZE`` shingles or more, which crowd the others; else it is empty.
-    """
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    rows = [np.frombuffer(text, np.uint8 if len(text) == width else np.uint32) for text in column.to_pylist()]
+    return np.stack(rows) if rows else np.zeros((0, width), np.uint8)
+
+
+def _vectors(shingle: int):
+    """Rows (class, n, shingles, counts, fine) of documents: the set, and its numbers of shingles in few and in many hash groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,23 +158,15 @@ def _vectors(shingle: int):
                 hashes, first = _sets(data, offsets, shingle)
                 rows = end - begin
                 owner = np.repeat(np.arange(rows), np.diff(first))
-                counts = np.bincount(owner * GROUPS + (hashes % np.uint64(GROUPS)).astype(np.int64), minlength=rows * GROUPS)
-                large = np.diff(first) >= FINE_SIZE
-                at = np.concatenate([[0], np.cumsum(large)])
-                of_large = large[owner]
-                slot = at[owner[of_large]] * FINE_GROUPS + (hashes[of_large] % np.uint64(FINE_GROUPS)).astype(np.int64)
-                fine = np.bincount(slot, minlength=int(at[-1]) * FINE_GROUPS)
+                slot = owner * FINE_GROUPS + (hashes % np.uint64(FINE_GROUPS)).astype(np.int64)
+                fine = np.bincount(slot, minlength=rows * FINE_GROUPS).reshape(rows, FINE_GROUPS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(_class(hashes, first)),
                         pa.array(np.diff(first).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64))),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(rows + 1, dtype=np.int32) * GROUPS), pa.array(counts.astype(np.int32))
-                        ),
-                        pa.ListArray.from_arrays(
-                            pa.array((at * FINE_GROUPS).astype(np.int32)), pa.array(fine.astype(np.int32))
-                        ),
+                        pa.array(_packed(_folded(fine)), pa.binary()),
+                        pa.array(_packed(fine), pa.binary()),
                     ],
                     names=["class", "n", "shingles", "counts", "fine"],
                 )
@@ -170,6 +174,24 @@ def _vectors(shingle: int):
     return run
 
 
+def _folded(fine: np.ndarray) -> np.ndarray:
+    """Numbers of shingles in ``GROUPS`` groups from those in ``FINE_GROUPS``, a multiple of it."""
+    return fine.reshape(len(fine), FINE_GROUPS // GROUPS, GROUPS).sum(axis=1, dtype=np.int64)
+
+
+def _bounded(column: str, width: int, percent: int):
+    """The pairs (a, b) whose group counts allow the overlap that a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (_unpacked(batch.column(f"{column}_{side}"), width) for side in "ab")
+            size = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            passed = (100 + percent) * np.minimum(one, other).sum(axis=1, dtype=np.int64) >= percent * size
+            yield batch.select(["a", "b"]).filter(pa.array(passed))
+
+    return run
+
+
 class RTree:
     """Points of group counts; finds those of other components that may overlap enough with queries."""
 
@@ -216,45 +238,115 @@ class RTree:
                 yield places[i], rows[j]
 
 
-def _candidates(percent: int):
-    """Pairs (a, b) of classes per block pair; the rows of a block pair follow one another."""
+class _Joined:
+    """Union-find over the components that meet in one place."""
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        number = rows.column("class").to_numpy()
-        size, component, side = (rows.column(c).to_numpy() for c in ("n", "component", "side"))
-        points = rows.column("counts").combine_chunks().flatten().to_numpy().reshape(len(number), GROUPS)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(left) and len(right):
-            tree = RTree(points[right], size[right], component[right], percent)
-            asked = tree.points if right is left else points[left]
-            for i, j in tree.search(asked, size[left], component[left]):
-                a.append(number[left[i]])
-                b.append(number[right[j]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        once = a < b if right is left else a != b
-        a, b = a[once], b[once]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def __init__(self, component: np.ndarray):
+        self.known, self.of = np.unique(component, return_inverse=True)
+        self.parent = np.arange(len(self.known))
+
+    def root(self, row: int) -> int:
+        at = self.of[row]
+        while self.parent[at] != at:
+            self.parent[at] = at = self.parent[self.parent[at]]
+        return at
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        at = self.of[rows]
+        while (self.parent[at] != at).any():
+            at = self.parent[at]
+        return at
+
+
+def _passing(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows of a block pair that belong to different components and pass the bounds of the tree and of the fine counts."""
+    size, component, side = (rows.column(c).to_numpy() for c in ("n", "component", "side"))
+    fine = _unpacked(rows.column("fine"), FINE_GROUPS)
+    points = _folded(fine)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    if not len(left) or not len(right):
+        return
+    tree = RTree(points[right], size[right], component[right], percent)
+    asked = tree.points if right is left else points[left]
+    for i, j in tree.search(asked, size[left], component[left]):
+        i, j = left[i], right[j]
+        overlap = np.minimum(fine[i], fine[j]).sum(axis=1, dtype=np.int64)
+        passed = (100 + percent) * overlap >= percent * (size[i] + size[j])
+        yield i[passed], j[passed]
+
+
+def _alive(percent: int):
+    """Rows (meet, side, class, component) that have a partner within the bounds where they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            meet = batch.column("meet").to_numpy()
-            borders = [0, *(np.flatnonzero(meet[1:] != meet[:-1]) + 1).tolist(), len(meet)]
-            for begin, end in zip(borders, borders[1:]):
-                if begin == end:
+        for rows in groups(batches, "meet"):
+            alive = np.zeros(rows.num_rows, bool)
+            for i, j in _passing(rows, percent):
+                alive[i] = alive[j] = True
+            if alive.any():
+                yield from rows.select(["meet", "side", "class", "component"]).filter(pa.array(alive)).to_batches()
+
+    return run
+
+
+def _linked(percent: int):
+    """Links (a, b) per block pair between components that no earlier link of the block pair joins."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        number, size, component = (rows.column(c).to_numpy() for c in ("class", "n", "component"))
+        sets = rows.column("shingles").combine_chunks()
+        first, hashes = sets.offsets.to_numpy(), sets.values.to_numpy()
+        joined, a, b = _Joined(component), [], []
+        for i, j in _passing(rows, percent):
+            apart = joined.roots(i) != joined.roots(j)
+            for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+                one, other = joined.root(x), joined.root(y)
+                if one == other:
                     continue
-                if held and held[-1].column("meet")[0].as_py() != meet[begin]:
-                    yield pairs(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(begin, end - begin))
-        if held:
-            yield pairs(pa.Table.from_batches(held))
+                shared = len(np.intersect1d(hashes[first[x] : first[x + 1]], hashes[first[y] : first[y + 1]], assume_unique=True))
+                if (100 + percent) * shared >= percent * (size[x] + size[y]):
+                    joined.parent[one] = other
+                    a.append(number[x])
+                    b.append(number[y])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, "meet"):
+            yield pairs(rows)
 
     return run
 
 
+def _narrowed(labelled: DataFrame, staging: Staging) -> DataFrame:
+    """Rows (cell, class, component) in which linked classes of different components still meet.
+
+    Linked classes share ``need`` cells of a level or more, and a cell that two components share is mixed. So a class
+    with fewer mixed cells is out; and each of the others may leave out its ``need - 1`` most crowded ones: of the cells
+    that two linked classes share, the least crowded one stays with both.
+    """
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        cells = rows.groupBy("cell").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
+        )
+        return cells.where("low <> high").select("cell", "size")
+
+    for turn in range(1, NARROWING + 1):
+        cells = staging.write(mixed(labelled), f"mixed-{turn}")
+        met = labelled.join(cells.select("cell"), "cell", "left_semi")
+        enough = met.groupBy("class", "above", "need").count().where("count >= need").select("class", "above")
+        labelled = staging.write(met.join(enough, ["class", "above"], "left_semi"), f"labelled-{turn}")
+        staging.drop(f"labelled-{turn - 1}", f"mixed-{turn}")
+    cells = staging.write(mixed(labelled), "mixed-cells")
+    order = Window.partitionBy("class", "above").orderBy(F.col("size").desc(), "cell")
+    ranked = labelled.join(cells, "cell").withColumn("place", F.row_number().over(order))
+    kept = staging.write(ranked.where("place >= need").select("cell", "class", "component").distinct(), "kept")
+    labelled = staging.write(kept.join(staging.write(mixed(kept), "mixed-kept"), "cell", "left_semi"), "labelled")
+    staging.drop(f"labelled-{NARROWING}", "mixed-cells", "kept", "mixed-kept")
+    return labelled
+
+
 def _side(rows: DataFrame, side: str, *columns: str) -> DataFrame:
     return rows.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
@@ -268,13 +360,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, staging: Staging,
     sized = pairs.join(_side(sets, "a", "n"), "a").join(_side(sets, "b", "n"), "b")
     sized = sized.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
     near = sized
-    for column in ("counts", "fine"):
+    for column, width in (("counts", GROUPS), ("fine", FINE_GROUPS)):
         both = near.join(_side(sets, "a", "n", column), "a").join(_side(sets, "b", "n", column), "b")
-        one, other = F.col(f"{column}_a"), F.col(f"{column}_b")
-        bound = F.aggregate(F.zip_with(one, other, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-        # Where one of the two has no fine counts, they say nothing.
-        silent = (F.size(one) == 0) | (F.size(other) == 0)
-        near = staging.write(both.where(silent | _alike(bound, percent)).select("a", "b"), f"{name}-{column}")
+        near = staging.write(both.mapInArrow(_bounded(column, width, percent), "a long, b long"), f"{name}-{column}")
     joined = near.join(_side(sets, "a", "n", "shingles"), "a").join(_side(sets, "b", "n", "shingles"), "b")
     return joined.where(_alike(F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"), percent)).select("a", "b")
 
@@ -289,7 +377,7 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
     """Rows (row_key, n, group), one per distinct row; equal groups are one component, documents without words have none."""
     keyed = docs.select(row_key(*docs.columns).alias("row_key"), F.col(text).alias("text"))
     schema = "row_key long, n long, class long, cells array<long>, own int, need int, need_above int"
-    described = staging.write(keyed.mapInArrow(_describe(shingle, percent), schema), "described")
+    described = staging.write(keyed.mapInArrow(_describe(shingle, percent), schema), "described", compression="zstd")
     cells = described.select("class", F.explode("cells").alias("cell"))
     heads = staging.write(_heads(cells), "heads")
     signed = described.select("class", "own", "need", "need_above", F.posexplode("cells").alias("at", "cell"))
@@ -304,13 +392,13 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
         entries = staging.write(entries, f"enough-{turn}")
         entries = staging.write(entries.join(_heads(entries).select("cell"), "cell", "left_semi"), f"entries-{turn}")
         staging.drop(f"entries-{turn - 1}", f"enough-{turn}")
-    entries = staging.write(entries.join(_heads(entries), "cell").select("cell", "class", "head"), "entries")
+    entries = staging.write(entries.join(_heads(entries), "cell"), "entries")
     staging.drop(f"entries-{TURNS}")
 
     wanted = classes.join(entries.select("class").distinct(), "class", "left_semi").groupBy("class")
     wanted = wanted.agg(F.min("row_key").alias("row_key")).select("row_key")
     chosen = keyed.join(wanted.hint("shuffle_hash"), "row_key", "left_semi")
-    sets = chosen.mapInArrow(_vectors(shingle), "class long, n long, shingles array<long>, counts array<int>, fine array<int>")
+    sets = chosen.mapInArrow(_vectors(shingle), "class long, n long, shingles array<long>, counts binary, fine binary")
     sets = staging.write(sets, "sets")
     # Repeated rows share a key and give their set twice.
     if not sets.groupBy("class").count().where("count > 1").isEmpty():
@@ -321,17 +409,16 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
     first = components(star, staging, "first")
 
     labelled = entries.join(first.withColumnRenamed("node", "class"), "class", "left")
-    labelled = labelled.select("cell", "class", F.coalesce("root", "class").alias("component"))
+    labelled = labelled.select("cell", "class", "above", "need", F.coalesce("root", "class").alias("component"))
+    labelled = _narrowed(staging.write(labelled, "labelled-0"), staging)
     # Cells of the same classes need one search only; what they hold is known by count and two hashes.
     mixed = labelled.groupBy("cell").agg(
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
         F.count(F.lit(1)).alias("size"),
         F.bit_xor(F.xxhash64("class")).alias("one"),
         F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("two"),
     )
-    mixed = mixed.where("low <> high").groupBy("size", "one", "two").agg(F.min("cell").alias("cell"))
-    mixed = mixed.select("cell", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    mixed = mixed.groupBy("size", "one", "two").agg(F.min("cell").alias("cell"))
+    mixed = staging.write(mixed.select("cell", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")), "mixed")
     spread = labelled.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("class"), "blocks"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = spread.select(
@@ -340,17 +427,18 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
         "class",
         "component",
     )
-    points = spread.join(sets.select("class", "n", "counts"), "class")
-    points = points.repartition("meet").sortWithinPartitions("meet")
-    found = points.mapInArrow(_candidates(percent), "a long, b long").distinct()
-    found = staging.write(_verified(staging.write(found, "candidates"), sets, percent, staging, "found"), "found")
+    points = spread.join(sets.select("class", "n", "fine"), "class").repartition("meet").sortWithinPartitions("meet")
+    alive = points.mapInArrow(_alive(percent), "meet long, side int, class long, component long")
+    alive = staging.write(alive, "alive")
+    points = alive.join(sets.select("class", "n", "fine", "shingles"), "class").repartition("meet").sortWithinPartitions("meet")
+    found = staging.write(points.mapInArrow(_linked(percent), "a long, b long").distinct(), "found")
+    staging.drop("mixed", "labelled", "alive")
     last = components(star.unionByName(found), staging, "last")
 
     grouped = classes.join(last.withColumnRenamed("node", "class"), "class", "left")
     group = F.when(F.col("n") > 0, F.coalesce("root", "class"))
     grouped = staging.write(grouped.select("row_key", "n", group.alias("group")), "grouped")
-    staging.drop("entries", "classes", "sets", "sets-once", "candidates")
-    staging.drop(*[f"{step}-{column}" for step in ("star", "found") for column in ("counts", "fine")])
+    staging.drop("entries", "classes", "sets", "sets-once", "star-counts", "star-fine")
     return grouped
 
 
@@ -395,12 +483,13 @@ def one_of_each(
     stays = staging.write(rows.where("group IS NULL").select("row_key").distinct().unionByName(least), "stays")
     repeated = with_words.groupBy("row_key").count().where("count > 1").select("row_key")
     repeated = staging.write(repeated.join(stays, "row_key", "left_semi"), "repeated")
-    key = row_key(id_column, text).alias("_row_key")
-    kept = docs.select("*", key).join(_keys(stays), "_row_key", "left_semi")
+    # The document travels as one column, so no name of it meets a name of ours.
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("document")
+    kept = docs.select(whole, row_key(id_column, text).alias("_row_key")).join(_keys(stays), "_row_key", "left_semi")
     if not repeated.isEmpty():
         once = kept.join(_keys(repeated), "_row_key", "left_semi").dropDuplicates(["_row_key"])
         kept = kept.join(_keys(repeated), "_row_key", "left_anti").unionByName(once)
-    return kept.select(*[f"`{name}`" for name in docs.columns])
+    return kept.select("document.*")
 
 
 def _keys(rows: DataFrame) -> DataFrame:

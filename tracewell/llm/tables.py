@@ -18,12 +18,12 @@ class Staging:
         self.spark = spark
         self.base = work_folder(spark, purpose)
 
-    def write(self, frame: DataFrame, name: str) -> DataFrame:
+    def write(self, frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write ``frame`` and read it back. Its shuffle files go once the table is complete."""
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            frame.write.parquet(f"{self.base}/{name}")
+            frame.write.parquet(f"{self.base}/{name}", compression=compression)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(frame.schema).parquet(f"{self.base}/{name}")
@@ -38,5 +38,6 @@ def row_key(*columns: str) -> Column:
     """A 64-bit key of a row; equal rows have equal keys, null counts as a value."""
     parts = []
     for name in columns:
-        parts += [F.col(name), F.col(name).isNull()]
+        column = F.col(f"`{name}`")
+        parts += [column, column.isNull()]
     return F.xxhash64(*parts)
