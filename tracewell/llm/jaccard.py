@@ -430,9 +430,16 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
     points = spread.join(sets.select("class", "n", "fine"), "class").repartition("meet").sortWithinPartitions("meet")
     alive = points.mapInArrow(_alive(percent), "meet long, side int, class long, component long")
     alive = staging.write(alive, "alive")
-    points = alive.join(sets.select("class", "n", "fine", "shingles"), "class").repartition("meet").sortWithinPartitions("meet")
+    # Again places of the same classes need one search only.
+    shape = alive.groupBy("meet").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("class", "side")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit(1), "class", "side")).alias("two"),
+    )
+    once = staging.write(shape.groupBy("size", "one", "two").agg(F.min("meet").alias("meet")).select("meet"), "once")
+    points = alive.join(once, "meet", "left_semi").join(sets.select("class", "n", "fine", "shingles"), "class").repartition("meet").sortWithinPartitions("meet")
     found = staging.write(points.mapInArrow(_linked(percent), "a long, b long").distinct(), "found")
-    staging.drop("mixed", "labelled", "alive")
+    staging.drop("mixed", "labelled", "alive", "once")
     last = components(star.unionByName(found), staging, "last")
 
     grouped = classes.join(last.withColumnRenamed("node", "class"), "class", "left")
