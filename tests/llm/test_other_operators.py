@@ -123,6 +123,24 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-160, 1e19, 1e20, 1e120])
+def test_neighbours_of_any_length(spark, size):
+    r = np.random.default_rng(8)
+    vectors = r.normal(size=(1200, 32)) * size * r.uniform(0.5, 2, size=(1200, 1))
+    table = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, `a.b` string")
+    rows = neighbours.nearest(table, table.where("vec_id % 50 = 0"), shard_rows=500).collect()
+    got = collections.defaultdict(set)
+    for row in rows:
+        got[row.query_id].add(row.vec_id)
+    products = (vectors / size) @ (vectors / size).T
+    hits = 0
+    for query in range(0, 1200, 50):
+        assert len(got[query]) == 20
+        order = [int(i) for i in np.argsort(-products[query]) if i != query][:20]
+        hits += len(got[query] & set(order))
+    assert hits >= 0.99 * 20 * 24
+
+
 def test_components(spark):
     r = random.Random(6)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, 500)]

@@ -75,6 +75,24 @@ def test_substrings(spark, corpus, window, phrase):
     assert any(w[2] for w in want)
 
 
+@pytest.mark.parametrize("bits", [1, 6])
+def test_substrings_with_weak_hashes(spark, corpus, bits):
+    """Places of phrases come from the automaton: colliding hashes change nothing."""
+    docs = spark.createDataFrame(corpus, SCHEMA).repartition(3)
+    found = substrings.remove_repeats(docs, window=12, phrase=4, bits=bits)
+    split = [words(row[1]) for row in corpus]
+    want = sorted((len(w), " ".join(k)) for w, k in zip(split, kept_words(split, 12)))
+    assert sorted((r.n_words, r.kept_text) for r in found.collect()) == want
+
+
+def test_substrings_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, text, 1.5, "x", "y", "z"), (2, text, 2.5, None, "y", "z")], "doc_id long, text string, `a.b` double, `_text` string, N_Words string, document string")
+    found = substrings.remove_repeats(docs)
+    assert found.columns == ["doc_id", "text", "a.b", "_text", "document", "n_words", "n_removed", "kept_text"]
+    assert sorted((r[0], r[2], r[3], r.n_removed) for r in found.collect()) == [(1, 1.5, "x", 50), (2, 2.5, None, 50)]
+
+
 def shingles(text, n):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:

@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product with randomly rotated one-bit codes.
 
 Method: a shard of the candidates is rotated by a random orthogonal matrix, and each vector is kept as the signs of its
-coordinates (packed bits), its length and the cosine between it and its code. For a query, the signs times the rotated
-query, divided by that cosine, estimate the inner product; the estimate errs by at most
+coordinates (packed bits), its length and the cosine between it and its code. A rotated query of unit length is rounded
+to ``PLANES`` bits a coordinate, so that the product with a code is a sum of counts of common bits, plane by plane.
+Divided by that cosine, it estimates the inner product; the estimate errs by at most
 ``length * |query| * sqrt((1 - cos^2) / cos^2) * epsilon / sqrt(d - 1)`` but with a probability that falls with
-exp(-epsilon^2 / 2). The best estimates are measured first; the k-th best of them is a threshold, and every candidate
+exp(-epsilon^2 / 2); the bound has room for the rounding, too. Lengths are taken out first and kept in double precision,
+so very long and very short vectors are treated alike. The best estimates are measured first; the k-th best of them is a threshold, and every candidate
 whose upper bound reaches it is measured on the original vectors.
 
 All queries meet all shards: queries are copied to the shards (a shard has ``SHARD_ROWS`` candidates, so a query is
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 16384
 EPSILON = 3.5
 SEED = 20
-_BLOCK = 256
+PLANES = 8
+_BLOCK = 64
 
 
 def rotation(dimension: int, seed: int) -> np.ndarray:
@@ -33,6 +36,21 @@ def rotation(dimension: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one, and the lengths; squares of any finite components neither overflow nor vanish."""
+    largest = np.abs(vectors).max(axis=1, keepdims=True)
+    scaled = vectors / largest
+    length = np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+    return scaled / length, (largest * length)[:, 0]
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words."""
+    packed = np.packbits(bits, axis=-1)
+    room = -packed.shape[-1] % 8
+    return np.pad(packed, [(0, 0)] * (packed.ndim - 1) + [(0, room)]).view(np.uint64)
+
+
 class Codes:
     """One-bit codes of a shard."""
 
@@ -40,41 +58,49 @@ class Codes:
         self.ids, self.vectors = ids, vectors
         self.dimension = vectors.shape[1]
         self.rotation = rotation(self.dimension, seed)
-        rotated = vectors @ self.rotation
-        self.bits = np.packbits(rotated > 0, axis=1)
-        self.length = np.sqrt((vectors * vectors).sum(axis=1))
-        cosine = np.abs(rotated).sum(axis=1) / (np.sqrt(self.dimension) * self.length)
-        self.scale = (self.length / (cosine * np.sqrt(self.dimension))).astype(np.float32)
+        units, self.length = _unit(vectors)
+        rotated = units @ self.rotation
+        self.bits = _packed(rotated > 0)
+        self.ones = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+        cosine = np.abs(rotated).sum(axis=1) / np.sqrt(self.dimension)
+        self.scale = self.length / (cosine * np.sqrt(self.dimension))
         spread = np.sqrt(np.maximum(0, 1 - cosine**2)) / cosine
-        self.error = (self.length * spread * epsilon / np.sqrt(max(1, self.dimension - 1))).astype(np.float32)
-        self.short = vectors.astype(np.float32)
-
-    def signs(self) -> np.ndarray:
-        return np.unpackbits(self.bits, axis=1, count=self.dimension).astype(np.float32) * 2 - 1
+        self.error = self.length * spread * epsilon / np.sqrt(max(1, self.dimension - 1))
 
     def exact(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Inner products in double precision, added from the first component to the last."""
         return np.add.accumulate(self.vectors[rows] * query, axis=1)[:, -1]
 
+    def estimates(self, rotated: np.ndarray) -> tuple[np.ndarray, float]:
+        """Estimated products with a rotated query of unit length, and how far rounding can move a sum of signs."""
+        low = rotated.min()
+        step = (rotated.max() - low) / (2**PLANES - 1) or 1.0
+        levels = np.rint((rotated - low) / step).astype(np.uint16)
+        planes = _packed((levels >> np.arange(PLANES, dtype=np.uint16)[:, None]) & 1 > 0)
+        common = np.zeros(len(self.ids), np.int64)
+        for place, plane in enumerate(planes):
+            common += np.bitwise_count(self.bits & plane).sum(axis=1, dtype=np.int64) << place
+        sums = 2 * (low * self.ones + step * common) - rotated.sum()
+        return sums * self.scale, self.dimension * step / 2 + 1e-12
+
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its place, and the rows and scores of its best candidates of this shard."""
-        signs = self.signs()
         for begin in range(0, len(queries), _BLOCK):
-            block = queries[begin : begin + _BLOCK]
-            rotated = (block @ self.rotation).astype(np.float32)
-            estimates = (signs @ rotated.T) * self.scale[:, None]
-            for at, query in enumerate(block):
-                estimate = estimates[:, at]
-                norm = np.float32(np.sqrt((query * query).sum()) * 1.00001)
+            units, norms = _unit(queries[begin : begin + _BLOCK])
+            rotated = units @ self.rotation
+            for at, unit in enumerate(units):
+                query = queries[begin + at]
+                estimate, rounding = self.estimates(rotated[at])
                 others = self.ids != ids[begin + at]
                 estimate[~others] = -np.inf
                 first = np.argpartition(-estimate, k - 1)[:k] if len(estimate) > k else np.arange(len(estimate))
                 first = first[others[first]]
-                threshold = self.exact(first, query).min() if len(first) >= k else -np.inf
-                rows = np.flatnonzero((estimate + self.error * norm >= threshold) & others)
-                # Single precision first, with room for its error; what is left is measured exactly.
-                margin = np.float32(2e-6 * self.dimension) * norm * self.length[rows]
-                rows = rows[self.short[rows] @ query.astype(np.float32) + margin >= threshold]
+                threshold = self.exact(first, query).min() / norms[at] if len(first) >= k else -np.inf
+                # A bound that is not a number proves nothing, so such a row stays.
+                rows = np.flatnonzero(~(estimate + self.error + self.scale * rounding < threshold) & others)
+                # Products of unit vectors first, with room for their error; what is left is measured exactly.
+                margin = 1e-14 * self.dimension * self.length[rows]
+                rows = rows[~(self.vectors[rows] @ unit + margin < threshold)]
                 scores = self.exact(rows, query)
                 best = np.lexsort((self.ids[rows], -scores))[:k]
                 yield begin + at, rows[best], scores[best]

@@ -5,9 +5,10 @@ Method (repeated-phrase automata):
 1. *Phrases.* Of the ``phrase``-word sequences in each window of ``window`` words the one of least hash is its
    phrase, so equal windows have equal phrases wherever they stand. About 2 in (window - phrase + 2) positions are
    phrases; they are counted with a combine before the exchange, and those with two occurrences or more recur.
-2. *Automata.* Each document is joined with the recurring phrases it has. A task takes its documents in shards of about
-   a megabyte, compiles the phrases of the shard into one Aho-Corasick automaton over word numbers, and streams the
-   documents through it. Memory is bounded by the shard, whatever the corpus holds.
+2. *Automata.* Recurring phrases travel as word sequences. Each document is joined with those it has; a task takes its
+   documents in shards of about a megabyte, compiles the phrases of the shard into one Aho-Corasick automaton over word
+   numbers, and streams the documents through it. Where phrases stand is what the automaton reports, no hash decides it.
+   Memory is bounded by the shard, whatever the corpus holds.
 3. *Confirmation.* Windows around located phrases are grouped into runs that share a phrase. Runs that occur twice as a
    whole are confirmed at once, however many copies there are; the windows of runs with one occurrence are compared one
    by one with those of other runs of their phrase. A window is known by the 64-bit hash of its phrase and another one
@@ -25,12 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm import words
 from tracewell.llm.tables import Staging, row_key
 
 WINDOW = 35
 PHRASE = 10
+BITS = 64
+ADDED = ["n_words", "n_removed", "kept_text"]
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -38,17 +42,18 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _phrases(w: words.Words, window: int, phrase: int):
+def _phrases(w: words.Words, window: int, phrase: int, bits: int):
     """Hashes of all phrases, the least one of each window, and which windows lie within one document."""
     hashes, inside = w.grams(phrase)
+    hashes = hashes >> np.uint64(64 - bits)
     hashes = np.where(inside, np.minimum(hashes, _NONE - np.uint64(1)), _NONE)
     least = words.sliding(hashes, window - phrase + 1, np.minimum)
     windows, whole = w.grams(window, 1)
     return hashes, least, windows, whole
 
 
-def _phrase_rows(window: int, phrase: int):
-    """Rows (seed, row_key, n): each phrase a document selects and how often."""
+def _phrase_rows(window: int, phrase: int, bits: int):
+    """Rows (seed, row_key, n, phrase): each phrase a document selects, how often, and its words joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = window - phrase + 1
@@ -56,68 +61,78 @@ def _phrase_rows(window: int, phrase: int):
             keys = batch.column("row_key").to_numpy()
             for begin, _, data, offsets in words.chunks(batch.column("text")):
                 w = words.split(data, offsets)
-                hashes, least, _, whole = _phrases(w, window, phrase)
+                hashes, least, _, whole = _phrases(w, window, phrase, bits)
                 if not whole.any():
                     continue
                 # A phrase is selected if it is the least one of any window that holds it.
                 padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
                 padded[width - 1 : width - 1 + len(least)] = np.where(whole, least, 0)
-                at = np.flatnonzero(words.sliding(padded, width, np.maximum)[: len(hashes)] == hashes)
+                reach = words.sliding(padded, width, np.maximum)[: len(hashes)]
+                at = np.flatnonzero((reach == hashes) & (words.sliding(_covered(whole, width), width, np.maximum)[: len(hashes)] > 0))
                 document = w.document()[at]
-                order = np.lexsort((hashes[at], document))
-                seed, document = hashes[at][order], document[order]
+                # Within a document phrases are told apart by another hash, too.
+                other = w.grams(phrase, 2)[0][at]
+                order = np.lexsort((other, hashes[at], document))
+                seed, document, other, at = hashes[at][order], document[order], other[order], at[order]
                 fresh = np.ones(len(seed), bool)
-                fresh[1:] = (seed[1:] != seed[:-1]) | (document[1:] != document[:-1])
+                fresh[1:] = (seed[1:] != seed[:-1]) | (document[1:] != document[:-1]) | (other[1:] != other[:-1])
                 first = np.flatnonzero(fresh)
                 counts = np.diff(np.append(first, len(seed)))
+                raw = memoryview(data)
+                spans = zip(w.starts[at[first]].tolist(), w.ends[at[first] + phrase - 1].tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(_signed(seed[first])),
                         pa.array(keys[begin + document[first]]),
                         pa.array(counts.astype(np.int32)),
+                        pa.array([b" ".join(bytes(raw[start:end]).split()) for start, end in spans], pa.binary()),
                     ],
-                    names=["seed", "row_key", "n"],
+                    names=["seed", "row_key", "n", "phrase"],
                 )
 
     return run
 
 
-def _located(hashes: np.ndarray, recurring: np.ndarray, numbers: np.ndarray, phrase: int) -> np.ndarray:
-    """Where the recurring phrases of a shard occur, by one automaton over its word numbers."""
+def _covered(whole: np.ndarray, width: int) -> np.ndarray:
+    padded = np.zeros(len(whole) + 2 * (width - 1), np.uint8)
+    padded[width - 1 : width - 1 + len(whole)] = whole
+    return padded
+
+
+def _located(w: words.Words, phrases: pa.Array, phrase: int) -> np.ndarray:
+    """Whether a phrase of ``phrases`` starts at each word of a shard, by one automaton over its word numbers."""
     import ahocorasick
 
-    found = np.zeros(len(hashes), bool)
-    at = np.flatnonzero(np.isin(hashes, recurring))
-    if not len(at):
-        return found
-    _, one_each = np.unique(hashes[at], return_index=True)
-    sequence = tuple(numbers.tolist())
+    vocabulary, numbers = np.unique(w.hashes, return_inverse=True)
+    _, _, data, offsets = next(words.chunks(phrases.unique().cast(pa.large_binary()).view(pa.large_string()), 1 << 62))
+    wanted = words.split(data, offsets).hashes
+    keys = np.searchsorted(vocabulary, wanted).reshape(-1, phrase)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for position in at[one_each].tolist():
-        automaton.add_word(sequence[position : position + phrase], position)
+    for key in keys.tolist():
+        automaton.add_word(tuple(key), 1)
     automaton.make_automaton()
-    ends = np.fromiter((end for end, _ in automaton.iter(sequence)), np.int64)
-    starts = ends - phrase + 1
-    found[starts[hashes[starts] != _NONE]] = True
+    ends = np.fromiter((end for end, _ in automaton.iter(tuple(numbers.tolist()))), np.int64)
+    found = np.zeros(len(numbers), bool)
+    found[ends - phrase + 1] = True
     return found
 
 
-def _runs(window: int, phrase: int):
+def _runs(window: int, phrase: int, bits: int):
     """Rows (row_key, seed, start, n, repeats, run, windows): runs of windows around recurring phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = window - phrase + 1
         for batch in batches:
             keys = batch.column("row_key").to_numpy()
-            lists = batch.column("seeds")
+            lists = batch.column("phrases")
             for begin, end, data, offsets in words.chunks(batch.column("text")):
-                recurring = lists.slice(begin, end - begin).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                recurring = lists.slice(begin, end - begin).flatten()
                 if not len(recurring):
                     continue
                 w = words.split(data, offsets)
-                hashes, least, windows, whole = _phrases(w, window, phrase)
-                _, numbers = np.unique(w.hashes, return_inverse=True)
-                found = _located(hashes, np.unique(recurring), numbers, phrase)
+                hashes, least, windows, whole = _phrases(w, window, phrase, bits)
+                # A match across two documents is none: the hash there is _NONE.
+                found = _located(w, recurring, phrase)[: len(hashes)]
                 reached = words.sliding(np.where(found, hashes, _NONE), width, np.minimum)
                 at = np.flatnonzero(whole & (reached == least) & (least != _NONE))
                 if not len(at):
@@ -153,14 +168,14 @@ def _runs(window: int, phrase: int):
     return run
 
 
-def _cut(window: int, fields: list[str], text: str):
+def _cut(window: int):
     """Documents with the words that are left, and counts of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranges = batch.column("_ranges")
+            ranges = batch.column("ranges")
             counts, removed, kept = [], [], []
-            for value, spans in zip(batch.column("_text"), ranges):
+            for value, spans in zip(batch.column("text"), ranges):
                 found = (value.as_buffer().to_pybytes() if value.is_valid else b"").split()
                 drop = 0
                 if spans.is_valid and len(spans):
@@ -176,29 +191,34 @@ def _cut(window: int, fields: list[str], text: str):
                     counts.append(len(found))
                 removed.append(drop)
                 kept.append(b" ".join(found))
-            columns = [batch.column(name) for name in fields]
             made = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + made, names=[*fields, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("document"), *made], names=["document", *ADDED])
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """Rows (row_key, start, n): n windows from word ``start`` on that occur elsewhere; row_key as in `remove_repeats`."""
+def repeated_ranges(
+    docs: DataFrame, text: str = "text", window: int = WINDOW, phrase: int = PHRASE, bits: int = BITS
+) -> DataFrame:
+    """Rows (row_key, start, n): n windows from word ``start`` on that occur elsewhere; row_key as in `remove_repeats`.
+
+    ``bits`` of the hash of a phrase are used; with fewer of them more windows are compared, the result is the same.
+    """
     spark = docs.sparkSession
     staging = Staging(spark, "substrings")
-    keyed = docs.select(_key(docs).alias("row_key"), F.col(text).alias("text"))
+    keyed = docs.select(_key(docs).alias("row_key"), F.col(f"`{text}`").alias("text"))
 
-    rows = keyed.mapInArrow(_phrase_rows(window, phrase), "seed long, row_key long, n int")
+    rows = keyed.mapInArrow(_phrase_rows(window, phrase, bits), "seed long, row_key long, n int, phrase binary")
     phrases = staging.write(rows, "phrases")
     recurring = phrases.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
-    known = phrases.join(recurring, "seed").groupBy("row_key").agg(F.collect_list("seed").alias("seeds"))
+    # A set: equal rows have equal phrases, and a list must not grow with their number.
+    known = phrases.join(recurring, "seed").groupBy("row_key").agg(F.collect_set("phrase").alias("phrases"))
     known = staging.write(known, "known")
     staging.drop("phrases")
 
     schema = "row_key long, seed long, start long, n long, repeats boolean, run long, windows array<long>"
-    located = keyed.join(known.hint("shuffle_hash"), "row_key").select("row_key", "text", "seeds")
-    runs = staging.write(located.mapInArrow(_runs(window, phrase), schema), "runs")
+    located = keyed.join(known.hint("shuffle_hash"), "row_key").select("row_key", "text", "phrases")
+    runs = staging.write(located.mapInArrow(_runs(window, phrase, bits), schema), "runs")
 
     # One row per distinct run, with one document that has it.
     copies = runs.groupBy("seed", "run").agg(
@@ -236,19 +256,22 @@ def _key(docs: DataFrame):
     return row_key(*[f.name for f in docs.schema.fields if f.dataType.typeName() in ("long", "integer", "string")])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, text: str = "text", window: int = WINDOW, phrase: int = PHRASE, bits: int = BITS
+) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text, the words left joined by one space.
 
     A word goes if a ``window``-word sequence that covers it starts at any other place of the corpus, be it in the same
     document; repeated rows count as documents of their own. Windows are judged on the input. Null and empty texts have
     no words and an empty kept_text; texts of fewer than ``window`` words lose nothing. Columns of ``docs`` named like
-    the three added ones are replaced. An empty table gives an empty result.
+    the three added ones, in any case, are replaced; others may have any name. An empty table gives an empty result.
     """
-    fields = [f.name for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept_text")]
-    ranges = repeated_ranges(docs, text, window, phrase)
-    per_row = ranges.groupBy("row_key").agg(F.collect_list(F.struct("start", "n")).alias("_ranges"))
-    per_row = per_row.withColumnRenamed("row_key", "_row_key").hint("shuffle_hash")
-    left = docs.select(*[F.col(f"`{name}`") for name in fields], F.col(text).alias("_text"), _key(docs).alias("_row_key"))
-    joined = left.join(per_row, "_row_key", "left").select(*[f"`{name}`" for name in fields], "_text", "_ranges")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in fields)
-    return joined.mapInArrow(_cut(window, fields, text), f"{kinds}, n_words long, n_removed long, kept_text string")
+    fields = [f for f in docs.schema.fields if f.name.lower() not in ADDED]
+    ranges = repeated_ranges(docs, text, window, phrase, bits)
+    per_row = ranges.groupBy("row_key").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+    document = F.struct(*[F.col(f"`{f.name}`") for f in fields]).alias("document")
+    left = docs.select(document, F.col(f"`{text}`").alias("text"), _key(docs).alias("row_key"))
+    joined = left.join(per_row.hint("shuffle_hash"), "row_key", "left").select("document", "text", "ranges")
+    kinds = [("document", T.StructType(fields)), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType())]
+    made = joined.mapInArrow(_cut(window), T.StructType([T.StructField(*kind) for kind in kinds]))
+    return made.select("document.*", *ADDED)
