@@ -6,6 +6,7 @@ import glob
 import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -192,6 +193,40 @@ def test_warc(spark, tmp_path):
     assert warc.derive(warc.responses(table.limit(0)), "page_id").count() == 0
 
 
+def test_warc_headers_references_and_names(spark):
+    head = "HTTP/1.1 404 Not Found\r\nServer: nginx\r\nLast-Modified: Mon, 01 Jan 2024\r\nX-Long: a\r\n b\r\nContent-Type: text/html\r\n\r\n"
+    page = "<title>Caf&eacute; &#x2019;</title>it&rsquo;s &#39;so&#39; &AMP; &amp;lt; &nosuch; &#xD800; &#9999999; &nbsp;x"
+    table = spark.createDataFrame([(1, "u", page, head, "2024-05-06 07:08:09", "k")], "page_id long, url string, html string, h string, at string, `_text` string")
+    made = warc.derive(warc.responses(table, date=F.col("at"), http_headers=F.col("h")), "page_id", "_text")
+    rows = {r.record_type: r for r in made.collect()}
+    fields = rows["metadata"].block.split("\r\n")
+    assert [f for f in fields if f.startswith("source-header")] == [
+        "source-header: Server: nginx", "source-header: Last-Modified: Mon, 01 Jan 2024", "source-header: X-Long: a b",
+        "source-header: Content-Type: text/html",
+    ]
+    assert "source-status: 404" in fields and "title: Café ’" in fields
+    assert rows["conversion"].block == "Café ’\nit’s 'so' & &lt; &nosuch; &#xD800; &#9999999; \u00a0x"
+    assert rows["conversion"]["_text"] == "k" and rows["conversion"].warc_date == "2024-05-06T07:08:09Z"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<title>", "<script", "</script ", "<!-", "&#", "href ", "<p x='"])
+def test_warc_on_long_broken_pages(spark, unit):
+    table = spark.createDataFrame([(1, "u", unit * (5_000_000 // len(unit)))], "page_id long, url string, html string")
+    began = time.monotonic()
+    assert warc.derive(warc.responses(table), "page_id").select(F.sum("content_length")).first()[0] > 0
+    assert time.monotonic() - began < 30
+
+
+def test_warc_oracle_decodes_as_the_query(spark, tmp_path):
+    pages = [(i, f"http://h/{i}", f"<title>{x} &amp;</title><p>{x}<b>{x}</b> &#39;") for i, x in enumerate(["&#39;", "&#x2019;", "&eacute;", "&bogus;", "&NotEqualTilde;", "a & b;", ""])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    ours = {(r.record_id): r.block for r in queries.queries()["op8_warc_derivatives"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as connection:
+        connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        rows = connection.execute(f"SELECT record_id, block FROM ({queries.oracle_sql()['op8_warc_derivatives']})").fetchall()
+    assert dict(rows) == ours and len(rows) == 14
+
+
 def split(spark, folder, label):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")

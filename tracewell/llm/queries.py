@@ -153,38 +153,51 @@ def op8_warc_derivatives(spark, sf_dir):
 
 def _warc_oracle() -> str:
     def text(value: str) -> str:
-        for pattern in (r"(?s)<!--.*?(?:-->|\z)", *(rf"(?is)<{t}\b.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript"))):
+        for pattern in warc.HIDDEN:
             value = f"regexp_replace({value}, '{pattern}', ' ', 'g')"
-        value = f"regexp_replace({value}, '(?i)</?(?:{warc.LINE_TAGS})\\b[^>]*>', chr(10), 'g')"
-        value = f"regexp_replace({value}, '</?[A-Za-z!?][^>]*>', '', 'g')"
-        for name, sign in [*warc.ENTITIES.items(), ("amp", "&")]:
-            quoted = sign.replace("'", "''")
-            value = f"replace({value}, '&{name};', '{quoted}')"
+        value = f"regexp_replace({value}, '{warc.LINE_TAG}', chr(10), 'g')"
+        return f"regexp_replace({value}, '{warc.TAG}', '', 'g')"
+
+    def decoded(value: str) -> str:
+        body = "x[2:-2]"
+        code = f"CASE WHEN {body} ILIKE '#x%' THEN CAST('0x' || {body}[3:] AS INTEGER) WHEN {body} LIKE '#%' THEN CAST({body}[2:] AS INTEGER) END"
+        fine = f"({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111"
+        sign = f"CASE WHEN {fine} THEN chr({code}) WHEN {body} NOT LIKE '#%' THEN coalesce(names[{body}], x) ELSE x END"
+        found = f"list_transform(regexp_extract_all({value}, '{warc.REFERENCE}'), lambda x: {sign}) || ['']"
+        parts = f"list_zip(string_split_regex({value}, '{warc.REFERENCE}'), {found})"
+        value = f"array_to_string(list_transform({parts}, lambda p: p[1] || p[2]), '')"
         value = f"regexp_replace({value}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
         value = f"regexp_replace({value}, ' ?\\n[ \\n]*', chr(10), 'g')"
         return f"regexp_replace({value}, '^[ \\n]+|[ \\n]+\\z', '', 'g')"
 
+    def quoted(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
     def number(value: str) -> str:
         cut = ", ".join(f"substr(md5({value}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
         return f"'<urn:uuid:' || concat_ws('-', {cut}) || '>'"
 
     source = number("'response|' || coalesce(url, '') || '|' || sha256(html)")
     end = "chr(13) || chr(10)"
+    title = f"CASE WHEN regexp_extract(html, '{warc.TITLE}', 2) <> '' THEN regexp_extract(html, '{warc.TITLE}', 1) ELSE '' END"
+    names = ", ".join(f"{quoted(name)}: {quoted(sign)}" for name, sign in warc.ENTITIES.items())
     return rf"""
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
-s AS (
-  SELECT *, {source} AS refers_to, 'sha256:' || sha256(html) AS source_digest, {text("html")} AS body,
-         {text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")} AS title,
-         len(regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=')) AS links
+WITH names AS (SELECT MAP {{{names}}} AS names),
+p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+bare AS (
+  SELECT *, {source} AS refers_to, 'sha256:' || sha256(html) AS source_digest, {text("html")} AS body, {text(title)} AS title,
+         len(regexp_extract_all(html, '{warc.LINK}')) AS links
   FROM p),
+s AS (
+  SELECT page_id, url, refers_to, source_digest, links, {decoded("body")} AS body, {decoded("title")} AS title FROM bare, names),
 c AS (SELECT *, {number("'conversion|' || refers_to")} AS conversion, {number("'metadata|' || refers_to")} AS metadata FROM s),
 r AS (
   SELECT page_id, url, refers_to, source_digest, 'metadata' AS record_type, metadata AS record_id,
          'application/warc-fields' AS content_type,
          coalesce('source-uri: ' || url || {end}, '') || 'source-status: 200' || {end} ||
          'source-content-type: text/html; charset=utf-8' || {end} || 'source-payload-digest: ' || source_digest || {end} ||
-         'title: ' || replace(title, chr(10), ' ') || {end} || 'links: ' || links || {end} || 'conversion: ' || conversion || {end}
-           AS block
+         'title: ' || replace(title, chr(10), ' ') || {end} || 'links: ' || links || {end} || 'conversion: ' || conversion || {end} ||
+         'source-header: Content-Type: text/html; charset=utf-8' || {end} AS block
   FROM c
   UNION ALL
   SELECT page_id, url, refers_to, source_digest, 'conversion', conversion, 'text/plain; charset=utf-8', body FROM c)
