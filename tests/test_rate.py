@@ -114,3 +114,76 @@ def test_hot_series_equals_plain_window(spark):
     plain = result(hot_parts=0)
     assert result(hot_parts=10**5, hot_min_rows=0, cell_rows=7) == plain
     assert result(hot_parts=3, hot_min_rows=10, cell_rows=25) == plain
+
+
+def _stream(spark, folder, batches, **periods):
+    """What a stream writes for batches of (id, series, minute, value), one file a micro-batch."""
+    from tracewell.model import METRICS, TABLE_SCHEMAS
+    from tracewell.streaming.rate import streaming_rate
+
+    schema = TABLE_SCHEMAS[METRICS]
+    for batch in batches:
+        _points(spark, batch).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    rated = streaming_rate(stream, "10 minutes", **periods)
+    writer = rated.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rated.schema).parquet(f"{folder}/out")
+
+
+def _points(spark, rows):
+    from pyspark.sql import functions as F
+
+    from tracewell.model import METRICS, TABLE_SCHEMAS
+
+    made = spark.createDataFrame(rows, "id long, metric_name string, minute long, number_int long")
+    given = {
+        "time_unix_nano": (F.lit(1_700_000_000) + F.col("minute") * 60) * 10**9, "start_time_unix_nano": F.lit(1_600_000_000 * 10**9),
+        "metric_type": F.lit("sum"), "monotonic": F.lit(1), "temporality": F.lit("cumulative"), "flags": F.lit(0),
+        "received_at_unix_nano": F.lit(1),
+    }
+    columns = []
+    for field in TABLE_SCHEMAS[METRICS]:
+        value = F.col(field.name) if field.name in made.columns else given.get(field.name, F.lit(None))
+        columns.append(value.cast(field.dataType).alias(field.name))
+    return made.select(columns)
+
+
+def _seen(rated):
+    return sorted((r.id, r.revision, r.delta_value, r.rate_reason) for r in rated.where("metric_name = 'a'").collect())
+
+
+BATCHES = [
+    [(1, "a", 0, 10), (2, "a", 20, 50)],
+    [(9, "other", 60, 0)],
+    [(9, "other", 61, 0)],
+    [(3, "a", 10, 30), (4, "a", 70, 90)],
+    [(9, "other", 600, 0)],
+]
+
+
+def test_late_points_correct_their_neighbours(spark, folder):
+    from tracewell.streaming.rate import latest
+
+    rated = _stream(spark, folder, BATCHES, correction="2 hours")
+    assert _seen(rated) == [
+        (1, 0, None, "no_baseline"), (2, 0, 40.0, None), (2, 1, 20.0, None), (3, 0, 20.0, None), (4, 0, 40.0, None)
+    ]
+    assert [row[:2] for row in _seen(latest(rated))] == [(1, 0), (2, 1), (3, 0), (4, 0)]
+
+
+def test_without_correction_late_points_are_left_to_the_batch(spark, folder):
+    assert [row[:2] for row in _seen(_stream(spark, folder, BATCHES))] == [(1, 0), (2, 0), (4, 0)]
+
+
+def test_stream_goes_on_from_a_batch(spark, folder):
+    from tracewell.streaming.rate import last_points
+
+    before = _points(spark, [(7, "a", -30, 3), (8, "a", -20, 4), (6, "b", -20, 4)])
+    rated = _stream(spark, folder, BATCHES, correction="2 hours", initial=last_points(before))
+    assert _seen(rated)[0] == (1, 0, 6.0, None)
+
+
+def test_idle_series_leave_the_state(spark, folder):
+    batches = [[(1, "a", 0, 10)], [(9, "other", 300, 0)], [(9, "other", 400, 0)], [(2, "a", 500, 50)], [(9, "other", 900, 0)]]
+    assert _seen(_stream(spark, folder, batches, idle="1 hour")) == [(1, 0, None, "no_baseline"), (2, 0, None, "no_baseline")]

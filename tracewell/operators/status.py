@@ -24,6 +24,7 @@ COUNTERS = [
 WATCHED = [*COUNTERS, "store_ready", "last_error", "pipeline_ready"]
 
 ACTIVITY_SECONDS = 10  # fixed value: reporting cadence
+HEARTBEAT_SECONDS = 60  # fixed value: longest time without a report
 
 
 def counter_delta(previous: Column, current: Column) -> Column:
@@ -46,10 +47,14 @@ def snapshots_with_previous(history: DataFrame, **skew) -> DataFrame:
     )
 
 
-def activity(history: DataFrame, interval_seconds: int = ACTIVITY_SECONDS, **skew) -> DataFrame:
+def activity(
+    history: DataFrame, interval_seconds: int = ACTIVITY_SECONDS, heartbeat_seconds: int | None = None, **skew
+) -> DataFrame:
     """One report per process and interval in which something changed.
 
-    An interval is judged by its last snapshot, as a ticking reporter would see it.
+    An interval is judged by its last snapshot, as a ticking reporter would see it. With ``heartbeat_seconds``
+    (``HEARTBEAT_SECONDS`` is usual) there is also a report whenever so much time has passed since the last one (or
+    since the first snapshot) up to the last snapshot of the process; it repeats the counters and shows no growth.
     """
     interval = interval_seconds * 1_000_000_000
     tick = F.col("time_unix_nano") - F.pmod(F.col("time_unix_nano"), F.lit(interval).cast("bigint")) + interval
@@ -60,9 +65,32 @@ def activity(history: DataFrame, interval_seconds: int = ACTIVITY_SECONDS, **ske
         .agg(*[F.max_by(name, order).alias(name) for name in WATCHED])
         .select("process", F.col("_tick").alias("time_unix_nano"), F.col("_tick").alias("id"), *WATCHED)
     )
-    compared = snapshots_with_previous(ticked, **skew).where(
-        F.col("previous_time_unix_nano").isNotNull() & changed()
-    )
+    compared = snapshots_with_previous(ticked, **skew)
+    started = F.col("previous_time_unix_nano").isNull()
+    reported = compared.where(~started & changed())
+    if heartbeat_seconds is not None:
+        names = ["process", "time_unix_nano", "id", *WATCHED]
+        reported = reported.unionByName(_idle(compared.where(started | changed()).select(names), ticked, heartbeat_seconds, **skew))
+    return _reports(reported)
+
+
+def _idle(reports: DataFrame, ticked: DataFrame, seconds: int, **skew) -> DataFrame:
+    """Heartbeats between the reports of a process, and after the last one until its last snapshot."""
+    step = F.lit(seconds * 1_000_000_000).cast("bigint")
+    # A border behind the last interval stands for the end of the process.
+    none = [F.lit(None).cast(field.dataType).alias(field.name) for field in reports.schema if field.name in WATCHED]
+    ends = ticked.groupBy("process").agg((F.max("time_unix_nano") + 1).alias("time_unix_nano"))
+    ends = ends.select("process", "time_unix_nano", F.col("time_unix_nano").alias("id"), *none)
+    borders = snapshots_with_previous(reports.unionByName(ends), **skew).where(F.col("previous_time_unix_nano").isNotNull())
+    first, border = F.col("previous_time_unix_nano") + step, F.col("time_unix_nano")
+    times = F.explode(F.when(first < border, F.sequence(first, border - 1, step)))
+    same = [F.col(f"previous_{name}") for name in WATCHED]
+    beats = borders.select("process", times.alias("time_unix_nano"), *[x.alias(name) for x, name in zip(same, WATCHED)], *same)
+    before = F.col("time_unix_nano") - step
+    return beats.withColumns({"id": F.col("time_unix_nano"), "previous_time_unix_nano": before})
+
+
+def _reports(compared: DataFrame) -> DataFrame:
     grown = {name: counter_delta(F.col(f"previous_{name}"), F.col(name)) for name in COUNTERS}
     return compared.select(
         "process",

@@ -1,9 +1,10 @@
 """Counter rates over a stream of metric points.
 
-Keyed state holds points until the watermark has passed them, puts them in order and joins
-each with the one before; the rules are the same columns as in the batch operator. The
-results are provisional: a point later than the reorder delay is only seen by the batch
-operator, which reads the full history.
+Keyed state holds points until they are older than the reorder delay, puts them in order and joins each with the one
+before; the rules are the same columns as in the batch operator. Points that have been rated stay in state for the
+correction period. A point that arrives within it is rated late, and each neighbour whose rate it changes is given out
+again with the next ``revision``; :func:`latest` keeps the newest revision of each point. Points later than both periods
+are only seen by the batch operator, which reads the full history.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -35,18 +36,29 @@ _BUFFERED = _strings(_CARRIED)
 _LAST = _strings([*POINT_FIELDS, "same_time"])
 _OUTPUT = T.StructType(
     [T.StructField("series", T.StringType()), *_BUFFERED]
-    + [T.StructField(name, T.StringType()) for name in ["same_time", *PREVIOUS_COLUMNS]]
+    + [T.StructField(name, T.StringType()) for name in ["same_time", *PREVIOUS_COLUMNS, "revision"]]
 )
 
 
+_RECENT = _strings([*_CARRIED, "revision"])
+
+
 class PreviousPoints(StatefulProcessor):
-    """Emits each point with its previous point once the watermark has passed it."""
+    """Emits each point with its previous point, and again when a late point changes what it was given."""
+
+    def __init__(self, correction: int = 0, idle: int | None = None):
+        self.correction, self.idle = correction, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", _BUFFERED)
+        self.recent = handle.getListState("recent", _RECENT)
         self.last = handle.getValueState("last", _LAST)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = next(initialState[_LAST.names].itertuples(index=False, name=None))
+        self.last.update(tuple(None if pd.isna(cell) else cell for cell in row))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = [row for frame in rows for row in frame[_CARRIED].itertuples(index=False, name=None)]
         arrived = [tuple(None if pd.isna(cell) else cell for cell in row) for row in arrived]
@@ -56,59 +68,124 @@ class PreviousPoints(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get(), key=lambda row: [int(row[i]) for i in _ORDER])
-        ready = [row for row in waiting if _millis(row) < watermark]
+        waiting = sorted((tuple(row) for row in self.waiting.get()), key=_place)
+        ready = [row for row in waiting if _millis(row) < watermark + self.correction]
         held = waiting[len(ready) :]
         if held:
             self.waiting.put(held)
             self._wake(held)
         else:
             self.waiting.clear()
-        if ready:
-            yield self._emit(key[0], [tuple(row) for row in ready])
+        last = tuple(self.last.get()) if self.last.exists() else None
+        # Points before the one handed over by a batch run belong to that run.
+        ready = [row for row in ready if last is None or int(row[_ORDER[0]]) >= int(last[0])]
+        recent = [tuple(row) for row in self.recent.get()]
+        given = {row[_ORDER[1]]: (*joined, row[-1]) for row, joined in zip(recent, _joined(last, [r[:-1] for r in recent]))}
+        points = sorted([row[:-1] for row in recent] + ready, key=_place)
+        joined = _joined(last, points)
+        out, kept = [], []
+        for point, before in zip(points, joined):
+            known = given.get(point[_ORDER[1]])
+            revision = "0" if known is None else known[-1]
+            if known is not None and known[:-1] != before:
+                revision = str(int(revision) + 1)
+            if known is None or revision != known[-1]:
+                out.append((key[0], *point, *before, revision))
+            kept.append((*point, revision))
+        # No point before the watermark can come any more: the newest of those is all that is needed of them.
+        old = sum(_millis(point) < watermark for point in points)
+        if old:
+            last = (*[points[old - 1][_CARRIED.index(name)] for name in POINT_FIELDS], joined[old - 1][0])
+            self.last.update(last)
+        kept = kept[old:]
+        if kept:
+            self.recent.put(kept)
+            self.handle.registerTimer(_millis(kept[-1]) + 1)
+        else:
+            self.recent.clear()
+        if self.idle is not None and last is not None and not held and not kept:
+            end = int(last[0]) // 1_000_000 + self.idle
+            if end < watermark:
+                self.last.clear()
+            else:
+                self.handle.registerTimer(end + 1)
+        if out:
+            yield pd.DataFrame(out, columns=_OUTPUT.names)
 
     def _wake(self, rows: list[tuple]) -> None:
-        self.handle.registerTimer(min(_millis(row) for row in rows) + 1)
-
-    def _emit(self, series: str, points: list[tuple]) -> pd.DataFrame:
-        fields = [_CARRIED.index(name) for name in POINT_FIELDS]
-        time = _CARRIED.index("time_unix_nano")
-        before = self.last.get() if self.last.exists() else (None,) * len(_LAST)
-        before = tuple(before)
-        out = []
-        for number, point in enumerate(points):
-            shared = (number > 0 and points[number - 1][time] == point[time]) or (
-                number + 1 < len(points) and points[number + 1][time] == point[time]
-            )
-            out.append((series, *point, str(shared).lower(), *before))
-            before = (*[point[i] for i in fields], str(shared).lower())
-        self.last.update(before)
-        return pd.DataFrame(out, columns=_OUTPUT.names)
+        self.handle.registerTimer(max(1, min(_millis(row) for row in rows) + 1 - self.correction))
 
     def close(self) -> None:
         pass
 
 
+def _joined(last: tuple | None, points: list[tuple]) -> list[tuple]:
+    """For each of the sorted points whether it shares its time, and the fields of the point before it."""
+    fields = [_CARRIED.index(name) for name in POINT_FIELDS]
+    times = [point[_ORDER[0]] for point in points]
+    before = last or (None,) * len(_LAST)
+    out = []
+    for number, point in enumerate(points):
+        shared = times[number] in times[max(number - 1, 0) : number] + times[number + 1 : number + 2] or before[0] == times[number]
+        shared = str(shared).lower()
+        out.append((shared, *before))
+        before = (*[point[i] for i in fields], shared)
+    return out
+
+
+def _place(row: tuple) -> list[int]:
+    return [int(row[i]) for i in _ORDER]
+
+
 def _millis(row: tuple) -> int:
     return int(row[_ORDER[0]]) // 1_000_000
 
 
-def streaming_rate(points: DataFrame, reorder_delay: str = "10 minutes") -> DataFrame:
-    """Provisional rates of a stream of metric points, in append mode.
+def _duration(text: str | None) -> int | None:
+    """Milliseconds of a duration such as ``10 minutes``."""
+    return None if text is None else int(pd.Timedelta(text).total_seconds() * 1000)
+
+
+def _series() -> Column:
+    return F.sha2(F.to_json(F.struct(*SERIES_IDENTITY)), 256).alias("series")
+
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+def last_points(points: DataFrame) -> DataFrame:
+    """The newest point of each series of a batch, from which :func:`streaming_rate` can go on."""
+    texts = [F.col(name).cast("string").alias(name) for name in POINT_FIELDS]
+    newest = points.select(_series(), F.col("time_unix_nano").alias("_time"), "id", *texts)
+    newest = newest.groupBy("series", "_time").agg(
+        (F.count(F.lit(1)) > 1).cast("string").alias("same_time"), F.max_by(F.struct(*POINT_FIELDS), "id").alias("_point")
+    )
+    newest = newest.groupBy("series").agg(F.max_by(F.struct("_point.*", "same_time"), "_time").alias("_last"))
+    return newest.select("series", "_last.*")
+
+
+def streaming_rate(
+    points: DataFrame,
+    reorder_delay: str = "10 minutes",
+    correction: str = "0 seconds",
+    idle: str | None = None,
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """Rates of a stream of metric points, in append mode, with a ``revision`` that starts at 0.
+
+    A point is rated ``reorder_delay`` after the newest one. For the period ``correction`` before that, late points are
+    still taken, and what they change is given out again. A series without points for ``idle`` of event time leaves the
+    state; its next point counts as its first. ``initial`` are :func:`last_points` of the rows before the stream. Needs
+    the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     points.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     texts = [F.col(name).cast("string").alias(name) for name in _CARRIED]
     happened = F.timestamp_micros(F.call_function("div", F.col("time_unix_nano"), F.lit(1000)))
-    keyed = points.select(
-        F.sha2(F.to_json(F.struct(*SERIES_IDENTITY)), 256).alias("series"), *texts, happened.alias("_happened")
-    ).withWatermark("_happened", reorder_delay)
+    delay = _duration(reorder_delay) + _duration(correction)
+    keyed = points.select(_series(), *texts, happened.alias("_happened")).withWatermark("_happened", f"{delay} milliseconds")
     ordered = keyed.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=PreviousPoints(),
+        statefulProcessor=PreviousPoints(_duration(correction), _duration(idle)),
         outputStructType=_OUTPUT,
         outputMode="append",
         timeMode="eventTime",
+        initialState=None if initial is None else initial.groupBy("series"),
     )
     types = {field.name: field.dataType for field in points.select(*_CARRIED).schema}
     columns = [F.col(name).cast(types[name]).alias(name) for name in _CARRIED]
@@ -116,4 +193,10 @@ def streaming_rate(points: DataFrame, reorder_delay: str = "10 minutes") -> Data
         plain = name.removeprefix("previous_")
         kind = T.BooleanType() if name in _FLAGS else types[plain]
         columns.append(F.col(name).cast(kind).alias(name))
-    return classify(ordered.select(*columns))
+    return classify(ordered.select(*columns, F.col("revision").cast("int").alias("revision")))
+
+
+def latest(rated: DataFrame) -> DataFrame:
+    """The newest revision of each point of what a stream has written."""
+    rest = [name for name in rated.columns if name != "id"]
+    return rated.groupBy("id").agg(F.max_by(F.struct(*rest), "revision").alias("_row")).select("id", "_row.*")

@@ -17,7 +17,7 @@ from tracewell.session import configure, work_folder
 from tracewell.sources.otlp import stream_requests
 from tracewell.sources.store import Store
 from tracewell.streaming.ingest import deduplicate, ingest_stream
-from tracewell.streaming.rate import streaming_rate
+from tracewell.streaming.rate import latest, streaming_rate
 from workload import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,6 +256,18 @@ def logs_unseen(spark, sf_dir):
     return dedup.unseen(batch, stored, ["fingerprint"], batch.count())
 
 
+@query
+def points_unseen(spark, sf_dir):
+    """Metric points of the later part of the month whose content was not stored before."""
+    content = F.concat_ws("|", "metric_name", "service_name", "attributes", F.col("number_int").cast("string"))
+    rows = derived.metric_points(spark, sf_dir).withColumn("fingerprint", F.sha2(content, 256))
+    border = parse_timestamp("2024-01-10T00:00:00Z")
+    stored = rows.where(F.col("received_at_unix_nano") < border)
+    batch = rows.where(F.col("received_at_unix_nano") >= border)
+    first = dedup.first_copies(batch.select("fingerprint", "id", "received_at_unix_nano"), ["fingerprint"], ["received_at_unix_nano", "id"])
+    return dedup.unseen(first, stored, ["fingerprint"], batch.count())
+
+
 @query
 def span_conflicts(spark, sf_dir):
     return dedup.conflicting_identities(derived.spans(spark, sf_dir))
@@ -346,6 +358,12 @@ def activity(spark, sf_dir):
     return status.activity(derived.status_history(spark, sf_dir))
 
 
+@query
+def activity_heartbeats(spark, sf_dir):
+    """Reports of changes and, where nothing changes, one a minute."""
+    return status.activity(derived.status_history(spark, sf_dir), heartbeat_seconds=status.HEARTBEAT_SECONDS)
+
+
 # --- Presentation, paging and ad-hoc SQL ----------------------------------------------
 
 
@@ -445,20 +463,39 @@ def stream_dedup(spark, sf_dir):
 _CLOSING = "closing marker"
 
 
-@query
-def stream_rate(spark, sf_dir):
-    folder = work_folder(spark, "stream-rate")
-    points = derived.metric_points(spark, sf_dir)
-    stream = _written_stream(spark, points, 4, "time_unix_nano", f"{folder}/in")
+def _rated_stream(spark, points: DataFrame, arrival, folder: str, **periods) -> DataFrame:
+    """Points written in order of arrival, one file after the other, and rated as a stream of two files a batch."""
+    cuts = points.select(arrival.alias("_arrival")).approxQuantile("_arrival", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = points if low is None else points.where(arrival >= F.lit(low))
+        part = part if high is None else part.where(arrival < F.lit(high))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     # A point of no series of ours, later than all others by more than the delay, lets the watermark pass the last of them.
     closing = points.orderBy(F.desc("time_unix_nano")).limit(1)
     closing = closing.withColumn("time_unix_nano", F.col("time_unix_nano") + 2 * 3600 * 10**9)
     closing = closing.withColumn("metric_name", F.lit(_CLOSING)).select(points.columns)
     closing.write.mode("append").parquet(f"{folder}/in")
-    rated = _run(streaming_rate(stream, "1 hour"), folder).where(F.col("metric_name") != _CLOSING)
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    return _run(streaming_rate(stream, "1 hour", **periods), folder).where(F.col("metric_name") != _CLOSING)
+
+
+@query
+def stream_rate(spark, sf_dir):
+    points = derived.metric_points(spark, sf_dir)
+    rated = _rated_stream(spark, points, F.col("time_unix_nano"), work_folder(spark, "stream-rate"))
     return rated.select("id", "value", "delta_value", "rate_per_second", "rate_reason", "gap_seconds")
 
 
+@query
+def stream_rate_corrected(spark, sf_dir):
+    """Points arrive up to six hours late, in any order; the newest revisions equal the rates of the full history."""
+    points = derived.metric_points(spark, sf_dir)
+    late = F.pmod(F.xxhash64("id"), F.lit(6 * 3600)) * 10**9
+    arrival = F.col("time_unix_nano") + late
+    rated = _rated_stream(spark, points, arrival, work_folder(spark, "stream-corrected"), correction="12 hours", idle="90 days")
+    return latest(rated).select("id", "value", "delta_value", "rate_per_second", "rate_reason", "gap_seconds")
+
+
 @query
 def stream_ingest(spark, sf_dir):
     """Requests arrive twice, in several micro-batches; the store holds each record once."""
