@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -302,3 +303,28 @@ def test_services_by_attributes(spark, folder, requests):
     assert counted(attribute=["k=1"]) == [("shop", 2, 0)]
     assert counted(attribute=["k=1"], resource=["zone=x"]) == [("shop", 1, 0)]
     assert counted(resource=["zone=y"]) == []
+
+
+def _scanned(frame):
+    """Rows that the scans of a plan gave out."""
+    frame.collect()
+    leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def test_lookup_of_an_absent_value_reads_no_rows(spark, folder):
+    """Values between the least and the largest one: only a Bloom filter can tell that they are absent."""
+    from tracewell.model import TABLE_SCHEMAS
+
+    made = spark.range(0, 60_000, numPartitions=2).select(F.md5(F.col("id").cast("string")).alias("trace_id"), "id")
+    given = {"trace_id": F.col("trace_id"), "id": F.col("id"), "received_at_unix_nano": F.lit(1_700_000_000 * 10**9)}
+    columns = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLE_SCHEMAS[SPANS]]
+    store = Store.create(spark, f"{folder}/store")
+    store._write_batch(made.select(columns), SPANS, 1)
+    store.state.batches[SPANS].append(1)
+    spans = store.table(SPANS)
+    absent = [hashlib.md5(f"absent {i}".encode()).hexdigest() for i in range(3)]
+    assert [_scanned(spans.where(F.col("trace_id") == value)) for value in absent] == [0, 0, 0]
+    present = spans.where(F.col("trace_id") == hashlib.md5(b"77").hexdigest())
+    assert [r.id for r in present.select("id").collect()] == [77]
+    assert 0 < _scanned(present) < 60_000

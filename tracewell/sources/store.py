@@ -34,6 +34,13 @@ RESOURCE_ID_FUNCTION = """
   RETURN substring(sha2(concat('[', btrim(to_json(array(attributes)), '[]'), ',',
                                btrim(to_json(array(schema_url)), '[]'), ']'), 256), 1, 32)"""
 COMMIT_TRIES = 20
+# Columns that are looked up by value, and the distinct values a file is expected to hold: Bloom filters are sized for them.
+LOOKUPS = {
+    LOGS: {"trace_id": 1_000_000, "fingerprint": 1_000_000},
+    SPANS: {"trace_id": 1_000_000},
+    METRICS: {"metric_name": 10_000, "fingerprint": 1_000_000},
+}
+MAX_FILTER_BYTES = 2 << 20
 _ATTEMPTS = 1 << 20  # room for the random part of a batch number
 
 
@@ -276,7 +283,8 @@ class Store(Reader):
 
     def _write_batch(self, rows: DataFrame, signal: str, number: int) -> None:
         dated = rows.select(*TABLE_SCHEMAS[signal].names).withColumn("received_date", receipt_date(F.col("received_at_unix_nano")))
-        dated.write.partitionBy("received_date").parquet(f"{self._path(signal)}/batch={number}")
+        options = bloom_filters(LOOKUPS[signal])
+        dated.write.options(**options).partitionBy("received_date").parquet(f"{self._path(signal)}/batch={number}")
 
     def _append(
         self, rows: DataFrame, signal: str, refused: DataFrame, stream: tuple[str, int] | None, staging: str
@@ -434,6 +442,18 @@ class Store(Reader):
         return self.spark.read.schema(schema).option("basePath", path).parquet(*folders)
 
 
+def bloom_filters(distinct: dict[str, int]) -> dict[str, str]:
+    """Writer options for a Bloom filter on each column, by the number of distinct values a row group is expected to hold.
+
+    A filter takes ``MAX_FILTER_BYTES`` at most. Lookups by equality skip the row groups whose filter excludes the value.
+    """
+    options = {"parquet.bloom.filter.max.bytes": str(MAX_FILTER_BYTES), "parquet.bloom.filter.adaptive.enabled": "true"}
+    for column, values in distinct.items():
+        options[f"parquet.bloom.filter.enabled#{column}"] = "true"
+        options[f"parquet.bloom.filter.expected.ndv#{column}"] = str(values)
+    return options
+
+
 def _refused(rows: DataFrame, keys: DataFrame, reason: str) -> DataFrame:
     """Refused requests among ``rows`` in the form of the quarantine table."""
     return (
