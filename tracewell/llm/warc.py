@@ -22,7 +22,11 @@ HTTP_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 DATE = "1970-01-01T00:00:00Z"
 
 # Named character references of HTML, as the standard library lists them.
-ENTITIES = {name[:-1]: sign for name, sign in html.entities.html5.items() if name.endswith(";")}
+# A map is searched from its first entry on, so frequent names come first.
+FREQUENT = ["amp", "nbsp", "lt", "gt", "quot", "apos", "copy", "middot", "mdash", "ndash"]
+ENTITIES = {name: html.entities.html5[f"{name};"] for name in FREQUENT}
+ENTITIES |= {name: chr(code) for name, code in html.entities.name2codepoint.items()}
+ENTITIES |= {name[:-1]: sign for name, sign in html.entities.html5.items() if name.endswith(";")}
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 # Fixed value: the tags that end a line.
