@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import jaccard, packing, pieces, pseudonyms, substrings
+from tracewell.llm import divergence, jaccard, packing, pieces, pseudonyms, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, n_words string, row_key string, seeds int"
@@ -519,3 +519,21 @@ def test_one_of_each_with_clashing_columns(spark):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r["a.b"], r["_row_key"]) for r in kept.collect()) == [(1, "a", 7), (3, "c", 7)]
+
+
+def test_rules_and_pseudonyms_with_clashing_columns(spark):
+    text = "write to someone@example.org about the words of this line " * 6
+    docs = spark.createDataFrame([(1, text, "en", "x"), (2, None, None, None)], "doc_id long, Text string, lang string, `a.b` string")
+    odd = ["_text", "_words", "_found", "document", "found", "new", "c0", "classes", "ref_common", "N_Words", "N_Replaced", "x`y", "value"]
+    docs = docs.withColumns({name: F.lit(7) for name in odd})
+    kept = [c for c in docs.columns if c not in ("N_Replaced",)]
+    protected = pseudonyms.protect(docs)
+    assert protected.columns == [*kept, "n_replaced"]
+    got = {r.doc_id: r for r in protected.collect()}
+    assert got[1].n_replaced == 6 and "someone" not in got[1].Text and got[1]["a.b"] == "x" and got[1]["x`y"] == 7
+    assert got[2].Text is None and got[2].n_replaced == 0
+    judged = divergence.judge(docs)
+    assert {"a.b", "_text", "_words", "ref_common", "x`y", "N_Replaced", "lang"} <= set(judged.columns)
+    assert "N_Words" not in judged.columns and "Text" not in judged.columns
+    got = {r.doc_id: r for r in judged.collect()}
+    assert got[1].n_words == 54 and got[1]["_text"] == 7 and got[1].lang == "en" and got[2].base_failed

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import Staging
+from tracewell.llm.tables import Staging, quoted
 
 # Frequent function words of the languages that have a word reference.
 COMMON_WORDS = {
@@ -189,13 +189,16 @@ def judge(
     is kept unless it has ``CLASS_WORDS`` words and its classes lie further than ``class_distance`` from the reference, or
     ``COMMON_MIN_WORDS`` words and its common words further than ``common_distance``. A null or empty text has no words
     and fails. A null or unlisted language is compared with all documents, and by its classes only. Columns of ``docs``
-    named like the added ones are replaced. Repeated rows are judged alike; an empty table gives an empty result.
+    named like the added ones, in whatever case, are replaced; all others may have any name. Repeated rows are judged alike; an empty table gives an empty result.
     """
     made = ("language", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
     made += ("class_distance", "common_distance", "base_failed", "kept")
-    clean = docs.select(*[f"`{c}`" for c in docs.columns if c not in made])
+    names = [c for c in docs.columns if c.lower() not in (*made, text.lower())]
+    # The document travels as one column, so no name of it meets a name of ours.
+    whole = F.struct(F.lit(None).cast("int").alias("none"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
+    narrow = docs.select(whole.alias("document"), quoted(text).alias("text"), (quoted(lang) if lang else F.lit(None)).cast("string").alias("lang"))
     staging = Staging(docs.sparkSession, "divergence")
-    rows = staging.write(histograms(clean, text, lang), "histograms")
+    rows = staging.write(histograms(narrow), "histograms")
     known = staging.write(references(rows), "references")
     joined = rows.join(F.broadcast(known), "language", "left")
     joined = joined.withColumns(
@@ -209,4 +212,4 @@ def judge(
         (F.col("n_words") >= COMMON_MIN_WORDS) & (F.col("language") != OTHER) & (F.col("common_distance") > common_distance)
     )
     joined = joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~odd)
-    return joined.drop("ref_classes", "ref_common")
+    return joined.select(*[F.col(f"document.c{i}").alias(c) for i, c in enumerate(names)], *made)

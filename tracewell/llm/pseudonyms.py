@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.tables import quoted
+
 KEY = "tracewell"
 ROUNDS = 8
 
@@ -240,17 +242,18 @@ def protect(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with personal data of ``text`` replaced, and n_replaced, the number of values that were.
 
     Null stays null with 0 replaced; all else of a text stays as it is, character by character. A column n_replaced of
-    ``docs`` is replaced. Repeated rows are treated alike, whole texts are searched, an empty table stays empty.
+    ``docs``, in whatever case, is replaced; all others may have any name. Repeated rows are treated alike, whole texts are searched, an empty table stays empty.
     """
-    names = [c for c in docs.columns if c != "n_replaced"]
-    found = F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))
-    rows = docs.select(*[f"`{c}`" for c in names], found.alias("_found"))
-    new = F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key)))
-    rows = rows.withColumn("_new", new)
-    parts = F.split(F.col(text), _ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, "_new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    names = [c for c in docs.columns if c.lower() != "n_replaced"]
+    # The document travels as one column, so no name of it meets a name of ours.
+    whole = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("document")
+    rows = docs.select(whole, quoted(text).alias("text"), F.regexp_extract_all(quoted(text), F.lit(_ANY), F.lit(0)).alias("found"))
+    rows = rows.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))
+    parts = F.split("text", _ANY, -1)
+    joined = F.array_join(F.flatten(F.zip_with(parts, "new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    cleaned = F.when(F.col("new").isNull(), F.col("text")).otherwise(joined)
     return rows.select(
-        *[F.when(F.col("_new").isNull(), F.col(text)).otherwise(joined).alias(text) if c == text else F.col(f"`{c}`") for c in names],
-        F.when(F.col("_new").isNull(), F.lit(0)).otherwise(changed).cast("long").alias("n_replaced"),
+        *[(cleaned if c.lower() == text.lower() else F.col(f"document.c{i}")).alias(c) for i, c in enumerate(names)],
+        F.when(F.col("new").isNull(), F.lit(0)).otherwise(changed).cast("long").alias("n_replaced"),
     )

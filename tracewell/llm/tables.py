@@ -34,10 +34,15 @@ class Staging:
             files.delete(self.spark, f"{self.base}/{name}")
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row; equal rows have equal keys, null counts as a value."""
     parts = []
     for name in columns:
-        column = F.col(f"`{name}`")
+        column = quoted(name)
         parts += [column, column.isNull()]
     return F.xxhash64(*parts)
