@@ -1,18 +1,21 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import otlp
-from tracewell.model import LOGS, METRICS, SPANS
-from tracewell.operators import dedup, retention
-from tracewell.plans import views
+from tracewell.model import LOGS, METRIC_IDENTITY, METRICS, SPANS
+from tracewell.operators import dedup, discovery, retention, status
+from tracewell.plans import page, views
 from tracewell.plans.filters import Filters
 from tracewell.sources import files
 from tracewell.sources.otlp import stream_requests
 from tracewell.sources.store import Store, StoreError, open_store
-from tracewell.streaming.ingest import ingest_stream
+from tracewell.streaming.activity import StatusHistory, history, observed_counts
+from tracewell.streaming.ingest import deduplicate, ingest_stream
+from workload import derived
 
 HOUR = 3600 * 10**9
 
@@ -328,3 +331,74 @@ def test_lookup_of_an_absent_value_reads_no_rows(spark, folder):
     present = spans.where(F.col("trace_id") == hashlib.md5(b"77").hexdigest())
     assert [r.id for r in present.select("id").collect()] == [77]
     assert 0 < _scanned(present) < 60_000
+
+
+def test_status_history_of_a_stream_into_a_store(spark, folder):
+    texts = spark.createDataFrame([(otlp.log(str(i)),) for i in range(12)], "value string")
+    texts.repartition(3).write.text(f"{folder}/in")
+    store = Store.create(spark, f"{folder}/store")
+    arriving = stream_requests(spark, f"{folder}/in", F.lit(10**18), max_files_per_trigger=1)
+    ingest_stream(
+        arriving, store, LOGS, f"{folder}/checkpoint", "logs", available_now=True, history=f"{folder}/history"
+    ).awaitTermination()
+    rows = history(spark, f"{folder}/history").orderBy("id").collect()
+    assert len(rows) == 3 and rows[-1].committed_logs == 12 and {r.process for r in rows} == {"logs"}
+    assert [r.committed_logs for r in rows] == sorted(r.committed_logs for r in rows)
+    # One snapshot an interval, so each of them is reported.
+    spread = history(spark, f"{folder}/history").withColumn("time_unix_nano", F.col("id") * 20 * 10**9)
+    reports = status.activity(spread).orderBy("reported_at").collect()
+    assert sum(r.logs_written for r in reports) == 12 - rows[0].committed_logs and reports[-1].logs_total == 12
+
+
+def test_observed_counters_become_status_history(spark, folder):
+    row = "fingerprint string, payload_bytes bigint, received_at_unix_nano bigint"
+    records = spark.createDataFrame([(str(i % 5), 10, 10**18 + i) for i in range(8)], row)
+    records.repartition(2).write.parquet(f"{folder}/in")
+    listener = StatusHistory(spark, f"{folder}/history", "p", {"records": "committed_logs"})
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        writer = observed_counts(deduplicate(stream, LOGS), "records").writeStream.format("noop").outputMode("append")
+        query = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        until = time.time() + 30
+        # Reports come after the query has ended, and a row is there once it is written.
+        while time.time() < until:
+            if files.exists(spark, f"{folder}/history") and history(spark, f"{folder}/history").where("committed_logs = 5").count():
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = history(spark, f"{folder}/history").orderBy("id").collect()
+    assert rows[-1].committed_logs == 5 and len(rows) >= 2 and all(r.pipeline_ready for r in rows)
+    with pytest.raises(ValueError):
+        StatusHistory(spark, folder, "p", {"records": "committed"})
+
+
+def test_json_each(spark, folder):
+    Store.create(spark, folder).register_views()
+    text = """SELECT t.id, a.* FROM VALUES (1, '[{"k":1},2,"x",null,true]'), (2, '{"k":1.5,"z":[1]}'), (3, 'bad'), (4, NULL), (5, '{}'), (6, '7')
+              AS t(id, j), LATERAL json_each(t.j) AS a"""
+    rows = {tuple(r) for r in page.sql(spark, text).collect()}
+    assert rows == {
+        (1, "0", '{"k":1}', "object"), (1, "1", "2", "bigint"), (1, "2", "x", "string"), (1, "3", None, "void"),
+        (1, "4", "true", "boolean"), (2, "k", "1.5", "decimal"), (2, "z", "[1]", "array"),
+    }
+    # One pass over the rows: no join with the distinct documents.
+    plan = page.sql(spark, text)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate variant_explode" in plan and "Join" not in plan
+
+
+def test_sketches_estimate_discovery(spark):
+    points = derived.metric_points(spark, "/root/testdata/sf0.01")
+    sketches = discovery.daily_sketches(points)
+    assert sketches.select("received_date").distinct().count() > 20
+    got = {tuple(r[name] for name in METRIC_IDENTITY): r for r in discovery.metric_list_estimated(sketches).collect()}
+    exact = views.metric_list(points, Filters(since="1970-01-01T00:00:00Z"), ordered=False).collect()
+    assert len(got) == len(exact)
+    for r in exact:
+        e = got[tuple(r[name] for name in METRIC_IDENTITY)]
+        same = ["point_count", "no_recorded_value_count", "first_time", "last_time", "last_received_at"]
+        assert [e[name] for name in same] == [r[name] for name in same]
+        # Four standard errors, and exact where the sketch still lists its entries.
+        assert abs(e.series_count - r.series_count) <= max(4 * 1.04 / 64 * r.series_count, 0.5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,51 +92,34 @@ def decide_spans(spans: DataFrame, stored: DataFrame, folder: str | None = None)
 
     def written(frame: DataFrame, name: str) -> DataFrame:
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    contested = written(
-        per_request.withColumn("_order", F.struct("received_at_unix_nano", "request_key")).withColumn(
-            "_clash", clash
-        ),
-        "claims",
-    )
-    # accepted is null while a request is open.
-    status = written(
-        contested.groupBy("request_key").agg(
-            F.when(F.bool_or("_clash"), F.lit(False)).alias("accepted")
-        ),
-        "status-0",
-    )
-    while not status.where(F.col("accepted").isNull()).isEmpty():
+        return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+    order = F.struct("received_at_unix_nano", "request_key")
+    contested = written(per_request.select("*", clash.alias("_clash")).drop("_other"), "claims-0")
+    inner = contested.groupBy("request_key").agg(F.bool_or("_clash").alias("_clash")).where("_clash")
+    settled = [written(inner.select("request_key", F.lit(False).alias("accepted")), "settled-0")]
+    opened = contested.drop("_clash").join(settled[0], "request_key", "left_anti")
+    # A round carries the claims of open requests only; what earlier ones have stored is in _held.
+    while not opened.isEmpty():
         round_number += 1
-        live = contested.join(status.where(F.coalesce("accepted", F.lit(True))), "request_key")
-        first = live.groupBy(*SPAN_IDENTITY).agg(
-            F.min_by(
-                F.struct("fingerprint", "request_key", F.col("accepted").isNotNull().alias("settled")), "_order"
-            ).alias("_first")
-        )
+        first = opened.where("_held IS NULL").groupBy(*SPAN_IDENTITY).agg(F.min_by("request_key", order).alias("_first"))
+        same = F.col("_held") == F.col("fingerprint")
+        mine = F.col("_held").isNull() & (F.col("_first") == F.col("request_key"))
         judged = (
-            live.where(F.col("accepted").isNull())
-            .join(first, SPAN_IDENTITY)
-            .select("request_key", *_verdict())
+            opened.join(first, SPAN_IDENTITY, "left")
             .groupBy("request_key")
-            .agg(F.bool_and("_clear").alias("_clear"), F.bool_or("_refused").alias("_refused"))
+            .agg(F.bool_or(~same).alias("_refused"), F.bool_and(F.coalesce(same, mine)).alias("_clear"))
         )
-        settled = F.when(F.col("_refused"), False).when(F.col("_clear"), True)
-        status = written(
-            status.join(judged, "request_key", "left").select(
-                "request_key", F.coalesce("accepted", settled).alias("accepted")
-            ),
-            f"status-{round_number}",
+        accepted = F.when(F.coalesce("_refused", F.lit(False)), False).when(F.col("_clear"), True)
+        verdicts = written(
+            judged.select("request_key", accepted.alias("accepted")).where("accepted IS NOT NULL"), f"settled-{round_number}"
         )
-    return status
-
-
-def _verdict() -> list[Column]:
-    mine = F.col("_first.request_key") == F.col("request_key")
-    same = F.col("_first.fingerprint") == F.col("fingerprint")
-    settled = F.col("_first.settled")
-    return [(mine | (settled & same)).alias("_clear"), (settled & ~same).alias("_refused")]
+        settled.append(verdicts)
+        inserted = opened.join(verdicts.where("accepted"), "request_key", "left_semi")
+        inserted = inserted.groupBy(*SPAN_IDENTITY).agg(F.min("fingerprint").alias("_new"))
+        left = opened.join(verdicts, "request_key", "left_anti").join(inserted, SPAN_IDENTITY, "left")
+        opened = written(left.withColumn("_held", F.coalesce("_held", "_new")).drop("_new"), f"claims-{round_number}")
+    return reduce(DataFrame.unionByName, settled)
 
 
 def accepted_spans(

@@ -33,6 +33,13 @@ RESOURCE_ID_FUNCTION = """
   CREATE OR REPLACE TEMPORARY FUNCTION resource_id(attributes STRING, schema_url STRING) RETURNS STRING
   RETURN substring(sha2(concat('[', btrim(to_json(array(attributes)), '[]'), ',',
                                btrim(to_json(array(schema_url)), '[]'), ']'), 256), 1, 32)"""
+# Members of a JSON object, or elements of an array by position, as rows; nothing for other values and broken texts.
+JSON_EACH_FUNCTION = """
+  CREATE OR REPLACE TEMPORARY FUNCTION json_each(document STRING)
+  RETURNS TABLE (key STRING, value STRING, type STRING)
+  RETURN SELECT coalesce(e.key, CAST(e.pos AS STRING)), CAST(e.value AS STRING),
+                lower(regexp_extract(schema_of_variant(e.value), '^[A-Z]+', 0))
+         FROM variant_explode(try_parse_json(document)) AS e"""
 COMMIT_TRIES = 20
 # Columns that are looked up by value, and the distinct values a file is expected to hold: Bloom filters are sized for them.
 LOOKUPS = {
@@ -103,8 +110,9 @@ class Reader:
         return {signal: self.table(signal) for signal in SIGNALS}
 
     def register_views(self) -> None:
-        """Make the tables, and the function ``resource_id``, available to ad-hoc SQL under their names."""
+        """Make the tables, and the functions ``resource_id`` and ``json_each``, available to ad-hoc SQL under their names."""
         self.spark.sql(RESOURCE_ID_FUNCTION)
+        self.spark.sql(JSON_EACH_FUNCTION)
         for signal, table in self.tables().items():
             table.createOrReplaceTempView(signal)
 

@@ -15,7 +15,7 @@ from tracewell.plans import page, present, views
 from tracewell.plans.filters import Filters
 from tracewell.session import configure, work_folder
 from tracewell.sources.otlp import stream_requests
-from tracewell.sources.store import Store
+from tracewell.sources.store import JSON_EACH_FUNCTION, Store
 from tracewell.streaming.ingest import deduplicate, ingest_stream
 from tracewell.streaming.rate import latest, streaming_rate
 from workload import derived
@@ -273,20 +273,45 @@ def span_conflicts(spark, sf_dir):
     return dedup.conflicting_identities(derived.spans(spark, sf_dir))
 
 
-@query
-def span_accepted(spark, sf_dir):
-    """Accepted spans where every span is a request of its own and nothing is stored yet."""
+def _decided_spans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(new spans, refused requests) where the spans of one service are stored already.
+
+    All spans arrive, the stored ones again; a request holds the spans of one trace and service that were received together.
+    """
+    key = F.concat_ws("|", F.lpad(F.col("received_at_unix_nano").cast("string"), 20, "0"), "trace_id", "service_name")
     rows = derived.spans(spark, sf_dir).select(
-        F.lpad(F.col("id").cast("string"), 20, "0").alias("request_key"),
-        F.array(F.lit(0).cast("bigint")).alias("position"),
-        "received_at_unix_nano", "trace_id", "span_id", "fingerprint", "id", "name",
+        key.alias("request_key"), F.array("id").alias("position"),
+        "received_at_unix_nano", "trace_id", "span_id", "fingerprint", "id", "name", "service_name",
     )
     # As in ingest, the batch is written once and all steps read the written columns.
     folder = work_folder(spark, "span-batch")
     rows.write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    new, _ = dedup.accepted_spans(rows, rows.limit(0), rows.count())
-    return new.drop("position")
+    rows = spark.read.schema(rows.schema).parquet(folder)
+    earlier = rows.where("service_name = 'svc-0'").select("trace_id", "span_id", "fingerprint", "received_at_unix_nano", "id")
+    stored = dedup.first_copies(earlier, dedup.SPAN_IDENTITY, ["received_at_unix_nano", "id"])
+    return dedup.accepted_spans(rows, stored, rows.count())
+
+
+@query
+def span_accepted(spark, sf_dir):
+    return _decided_spans(spark, sf_dir)[0].drop("position", "service_name")
+
+
+@query
+def span_requests_refused(spark, sf_dir):
+    return _decided_spans(spark, sf_dir)[1]
+
+
+@query
+def attribute_counts(spark, sf_dir):
+    """Attributes of spans by key and type, counted by ad-hoc SQL."""
+    spark.sql(JSON_EACH_FUNCTION)
+    derived.spans(spark, sf_dir).createOrReplaceTempView(SPANS)
+    text = """
+      SELECT get_json_object(a.value, '$.key') AS key, v.key AS type, count(*) AS spans, count(DISTINCT v.value) AS values
+      FROM otel_spans s, LATERAL json_each(s.attributes) AS a, LATERAL json_each(get_json_object(a.value, '$.value')) AS v
+      GROUP BY 1, 2"""
+    return page.sql(spark, text)
 
 
 # --- Retention and status -------------------------------------------------------------
