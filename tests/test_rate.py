@@ -187,3 +187,74 @@ def test_stream_goes_on_from_a_batch(spark, folder):
 def test_idle_series_leave_the_state(spark, folder):
     batches = [[(1, "a", 0, 10)], [(9, "other", 300, 0)], [(9, "other", 400, 0)], [(2, "a", 500, 50)], [(9, "other", 900, 0)]]
     assert _seen(_stream(spark, folder, batches, idle="1 hour")) == [(1, 0, None, "no_baseline"), (2, 0, None, "no_baseline")]
+
+
+def test_state_holds_few_packed_values():
+    """200 series of 5 points take one value of state, not one a point, and a second timer of a micro-batch gives nothing."""
+    import pandas as pd
+
+    from tracewell.model import SERIES_IDENTITY
+    from tracewell.operators.rate import POINT_FIELDS
+    from tracewell.streaming.rate import PreviousPoints
+
+    class State:
+        def __init__(self):
+            self.values = []
+
+        def get(self):
+            return iter(self.values) if self.many else self.values[-1]
+
+        def put(self, rows):
+            self.values = list(rows)
+
+        def appendValue(self, row):
+            self.values.append(row)
+
+        def appendList(self, rows):
+            self.values.extend(rows)
+
+        def update(self, row):
+            self.values = [row]
+
+        def exists(self):
+            return bool(self.values)
+
+        def clear(self):
+            self.values = []
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+
+        def _state(self, name, many):
+            self.states[name] = State()
+            self.states[name].many = many
+            return self.states[name]
+
+        def getListState(self, name, schema):
+            return self._state(name, True)
+
+        def getValueState(self, name, schema):
+            return self._state(name, False)
+
+        def registerTimer(self, millis):
+            self.timers.append(millis)
+
+    class Watermark:
+        def getCurrentWatermarkInMs(self):
+            return 10**9
+
+    rows = []
+    for n in range(1000):
+        row = dict.fromkeys([*SERIES_IDENTITY, *POINT_FIELDS, "received_at_unix_nano"], None)
+        rows.append(row | {"series": f"s{n % 200}", "id": str(n), "time_unix_nano": str(n * 10**9), "number_int": str(n)})
+    handle, processor = Handle(), PreviousPoints()
+    processor.init(handle)
+    assert list(processor.handleInputRows((1,), iter([pd.DataFrame(rows)]), Watermark())) == []
+    assert len(handle.states["waiting"].values) == 1 and len(handle.timers) == 1
+    out = pd.concat(processor.handleExpiredTimer((1,), Watermark(), None))
+    assert len(out) == 1000 and out["previous_number_int"].isna().sum() == 200
+    follows = out[out["previous_number_int"].notna()]
+    assert (follows["id"].astype(int) - follows["previous_number_int"].astype(int) == 200).all()
+    assert list(processor.handleExpiredTimer((1,), Watermark(), None)) == []
+    assert not handle.states["waiting"].values and len(handle.states["last"].values) == 1

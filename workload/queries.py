@@ -488,19 +488,27 @@ def stream_dedup(spark, sf_dir):
 _CLOSING = "closing marker"
 
 
+POINTS_PER_FILE = 250_000
+
+
 def _rated_stream(spark, points: DataFrame, arrival, folder: str, **periods) -> DataFrame:
-    """Points written in order of arrival, one file after the other, and rated as a stream of two files a batch."""
-    cuts = points.select(arrival.alias("_arrival")).approxQuantile("_arrival", [0.25, 0.5, 0.75], 0.01)
+    """Points written in order of arrival, quarter after quarter, and rated as a stream of two quarters a batch."""
+    points.withColumn("_arrival", arrival).write.parquet(f"{folder}/points")
+    points = spark.read.parquet(f"{folder}/points")
+    cuts = points.approxQuantile("_arrival", [0.25, 0.5, 0.75], 0.01)
+    files = points.count() // (4 * POINTS_PER_FILE) + 1
+    arrival = F.col("_arrival")
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = points if low is None else points.where(arrival >= F.lit(low))
         part = part if high is None else part.where(arrival < F.lit(high))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        part.drop("_arrival").repartition(files).write.mode("append").parquet(f"{folder}/in")
     # A point of no series of ours, later than all others by more than the delay, lets the watermark pass the last of them.
+    points = points.drop("_arrival")
     closing = points.orderBy(F.desc("time_unix_nano")).limit(1)
     closing = closing.withColumn("time_unix_nano", F.col("time_unix_nano") + 2 * 3600 * 10**9)
     closing = closing.withColumn("metric_name", F.lit(_CLOSING)).select(points.columns)
     closing.write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2 * files).parquet(f"{folder}/in")
     return _run(streaming_rate(stream, "1 hour", **periods), folder).where(F.col("metric_name") != _CLOSING)
 
 
