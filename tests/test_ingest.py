@@ -168,3 +168,25 @@ def test_text_source(spark, folder):
 )
 def test_malformed_numbers_are_refused(requests, fields):
     assert list(reasons(requests, LOGS, [otlp.log("fine"), otlp.log(**fields)])) == ["r0001"]
+
+
+def test_plain_values_are_not_walked_beside_nested_ones(monkeypatch):
+    """Of a request with one nested body, the scalar attributes pass as they are; the result is the same as before."""
+    import json
+
+    from tracewell.functions import anyvalue
+
+    walked = []
+    walk = anyvalue._walk
+    monkeypatch.setattr(anyvalue, "_walk", lambda waiting: (walked.extend(waiting), walk(waiting)))
+    plain = [{"key": "k", "value": {"intValue": "7"}}, {"key": "password", "value": {"stringValue": "p"}}]
+    odd = [{"key": "k", "value": {"intValue": "007"}}, {"key": "é", "value": {"stringValue": "s"}}]
+    nested = {"kvlistValue": {"values": [{"key": "token", "value": {"stringValue": "t"}}]}}
+    records = [{"body": nested, "attributes": plain + odd}, {"body": {"stringValue": "text"}, "attributes": plain}]
+    text, error = anyvalue.normalize_request(json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": records}]}]}))
+    first, second = json.loads(text)["resourceLogs"][0]["scopeLogs"][0]["logRecords"]
+    assert error is None and len(walked) == 3
+    assert first["attributes"] == plain + [{"key": "k", "value": {"intValue": "7"}}, odd[1]]
+    assert json.loads(second["taggedBody"]) == {"string": "text"} and "REDACTED" in first["taggedBody"]
+    lone = '{"attributes":[{"key":"a","value":{"stringValue":"\\ud800"}}]}'
+    assert anyvalue.normalize_request(lone) == (None, "malformed request")
