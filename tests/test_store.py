@@ -402,3 +402,12 @@ def test_sketches_estimate_discovery(spark):
         assert [e[name] for name in same] == [r[name] for name in same]
         # Four standard errors, and exact where the sketch still lists its entries.
         assert abs(e.series_count - r.series_count) <= max(4 * 1.04 / 64 * r.series_count, 0.5)
+
+
+def test_size_retention_derives_its_tables_once(spark):
+    """What is kept comes from the written tables; the join of the spans does not run again for it."""
+    from workload import queries
+
+    for name in ("retention_size", "retention_size_batched"):
+        kept = queries.queries()[name](spark, "/root/testdata/sf0.001")
+        assert not [file for file in kept.inputFiles() if "/root/testdata" in file]

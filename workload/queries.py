@@ -326,11 +326,12 @@ def _sized_tables(spark, sf_dir) -> dict[str, DataFrame]:
     }
 
 
-def _keys(spark, tables: dict[str, DataFrame]) -> DataFrame:
-    """Retention keys as a stored table, which is what a store has."""
-    folder = work_folder(spark, "retention-keys")
-    retention.keys(tables).write.parquet(folder)
-    return spark.read.parquet(folder)
+def _stored(spark, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What retention reads of the tables, as stored tables, which is what a store has."""
+    folder = work_folder(spark, "retention-tables")
+    for name, table in tables.items():
+        table.select("received_at_unix_nano", "id", "payload_bytes").write.parquet(f"{folder}/{name}")
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in tables}
 
 
 def _kept(tables: dict[str, DataFrame], mark: retention.Mark) -> DataFrame:
@@ -345,16 +346,16 @@ def retention_age(spark, sf_dir):
 
 @query
 def retention_size(spark, sf_dir):
-    tables = _sized_tables(spark, sf_dir)
-    keys = _keys(spark, tables)
+    tables = _stored(spark, _sized_tables(spark, sf_dir))
+    keys = retention.keys(tables)
     half = keys.agg(F.sum("bytes")).first()[0] // 2
     return _kept(tables, retention.size_mark(keys, half, batch=1))
 
 
 @query
 def retention_size_batched(spark, sf_dir):
-    tables = _sized_tables(spark, sf_dir)
-    keys = _keys(spark, tables)
+    tables = _stored(spark, _sized_tables(spark, sf_dir))
+    keys = retention.keys(tables)
     tenth = keys.agg(F.sum("bytes")).first()[0] // 10
     return _kept(tables, retention.size_mark(keys, tenth))
 
