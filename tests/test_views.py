@@ -137,3 +137,16 @@ def test_activity(spark):
     assert [(r.reported_at // 10**9, r.logs_written, r.requests_rejected, r.severity) for r in rows] == [
         (20, 5, 0, "info"), (40, 3, 0, "info"), (50, 0, 1, "warn"), (60, 0, 0, "warn"),
     ]
+
+
+def test_offsets_of_few_traces_shuffle_no_timeline(spark):
+    """The beginnings of the traces are written first, so their small size is known and they are broadcast."""
+    from tracewell.plans import views
+    from workload import derived
+
+    folder = "/root/testdata/sf0.001"
+    timeline = views.traces(derived.logs(spark, folder), derived.spans(spark, folder))
+    plan = timeline._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "trace_id" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+    assert timeline.where("offset_ms < 0 OR offset_ms IS NULL").isEmpty()

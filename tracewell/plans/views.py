@@ -15,6 +15,7 @@ from tracewell.model import LOGS, METRIC_IDENTITY, METRICS, NO_RECORDED_VALUE, S
 from tracewell.operators.rate import counter_rate
 from tracewell.plans import catalog
 from tracewell.plans.filters import Filters, common, hex_id, select_logs, select_metrics, select_spans, with_attributes
+from tracewell.session import work_folder
 
 _RENAMED = {
     "received_at": "received_at_unix_nano",
@@ -139,7 +140,11 @@ def traces(log_table: DataFrame, span_table: DataFrame, payload: bool = False) -
         },
     ).drop("offset_ms")
     timeline = span_rows.unionByName(log_rows)
+    # Written first, so that its size is known: unless there are very many traces, no timeline row is shuffled for the join.
     begun = timeline.groupBy("trace_id").agg(F.min("time").alias("_begun"))
+    folder = work_folder(begun.sparkSession, "trace-begins")
+    begun.write.parquet(folder)
+    begun = begun.sparkSession.read.schema(begun.schema).parquet(folder)
     return timeline.join(begun, "trace_id").select(
         *timeline.columns, millis_between(F.col("_begun"), F.col("time")).alias("offset_ms")
     )
