@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import divergence, jaccard, packing, pieces, pseudonyms, substrings
+from tracewell.llm.tables import Staging
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, n_words string, row_key string, seeds int"
@@ -153,6 +155,33 @@ def test_blocks_of_cells(spark, corpus, monkeypatch):
     assert sorted(map(tuple, jaccard.join_components(docs, shingle=2, percent=60).collect())) == brute_components(corpus, 2, 60)
 
 
+def test_jaccard_sets_travel_in_turns(spark):
+    """Sets that meet in many places go to some of the places at a time; all links are found."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(r.sample(base, 56)) for _ in range(20)]
+    staging = Staging(spark, "turns")
+    docs = spark.createDataFrame(list(enumerate(texts)), "row_key long, text string")
+    schema = "class long, n long, shingles array<long>, counts binary, fine binary"
+    sets = staging.write(docs.select("text").mapInArrow(jaccard._vectors(1), schema), "sets")
+    # Each place holds two classes, and each class has 19 places.
+    classes = sorted(row["class"] for row in sets.collect())
+    pairs = list(enumerate(itertools.combinations(classes, 2)))
+    rows = [(place, 0, number, number) for place, pair in pairs for number in pair]
+    places = staging.write(spark.createDataFrame(rows, "meet long, side int, class long, component long"), "places")
+    turns = jaccard._turns(places, sets)
+    assert turns == 10
+    got = {tuple(sorted(link)) for link in jaccard._found(places, sets, 90, staging).collect()}
+    shingle_sets = {row["class"]: set(row.shingles) for row in sets.collect()}
+    assert got == {
+        (a, b) for _, (a, b) in pairs
+        if 100 * len(shingle_sets[a] & shingle_sets[b]) >= 90 * len(shingle_sets[a] | shingle_sets[b])
+    }
+    assert 0 < len(got) < len(pairs)
+    assert all(os.path.exists(f"{staging.base}/found-{turn}") for turn in range(turns))
+
+
+
 def test_r_tree_loses_nothing():
     r = np.random.default_rng(3)
     points = r.poisson(3, (300, 16)).astype(np.int64)

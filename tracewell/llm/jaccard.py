@@ -26,7 +26,9 @@ All links between different sets are found or lie within one component; nothing
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,7 @@ BLOCK = 1024
 LEAF = 48
 TURNS = 1
 NARROWING = 2
+CARRIED = 2
 _RATIO = 1.5
 
 
@@ -367,6 +370,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, staging: Staging,
     return joined.where(_alike(F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"), percent)).select("a", "b")
 
 
+def _turns(places: DataFrame, sets: DataFrame) -> int:
+    """In how many turns the sets go to their places if one turn may carry ``CARRIED`` times the room of all sets."""
+    room = F.sum(F.col("n") + FINE_GROUPS // 8).alias("room")
+    carried = places.join(sets.select("class", "n"), "class").agg(room).first().room or 0
+    held = sets.agg(room).first().room or 1
+    return max(1, math.ceil(carried / (CARRIED * held)))
+
+
+def _found(places: DataFrame, sets: DataFrame, percent: int, staging: Staging) -> DataFrame:
+    """Links (a, b) of all places. A class has many places, so its set goes to some of them at a time: the exchange of a turn
+    is deleted before the next one begins, and what is on disk at once grows with the sets, not with the places."""
+    turns = _turns(places, sets)
+    turn_of = F.pmod(F.xxhash64(F.lit("turn"), "meet"), F.lit(turns))
+    whole = sets.select("class", "n", "fine", "shingles")
+    links = []
+    for turn in range(turns):
+        rows = places.where(turn_of == turn).join(whole, "class").repartition("meet").sortWithinPartitions("meet")
+        links.append(staging.write(rows.mapInArrow(_linked(percent), "a long, b long").distinct(), f"found-{turn}"))
+    staging.drop("places")
+    return reduce(DataFrame.unionByName, links).distinct()
+
+
 def _heads(cells: DataFrame) -> DataFrame:
     """The least class of each cell that has several."""
     found = cells.groupBy("cell").agg(F.min("class").alias("head"), F.max("class").alias("last"))
@@ -437,9 +462,9 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
         F.bit_xor(F.xxhash64(F.lit(1), "class", "side")).alias("two"),
     )
     once = staging.write(shape.groupBy("size", "one", "two").agg(F.min("meet").alias("meet")).select("meet"), "once")
-    points = alive.join(once, "meet", "left_semi").join(sets.select("class", "n", "fine", "shingles"), "class").repartition("meet").sortWithinPartitions("meet")
-    found = staging.write(points.mapInArrow(_linked(percent), "a long, b long").distinct(), "found")
+    places = staging.write(alive.join(once, "meet", "left_semi"), "places")
     staging.drop("mixed", "labelled", "alive", "once")
+    found = _found(places, sets, percent, staging)
     last = components(star.unionByName(found), staging, "last")
 
     grouped = classes.join(last.withColumnRenamed("node", "class"), "class", "left")
