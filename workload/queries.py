@@ -530,15 +530,20 @@ def stream_rate_corrected(spark, sf_dir):
     return latest(rated).select("id", "value", "delta_value", "rate_per_second", "rate_reason", "gap_seconds")
 
 
+REQUESTS_PER_FILE = 5_000
+
+
 @query
 def stream_ingest(spark, sf_dir):
     """Requests arrive twice, in several micro-batches; the store holds each record once."""
     folder = work_folder(spark, "stream-ingest")
-    requests = derived.log_requests(spark, sf_dir).select("value")
-    requests.repartition(2).write.text(f"{folder}/in")
-    requests.repartition(1).write.mode("append").text(f"{folder}/in")
+    derived.log_requests(spark, sf_dir).select("value").write.text(f"{folder}/requests")
+    requests = spark.read.text(f"{folder}/requests")
+    files = requests.count() // REQUESTS_PER_FILE + 1
+    requests.repartition(2 * files).write.text(f"{folder}/in")
+    requests.repartition(files).write.mode("append").text(f"{folder}/in")
     store = Store.create(spark, f"{folder}/store")
     received = F.lit(parse_timestamp("2024-02-01T00:00:00Z"))
-    arriving = stream_requests(spark, f"{folder}/in", received, max_files_per_trigger=2)
+    arriving = stream_requests(spark, f"{folder}/in", received, max_files_per_trigger=2 * files)
     ingest_stream(arriving, store, LOGS, f"{folder}/checkpoint", "logs", available_now=True).awaitTermination()
     return views.logs(store.refresh().table(LOGS), _all()).drop("id")
