@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import otlp
 from tracewell.model import LOGS, METRICS, SPANS
 from tracewell.operators import ingest
-from tracewell.sources.otlp import read_requests
+from tracewell.sources.otlp import read_requests, stream_requests
 
 
 def rows(requests, signal, texts):
@@ -190,3 +190,18 @@ def test_plain_values_are_not_walked_beside_nested_ones(monkeypatch):
     assert json.loads(second["taggedBody"]) == {"string": "text"} and "REDACTED" in first["taggedBody"]
     lone = '{"attributes":[{"key":"a","value":{"stringValue":"\\ud800"}}]}'
     assert anyvalue.normalize_request(lone) == (None, "malformed request")
+
+
+def test_requests_are_derived_without_a_join(spark, monkeypatch):
+    """Requests of logs need their events only, and those of the stream are dealt over files that grow with them."""
+    from workload import derived, queries
+
+    folder = "/root/testdata/sf0.001"
+    plan = derived.log_requests(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    whole = sorted(map(str, queries.queries()["stream_ingest"](spark, folder).collect()))
+    written = []
+    monkeypatch.setattr(queries, "REQUESTS_PER_FILE", 1)
+    monkeypatch.setattr(queries, "stream_requests", lambda s, path, *a, **o: written.append(path) or stream_requests(s, path, *a, **o))
+    assert sorted(map(str, queries.queries()["stream_ingest"](spark, folder).collect())) == whole
+    assert len([name for name in os.listdir(written[0]) if name.startswith("part-")]) > 3

@@ -89,33 +89,38 @@ def _context(instance: Column) -> dict[str, Column]:
     }
 
 
-@prepared
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log per event."""
+def _log_columns() -> dict[str, Column]:
+    """The columns of the log of an event."""
     event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     severity = (
         F.when(kind == "error", 17).when(kind == "purchase", 13).when(kind == "signup", 9).when(kind == "click", 5)
     ).otherwise(1)
-    return events(spark, sf_dir).select(
-        event.alias("id"),
-        "received_at_unix_nano",
-        F.when(event % 50 == 0, 0).otherwise(F.col("ns")).cast("bigint").alias("time_unix_nano"),
-        "service_name",
-        severity.cast("int").alias("severity_number"),
-        kind.alias("severity_text"),
-        F.when(event % 3 != 0, _hex(event % 200 + 1, 32)).alias("trace_id"),
-        F.when(event % 6 == 1, _hex(event * 8 + 2, 16)).alias("span_id"),
-        _text('{"string":"', kind, " by user ", user.cast("string"), '"}').alias("body_json"),
-        *[column.alias(name) for name, column in _context(user % 3).items()],
-        attribute_list(
+    return {
+        "id": event,
+        "received_at_unix_nano": F.col("received_at_unix_nano"),
+        "time_unix_nano": F.when(event % 50 == 0, 0).otherwise(F.col("ns")).cast("bigint"),
+        "service_name": F.col("service_name"),
+        "severity_number": severity.cast("int"),
+        "severity_text": kind,
+        "trace_id": F.when(event % 3 != 0, _hex(event % 200 + 1, 32)),
+        "span_id": F.when(event % 6 == 1, _hex(event * 8 + 2, 16)),
+        "body_json": _text('{"string":"', kind, " by user ", user.cast("string"), '"}'),
+        **_context(user % 3),
+        "attributes": attribute_list(
             string_attribute("api_key", "[REDACTED]"),
             string_attribute("event.type", kind),
             int_attribute("k", F.col("k")),
-        ).alias("attributes"),
-        F.when(kind == "signup", "user.signup").otherwise("").alias("event_name"),
-        F.col("received_at_unix_nano").alias("observed_time"),
-        (event % 2).alias("flags"),
-    )
+        ),
+        "event_name": F.when(kind == "signup", "user.signup").otherwise(""),
+        "observed_time": F.col("received_at_unix_nano"),
+        "flags": event % 2,
+    }
+
+
+@prepared
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log per event."""
+    return events(spark, sf_dir).select(*[column.alias(name) for name, column in _log_columns().items()])
 
 
 @prepared
@@ -293,12 +298,10 @@ def _requests(elements: DataFrame, root: str) -> DataFrame:
 def log_requests(spark: SparkSession, sf_dir: str, reverse_attributes: bool = False) -> DataFrame:
     """The logs as OTLP-JSON requests with credentials, nested bodies and invalid times."""
     event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    source = events(spark, sf_dir).join(
-        logs(spark, sf_dir).select(
-            F.col("id").alias("event_id"), "time_unix_nano", "severity_number", "trace_id", "span_id",
-            "event_name", "resource_schema_url", "scope_version",
-        ), "event_id",
-    )
+    # The columns of the logs stand next to those of the events they are made of, so nothing is joined.
+    logged = ["time_unix_nano", "severity_number", "trace_id", "span_id", "event_name", "resource_schema_url", "scope_version"]
+    columns = _log_columns()
+    source = events(spark, sf_dir).withColumns({name: columns[name] for name in logged})
     said = _text(kind, " by user ", user.cast("string"))
     body = F.when(
         event % 10 == 0,
