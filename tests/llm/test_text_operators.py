@@ -181,6 +181,34 @@ def test_jaccard_sets_travel_in_turns(spark):
     assert all(os.path.exists(f"{staging.base}/found-{turn}") for turn in range(turns))
 
 
+def test_jaccard_neighbours_meet_once(spark, monkeypatch):
+    """Classes that meet in place after place travel once, or once a pair of blocks; few places stay as they are."""
+    schema = "meet long, side int, class long, component long"
+
+    def gathered(pairs, block):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        rows = [(place, side, number, number) for place, pair in enumerate(pairs) for side, number in enumerate(pair)]
+        staging = Staging(spark, "neighbours")
+        places = jaccard._gathered(staging.write(spark.createDataFrame(rows, schema), "alive"), staging).collect()
+        met = set()
+        for meet in {row.meet for row in places}:
+            sides = [[row["class"] for row in places if row.meet == meet and row.side == side] for side in (0, 1)]
+            both = itertools.product(*sides) if sides[1] else itertools.combinations(sides[0], 2)
+            met |= {tuple(sorted(pair)) for pair in both}
+        return len(places), met
+
+    everyone = list(itertools.combinations(range(8), 2))
+    pairs = everyone + [(20, 21), (22, 23)]
+    rows, met = gathered(pairs, 1024)
+    assert rows == 8 + 4 and met == set(pairs)
+    rows, met = gathered(pairs, 4)
+    assert rows == 8 * 2 + 4 and met == set(pairs)
+    # A chain in blocks of one would take more rows than its places do.
+    chain = [(at, at + 1) for at in range(8)]
+    assert gathered(chain, 1) == (16, set(chain))
+
+
+
 
 def test_r_tree_loses_nothing():
     r = np.random.default_rng(3)

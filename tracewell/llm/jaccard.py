@@ -18,7 +18,8 @@ Method (count-vector R-tree):
    largest coordinates, the sizes and the component, yields the pairs of different components for which the sum of
    coordinate minima allows the required overlap; minima over ``FINE_GROUPS`` groups settle most of these. A cell of more
    than ``BLOCK`` classes is cut into pairs of blocks. A place returns the classes that have such a partner there.
-5. Only these meet again, with their full sets. Pairs are verified unless links of the same place have joined their
+5. Only these meet again, with their full sets: once with all their neighbours, the classes that common places join,
+   unless their places take fewer rows (with very many neighbours). Pairs are verified unless links of the same place have joined their
    components already, so a place returns fewer links than it has members. Links of both steps give the components.
 
 All links between different sets are found or lie within one component; nothing is capped.
@@ -370,6 +371,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, staging: Staging,
     return joined.where(_alike(F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"), percent)).select("a", "b")
 
 
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (meet, side, class, component) of classes of a ``key`` that is cut into ``blocks``: each pair of blocks meets once."""
+    cut = rows.withColumn("own", F.pmod(F.xxhash64("class"), "blocks"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return cut.select(
+        F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")).alias("meet"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "class",
+        "component",
+    )
+
+
+def _gathered(alive: DataFrame, staging: Staging) -> DataFrame:
+    """Places (meet, side, class, component) where all classes that meet in ``alive`` meet again, with fewer rows.
+
+    Classes with a partner are few, but the same ones meet in place after place. Those that are joined by common places
+    are neighbours; they meet in one place, or in pairs of blocks of it, unless their places have fewer rows.
+    """
+    heads = alive.groupBy("meet").agg(F.min("class").alias("head"))
+    edges = alive.join(heads, "meet").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
+    near = components(edges.distinct(), staging, "near").select(F.col("node").alias("class"), F.col("root").alias("near"))
+    near = staging.write(near, "near")
+    rows = alive.join(near, "class")
+    members = rows.select("near", "class", "component").distinct()
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("long")
+    cut = members.groupBy("near").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("size"))
+    fewer = rows.groupBy("near").agg(F.count(F.lit(1)).alias("rows")).join(cut, "near").where("size * blocks <= rows")
+    fewer = staging.write(fewer.select("near", "blocks"), "neighbours")
+    once = _blocks(members.join(fewer, "near"), "near")
+    return rows.join(fewer, "near", "left_anti").select(once.columns).unionByName(once)
+
+
 def _turns(places: DataFrame, sets: DataFrame) -> int:
     """In how many turns the sets go to their places if one turn may carry ``CARRIED`` times the room of all sets."""
     room = F.sum(F.col("n") + FINE_GROUPS // 8).alias("room")
@@ -444,14 +477,7 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
     )
     mixed = mixed.groupBy("size", "one", "two").agg(F.min("cell").alias("cell"))
     mixed = staging.write(mixed.select("cell", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")), "mixed")
-    spread = labelled.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("class"), "blocks"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select(
-        F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("meet"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "class",
-        "component",
-    )
+    spread = _blocks(labelled.join(mixed, "cell"), "cell")
     points = spread.join(sets.select("class", "n", "fine"), "class").repartition("meet").sortWithinPartitions("meet")
     alive = points.mapInArrow(_alive(percent), "meet long, side int, class long, component long")
     alive = staging.write(alive, "alive")
@@ -462,8 +488,8 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
         F.bit_xor(F.xxhash64(F.lit(1), "class", "side")).alias("two"),
     )
     once = staging.write(shape.groupBy("size", "one", "two").agg(F.min("meet").alias("meet")).select("meet"), "once")
-    places = staging.write(alive.join(once, "meet", "left_semi"), "places")
-    staging.drop("mixed", "labelled", "alive", "once")
+    places = staging.write(_gathered(alive.join(once, "meet", "left_semi"), staging), "places")
+    staging.drop("mixed", "labelled", "alive", "once", "near")
     found = _found(places, sets, percent, staging)
     last = components(star.unionByName(found), staging, "last")
 
