@@ -208,8 +208,6 @@ def test_jaccard_neighbours_meet_once(spark, monkeypatch):
     assert gathered(chain, 1) == (16, set(chain))
 
 
-
-
 def test_r_tree_loses_nothing():
     r = np.random.default_rng(3)
     points = r.poisson(3, (300, 16)).astype(np.int64)

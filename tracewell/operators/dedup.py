@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.session import work_folder
 
@@ -20,9 +21,25 @@ def first_copies(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> D
     An aggregate, not a window: copies are dropped before the exchange, so any number of
     them may share a key.
     """
-    rest = [name for name in rows.columns if name not in key]
-    kept = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return kept.select(*[F.col(name) if name in key else F.col(f"_row.{name}") for name in rows.columns])
+    rest = [name for name in rows.columns if name not in key and name not in order]
+    least = F.struct(*[name for name in order if name not in key])
+    if _ordered(rows.select(*rest).schema):
+        # The order need not travel a second time.
+        first = F.min(F.struct(least.alias("order"), F.struct(*rest).alias("rest")) if rest else F.struct(least.alias("order")))
+    else:
+        first = F.min_by(F.struct(least.alias("order"), F.struct(*rest).alias("rest")), least)
+    kept = rows.groupBy(*key).agg(first.alias("_row"))
+    part = {name: f"_row.{'rest' if name in rest else 'order'}.{name}" for name in rows.columns if name not in key}
+    return kept.select(*[F.col(part.get(name, name)).alias(name) for name in rows.columns])
+
+
+def _ordered(kind: T.DataType) -> bool:
+    """Whether values of a type can be compared."""
+    if isinstance(kind, T.StructType):
+        return all(_ordered(field.dataType) for field in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def already_stored(
@@ -59,6 +76,32 @@ def conflicting_identities(spans: DataFrame) -> DataFrame:
     )
 
 
+def _packed(rows: DataFrame, *names: str) -> DataFrame:
+    """``rows`` with the hexadecimal texts ``names`` as bytes, half as long where they are exchanged; other texts stay whole."""
+    digits, other = (F.lit(bytearray([tag])) for tag in (0, 1))
+
+    def pack(text: Column) -> Column:
+        pairs = F.unhex(text)
+        return F.when(F.lower(F.hex(pairs)) == text, F.concat(digits, pairs)).otherwise(F.concat(other, text.cast("binary")))
+
+    return rows.withColumns({name: pack(F.col(name)) for name in names})
+
+
+def _unpacked(rows: DataFrame, *names: str) -> DataFrame:
+    """The texts that :func:`_packed` has packed."""
+
+    def unpack(packed: Column) -> Column:
+        rest = F.substr(packed, F.lit(2))
+        return F.when(F.substr(packed, F.lit(1), F.lit(1)) == F.lit(bytearray([0])), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+    return rows.withColumns({name: unpack(F.col(name)) for name in names})
+
+
+def _digested(rows: DataFrame) -> DataFrame:
+    """``rows`` with 128 bits of each fingerprint, which are enough to tell contents of one identity apart."""
+    return rows.withColumn("fingerprint", F.unhex(F.md5(F.col("fingerprint").cast("binary"))))
+
+
 def decide_spans(spans: DataFrame, stored: DataFrame, folder: str | None = None) -> DataFrame:
     """``request_key``, ``accepted`` for every request that touches a contested identity.
 
@@ -70,13 +113,21 @@ def decide_spans(spans: DataFrame, stored: DataFrame, folder: str | None = None)
     identities take part, and each round settles at least the earliest open request. The steps write their tables
     below ``folder``, which the caller may delete once the result has been used.
     """
-    claims = spans.select("request_key", "received_at_unix_nano", *SPAN_IDENTITY, "fingerprint")
+    return _decided(*[_digested(_packed(rows, *SPAN_IDENTITY, "fingerprint")) for rows in (spans, stored)], folder)
+
+
+def _decided(spans: DataFrame, stored: DataFrame, folder: str | None) -> DataFrame:
+    """As :func:`decide_spans`, of packed identities and digested fingerprints."""
+    columns = ["fingerprint", "request_key", "received_at_unix_nano"]
+    # The claims are dealt once: as it uses every column, the aggregate reads the same exchange as the join after it.
+    claims = spans.select(*columns, *SPAN_IDENTITY).repartition(*SPAN_IDENTITY)
     held = stored.select(*SPAN_IDENTITY, F.col("fingerprint").alias("_held"))
+    low, high = F.col("_low.fingerprint"), F.col("_high.fingerprint")
     identities = (
         claims.groupBy(*SPAN_IDENTITY)
-        .agg(F.min("fingerprint").alias("_low"), F.max("fingerprint").alias("_high"))
+        .agg(F.min(F.struct(*columns)).alias("_low"), F.max(F.struct(*columns)).alias("_high"))
         .join(held, SPAN_IDENTITY, "left")
-        .where((F.col("_low") != F.col("_high")) | (F.col("_held") != F.col("_low")))
+        .where((low != high) | (F.col("_held") != low))
         .select(*SPAN_IDENTITY, "_held")
     )
     per_request = (
@@ -91,7 +142,7 @@ def decide_spans(spans: DataFrame, stored: DataFrame, folder: str | None = None)
     folder = folder or work_folder(spark, "span-claims")
 
     def written(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}", compression="zstd")
         return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
 
     order = F.struct("received_at_unix_nano", "request_key")
@@ -128,10 +179,13 @@ def accepted_spans(
     """(new spans of accepted requests, keys of refused requests); both read tables below ``folder``."""
     # What the store holds of these identities is read once and used by every step.
     folder = folder or work_folder(spans.sparkSession, "span-conflicts")
-    already_stored(spans, stored, SPAN_IDENTITY, row_count, ["fingerprint"]).write.parquet(f"{folder}/held")
+    texts = [*SPAN_IDENTITY, "fingerprint"]
+    spans, stored = _packed(spans, *texts), _digested(_packed(stored, *texts))
+    held = already_stored(spans, stored, SPAN_IDENTITY, row_count, ["fingerprint"])
+    held.write.parquet(f"{folder}/held", compression="zstd")
     held = spans.sparkSession.read.parquet(f"{folder}/held")
-    status = decide_spans(spans, held, f"{folder}/rounds")
+    status = _decided(_digested(spans), held, f"{folder}/rounds")
     refused = status.where(~F.col("accepted")).select("request_key")
     kept = spans.join(refused, "request_key", "left_anti")
     copies = first_copies(kept, SPAN_IDENTITY, ["received_at_unix_nano", "request_key", "position"])
-    return copies.join(held, SPAN_IDENTITY, "left_anti"), refused
+    return _unpacked(copies.join(held, SPAN_IDENTITY, "left_anti"), *texts), refused

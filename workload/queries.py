@@ -280,13 +280,13 @@ def _decided_spans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """
     key = F.concat_ws("|", F.lpad(F.col("received_at_unix_nano").cast("string"), 20, "0"), "trace_id", "service_name")
     rows = derived.spans(spark, sf_dir).select(
-        key.alias("request_key"), F.array("id").alias("position"),
-        "received_at_unix_nano", "trace_id", "span_id", "fingerprint", "id", "name", "service_name",
-    )
-    # As in ingest, the batch is written once and all steps read the written columns.
+        "received_at_unix_nano", "trace_id", "span_id", "fingerprint", "id", "name", "service_name"
+    )
+    # As in ingest, the batch is written once and all steps read the written columns; the request follows from them.
     folder = work_folder(spark, "span-batch")
-    rows.write.parquet(folder)
+    rows.write.parquet(folder, compression="zstd")
     rows = spark.read.schema(rows.schema).parquet(folder)
+    rows = rows.select(key.alias("request_key"), F.array("id").alias("position"), *rows.columns)
     earlier = rows.where("service_name = 'svc-0'").select("trace_id", "span_id", "fingerprint", "received_at_unix_nano", "id")
     stored = dedup.first_copies(earlier, dedup.SPAN_IDENTITY, ["received_at_unix_nano", "id"])
     return dedup.accepted_spans(rows, stored, rows.count())
