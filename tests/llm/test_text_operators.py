@@ -208,6 +208,28 @@ def test_jaccard_neighbours_meet_once(spark, monkeypatch):
     assert gathered(chain, 1) == (16, set(chain))
 
 
+def test_jaccard_group_meets_from_a_table(spark, monkeypatch):
+    """A group of near copies after the turns of stars; what its members meet from is read several times, so it is a table."""
+    r = random.Random(5)
+    rows = []
+    for number in range(160):
+        words = [f"b{i}" for i in range(120)]
+        for at in r.sample(range(120), r.randint(4, 14)):
+            words[at] = f"c{number}-{at}"
+        rows.append((number, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gathered, met = jaccard._gathered, []
+
+    def watched(alive, staging):
+        met.append("Join" in alive._jdf.queryExecution().optimizedPlan().toString())
+        return gathered(alive, staging)
+
+    monkeypatch.setattr(jaccard, "_gathered", watched)
+    got = jaccard.join_components(docs, shingle=1, percent=80)
+    assert sorted(map(tuple, got.collect())) == brute_components(rows, 1, 80)
+    assert met == [False]
+
+
 def test_r_tree_loses_nothing():
     r = np.random.default_rng(3)
     points = r.poisson(3, (300, 16)).astype(np.int64)

@@ -11,7 +11,9 @@ Method (count-vector R-tree):
    quarter) mean that linked sets agree on a number of signed ranges, not only one: a class that shares fewer of its
    cells with others is out, and so in turns, until only cells of classes with likely partners are left.
 3. *Stars.* In each cell all classes are compared with the least one, by their full sets. This joins groups of near
-   copies, however large, with a number of comparisons in proportion to their members.
+   copies, however large, with a number of comparisons in proportion to their members. Where classes of different
+   components still meet, ``AGAIN`` turns compare those of a cell with one that the cell draws by hash, so members of a
+   group meet many others of it.
 4. *R-tree.* What remains are cells that hold classes of different components. Classes with too few of these are out, and
    each of the others leaves out its most crowded ones, as many as linked sets share beyond one. The classes of a cell
    become points, the numbers of their shingles in ``GROUPS`` hash groups. An R-tree of them, whose nodes know the
@@ -49,6 +51,7 @@ BLOCK = 1024
 LEAF = 48
 TURNS = 1
 NARROWING = 2
+AGAIN = 2
 CARRIED = 2
 _RATIO = 1.5
 
@@ -351,6 +354,32 @@ def _narrowed(labelled: DataFrame, staging: Staging) -> DataFrame:
     return labelled
 
 
+def _joined_again(labelled: DataFrame, sets: DataFrame, percent: int, staging: Staging, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the classes of a mixed cell with one of them, and the rows of ``labelled`` that are mixed after these links.
+
+    Each cell and turn draws another one by hash, so a class meets many others of a group, with one comparison a cell.
+    """
+    drawn = F.struct(F.xxhash64(F.lit(turn), "cell", "class").alias("draw"), "class", "component")
+    heads = labelled.groupBy("cell").agg(F.min(drawn).alias("head")).select("cell", "head.*")
+    heads = heads.select("cell", F.col("class").alias("head"), F.col("component").alias("other"))
+    pairs = labelled.join(heads, "cell").where("component <> other")
+    pairs = pairs.select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).distinct()
+    name = f"again-{turn}"
+    links = staging.write(_verified(pairs, sets, percent, staging, name), name)
+    if links.isEmpty():
+        return links, labelled
+    of = staging.write(labelled.select("class", "component").distinct(), f"{name}-of")
+    ends = links.join(_side(of, "a", "component"), "a").join(_side(of, "b", "component"), "b")
+    ends = ends.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")).distinct()
+    roots = components(ends, staging, f"{name}-roots").withColumnRenamed("node", "component")
+    now = labelled.join(roots, "component", "left").select("cell", "class", F.coalesce("root", "component").alias("component"))
+    now = staging.write(now, f"{name}-all")
+    mixed = now.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    kept = staging.write(now.join(mixed.select("cell"), "cell", "left_semi"), f"{name}-labelled")
+    staging.drop(f"{name}-counts", f"{name}-fine", f"{name}-of", f"{name}-all", f"again-{turn - 1}-labelled")
+    return links, kept
+
+
 def _side(rows: DataFrame, side: str, *columns: str) -> DataFrame:
     return rows.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
@@ -469,6 +498,11 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
     labelled = entries.join(first.withColumnRenamed("node", "class"), "class", "left")
     labelled = labelled.select("cell", "class", "above", "need", F.coalesce("root", "class").alias("component"))
     labelled = _narrowed(staging.write(labelled, "labelled-0"), staging)
+    for turn in range(1, AGAIN + 1):
+        links, labelled = _joined_again(labelled, sets, percent, staging, turn)
+        if links.isEmpty():
+            break
+        star = star.unionByName(links)
     # Cells of the same classes need one search only; what they hold is known by count and two hashes.
     mixed = labelled.groupBy("cell").agg(
         F.count(F.lit(1)).alias("size"),
@@ -488,8 +522,10 @@ def _grouped(docs: DataFrame, text: str, shingle: int, percent: int, staging: St
         F.bit_xor(F.xxhash64(F.lit(1), "class", "side")).alias("two"),
     )
     once = staging.write(shape.groupBy("size", "one", "two").agg(F.min("meet").alias("meet")).select("meet"), "once")
-    places = staging.write(_gathered(alive.join(once, "meet", "left_semi"), staging), "places")
-    staging.drop("mixed", "labelled", "alive", "once", "near")
+    # Written, as the next step reads these rows several times.
+    distinct = staging.write(alive.join(once, "meet", "left_semi"), "alive-once")
+    places = staging.write(_gathered(distinct, staging), "places")
+    staging.drop("mixed", "labelled", *[f"again-{turn}-labelled" for turn in range(1, AGAIN + 1)], "alive", "once", "alive-once", "near")
     found = _found(places, sets, percent, staging)
     last = components(star.unionByName(found), staging, "last")
 
