@@ -8,6 +8,7 @@ import otlp
 from tracewell.model import LOGS, METRICS, SPANS
 from tracewell.operators import ingest
 from tracewell.sources.otlp import read_requests, stream_requests
+from tracewell.sources.store import Store
 
 
 def rows(requests, signal, texts):
@@ -205,3 +206,35 @@ def test_requests_are_derived_without_a_join(spark, monkeypatch):
     monkeypatch.setattr(queries, "stream_requests", lambda s, path, *a, **o: written.append(path) or stream_requests(s, path, *a, **o))
     assert sorted(map(str, queries.queries()["stream_ingest"](spark, folder).collect())) == whole
     assert len([name for name in os.listdir(written[0]) if name.startswith("part-")]) > 3
+
+
+def test_stream_ingest_needs_little_disk(spark, monkeypatch):
+    """The stream's input lies compressed on disk, a micro-batch is a share of it, and its staged rows and shuffles go with it."""
+    from workload import derived, queries
+
+    folder = "/root/testdata/sf0.001"
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    local = list(blocks.localDirsString())
+    seen, roots, whole = [], [], Store.ingest
+
+    def shuffles():
+        return {f"{at}/{name}" for top in local for at, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+
+    def watched(store, requests, *options, **named):
+        before = shuffles()
+        done = whole(store, requests, *options, **named)
+        seen.append((done.inserted, shuffles() - before, os.listdir(f"{store.root}/_staging")))
+        roots.append(store.root)
+        return done
+
+    monkeypatch.setattr(queries, "REQUESTS_PER_FILE", 3)
+    monkeypatch.setattr(Store, "ingest", watched)
+    rows = queries.queries()["stream_ingest"](spark, folder).count()
+    text = derived.log_requests(spark, folder).agg(F.sum(F.octet_length("value"))).first()[0]
+    base = os.path.dirname(roots[0])
+    landed = sum(os.path.getsize(f"{at}/{name}") for top in os.listdir(base) if top not in ("store", "checkpoint")
+                 for at, _, names in os.walk(f"{base}/{top}") for name in names)
+    assert landed < text
+    assert sum(inserted for inserted, _, _ in seen) == rows
+    assert len(seen) > 4 and max(inserted for inserted, _, _ in seen) < rows / 2
+    assert not any(left or staged for _, left, staged in seen)

@@ -190,9 +190,9 @@ class Store(Reader):
         self.state = _load_state(self.spark, self.root)
         return self
 
-    def writer(self) -> Store:
-        """Another writer of the same store, with the state of now."""
-        return Store(self.spark, self.root, _load_state(self.spark, self.root))
+    def writer(self, spark: SparkSession | None = None) -> Store:
+        """Another writer of the same store, with the state of now; in another session if one is given."""
+        return Store(spark or self.spark, self.root, _load_state(self.spark, self.root))
 
     def _commit(self, change: Callable[[State], dict], signal: str | None = None) -> None:
         """Create the next state from the newest one.
@@ -246,12 +246,12 @@ class Store(Reader):
 
     def _ingest(self, requests: DataFrame, signal: str, keys, stream: tuple[str, int] | None, staging: str) -> Appended:
         outcome = ingest.outcome(ingest.build_requests(requests, signal), signal, keys)
-        outcome.withColumn("refused", F.col("reason").isNotNull()).write.partitionBy("refused").parquet(f"{staging}/parsed")
-        staged = self.spark.read.schema(outcome.schema.add("refused", T.BooleanType())).parquet(f"{staging}/parsed")
-        rows = staged.where(~F.col("refused")).drop("refused", "reason")
+        outcome.write.parquet(f"{staging}/parsed", compression="zstd")
+        staged = self.spark.read.schema(outcome.schema).parquet(f"{staging}/parsed")
+        rows = staged.where("reason IS NULL").drop("reason")
         rows = rows.where(F.assert_true(ingest.storable(signal)).isNull())
         large = ingest.oversized(rows)
-        refused = staged.where("refused").select("request_key", "received_at_unix_nano", "reason")
+        refused = staged.where("reason IS NOT NULL").select("request_key", "received_at_unix_nano", "reason")
         if not large.isEmpty():
             refused = refused.unionByName(_refused(rows, large, "stored payload is larger than 64 MiB"))
             rows = rows.join(large, "request_key", "left_anti")
@@ -273,7 +273,7 @@ class Store(Reader):
         place = F.monotonically_increasing_id()
         sorted_rows = rows.drop("id").repartitionByRange(*arrival).sortWithinPartitions(*arrival)
         sorted_rows = sorted_rows.withColumn("_part", F.shiftright(place, 33)).withColumn("_row", place.bitwiseAND(2**33 - 1))
-        sorted_rows.write.parquet(f"{staging}/sorted")
+        sorted_rows.write.parquet(f"{staging}/sorted", compression="zstd")
         written = self.spark.read.schema(sorted_rows.schema).parquet(f"{staging}/sorted")
         # One row for each partition that was written.
         sizes = sorted(written.groupBy("_part").count().collect())
@@ -292,7 +292,7 @@ class Store(Reader):
     def _write_batch(self, rows: DataFrame, signal: str, number: int) -> None:
         dated = rows.select(*TABLE_SCHEMAS[signal].names).withColumn("received_date", receipt_date(F.col("received_at_unix_nano")))
         options = bloom_filters(LOOKUPS[signal])
-        dated.write.options(**options).partitionBy("received_date").parquet(f"{self._path(signal)}/batch={number}")
+        dated.write.options(**options).partitionBy("received_date").parquet(f"{self._path(signal)}/batch={number}", compression="zstd")
 
     def _append(
         self, rows: DataFrame, signal: str, refused: DataFrame, stream: tuple[str, int] | None, staging: str

@@ -13,7 +13,8 @@ from tracewell.model import LOGS, METRICS, SPAN_KINDS, SPAN_STATUSES, SPANS
 from tracewell.operators import dedup, ingest, retention, status
 from tracewell.plans import page, present, views
 from tracewell.plans.filters import Filters
-from tracewell.session import configure, work_folder
+from tracewell.session import configure, shuffles_dropped, work_folder
+from tracewell.sources.files import matching
 from tracewell.sources.otlp import stream_requests
 from tracewell.sources.store import JSON_EACH_FUNCTION, Store
 from tracewell.streaming.ingest import deduplicate, ingest_stream
@@ -531,19 +532,25 @@ def stream_rate_corrected(spark, sf_dir):
 
 
 REQUESTS_PER_FILE = 5_000
+REQUESTS_PER_TASK = 250
+MICRO_BATCHES = 8
 
 
 @query
 def stream_ingest(spark, sf_dir):
     """Requests arrive twice, in several micro-batches; the store holds each record once."""
     folder = work_folder(spark, "stream-ingest")
-    derived.log_requests(spark, sf_dir).select("value").write.text(f"{folder}/requests")
-    requests = spark.read.text(f"{folder}/requests")
-    files = requests.count() // REQUESTS_PER_FILE + 1
-    requests.repartition(2 * files).write.text(f"{folder}/in")
-    requests.repartition(files).write.mode("append").text(f"{folder}/in")
+    arrived = {"maxRecordsPerFile": REQUESTS_PER_FILE, "compression": "gzip"}
+    with shuffles_dropped(spark):
+        derived.log_requests(spark, sf_dir).select("value").write.options(**arrived).text(f"{folder}/in")
+        requests = spark.read.text(f"{folder}/in")
+        tasks = 2 * requests.count() // MICRO_BATCHES // REQUESTS_PER_TASK
+        requests.write.mode("append").options(**arrived).text(f"{folder}/in")
+    # A micro-batch is a share of the input, and so is the disk that it needs for itself.
+    files = -(-len(matching(spark, f"{folder}/in/part-*")) // MICRO_BATCHES)
     store = Store.create(spark, f"{folder}/store")
     received = F.lit(parse_timestamp("2024-02-01T00:00:00Z"))
-    arriving = stream_requests(spark, f"{folder}/in", received, max_files_per_trigger=2 * files)
-    ingest_stream(arriving, store, LOGS, f"{folder}/checkpoint", "logs", available_now=True).awaitTermination()
+    arriving = stream_requests(spark, f"{folder}/in", received, max_files_per_trigger=files)
+    tasks = max(tasks, spark.sparkContext.defaultParallelism)
+    ingest_stream(arriving, store, LOGS, f"{folder}/checkpoint", "logs", available_now=True, tasks=tasks).awaitTermination()
     return views.logs(store.refresh().table(LOGS), _all()).drop("id")
